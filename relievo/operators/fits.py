@@ -103,13 +103,14 @@ def fit_patches(df: DataFrame, rv: str, alpha: str, valid, keys=("tile",), min_p
     usable = df.where(F.coalesce(as_col(valid), F.lit(False))).select(*keys, rv, alpha)
     big = usable.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_pixels)
     tried = usable.join(big.select(*keys), keys, "left_semi").withColumn(
-        "theta_deg", F.explode(F.sequence(F.lit(0), F.lit(count - 1))) * F.lit(step) + F.lit(first))
+        "_k", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).withColumn(
+        "theta_deg", F.col("_k") * F.lit(step) + F.lit(first))
     theta = F.radians(F.col("theta_deg"))
     tried = tried.where(R.usable_facet(F.col(alpha), theta))
     resid = F.col(rv) - (R.scatter_law_db(theta - F.col(alpha)) - R.scatter_law_db(theta))
     tried = tried.select(*keys, "theta_deg", resid.alias("_r"))
     med = exact_quantiles(tried, [*keys, "theta_deg"], "_r", {"b": 0.5}, extra=[
-        F.avg("_r").alias("_m1"), F.avg(F.col("_r") * F.col("_r")).alias("_m2")])
+        F.avg("_r").alias("_m1"), F.avg(F.col("_r") * F.col("_r")).alias("_m2")], sizes=big)
     b = F.col("b")
     rms = F.sqrt(F.greatest(F.col("_m2") - b * F.col("_m1") * 2.0 + b * b, F.lit(0.0)))
     med = med.where(F.col("n") >= min_pixels).withColumn("rms", rms)

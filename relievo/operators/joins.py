@@ -110,7 +110,8 @@ def graticule(tiles: DataFrame, spacing: float = 10.0) -> DataFrame:
     def lines(axis, low, high, px):
         first, last = F.ceil(low / spacing).cast("int"), F.floor((high + 1e-9) / spacing).cast("int")
         return (t.where(first <= last)
-                .withColumn("degrees", F.explode(F.sequence(first, last)) * F.lit(spacing))
+                .withColumn("_k", F.explode(F.sequence(first, last)))
+                .withColumn("degrees", F.col("_k") * F.lit(spacing))
                 .select("z", "x", "y", F.lit(axis).alias("axis"), "degrees", px.alias("px")))
 
     d = F.col("degrees")

@@ -143,10 +143,10 @@ def diagnostics(df: DataFrame, x, y, keys=()) -> DataFrame:
         F.regr_intercept(y, x).alias("intercept"), F.regr_count(y, x).alias("n"))
 
 
-def half_split(df: DataFrame, rank_by: str, value: str, tie: str, keys=()) -> DataFrame:
+def half_split(df: DataFrame, rank_by: str, value: str, keys=()) -> DataFrame:
     """Mean of `value` in the lower and upper half by `rank_by`.
 
-    The cut is an exact distributed rank (ties by `tie`), not a global `ntile` window.
+    The cut is the exact distributed median, not a global `ntile` window; ties stay together.
     """
     from .quantiles import exact_quantiles
 

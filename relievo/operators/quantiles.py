@@ -8,26 +8,63 @@ from pyspark.sql import functions as F
 from ..functions.base import as_col
 
 SUB_BUCKETS = 1024
+SMALL_GROUP = 50_000  # values that may be sorted as one array
 
 
 def exact_quantiles(df: DataFrame, keys, value, quantiles: dict[str, float], mode: str = "linear",
-                    accuracy: int = 10_000, extra=()) -> DataFrame:
+                    accuracy: int = 10_000, extra=(), sizes: DataFrame | None = None,
+                    small: int = SMALL_GROUP) -> DataFrame:
     """Exact quantiles per group, as (keys, n, <extra>..., <name>...).
 
     mode "linear" interpolates between the two neighbouring ranks (the median of an even count
     is the mean of the middle pair); "disc" takes the smallest value whose cumulative share
     reaches q.
 
+    Groups are counted first. Those of at most `small` values are sorted as one short array each;
+    larger ones go through `_spread_quantiles`, which never gathers a group. `sizes` may give
+    known upper bounds as (some of the keys, _n) and saves the count. `extra` are aggregates to
+    add from the same pass. Rows with a NULL key are not a group.
+    """
+    keys = list(keys)
+    src = df.where(as_col(value).isNotNull()).withColumn("_v", as_col(value).cast("double"))
+    if not keys:
+        return _spread_quantiles(src, keys, quantiles, mode, accuracy, extra)
+    if sizes is None:
+        sizes = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    on = [c for c in sizes.columns if c != "_n"]
+    short = src.join(sizes.where(F.col("_n") <= small).select(*on), on, "left_semi")
+    long = src.join(sizes.where(F.col("_n") > small).select(*on), on, "left_semi")
+    return _short_quantiles(short, keys, quantiles, mode, extra).unionByName(
+        _spread_quantiles(long, keys, quantiles, mode, accuracy, extra))
+
+
+def _rank(n, q: float, mode: str):
+    if mode == "disc":
+        return F.greatest(F.ceil(n * q - 1e-9) - 1, F.lit(0)).cast("double")
+    return (n - 1) * F.lit(q)
+
+
+def _short_quantiles(src: DataFrame, keys, quantiles, mode, extra) -> DataFrame:
+    """Groups of a checked small size: one sorted array per group."""
+    d = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *extra,
+                               F.sort_array(F.collect_list("_v")).alias("_all"))
+    for name, q in quantiles.items():
+        k = _rank(F.col("n"), q, mode)
+        low, high = (F.get(F.col("_all"), f(k).cast("int")) for f in (F.floor, F.ceil))
+        d = d.withColumn(name, low + (high - low) * (k - F.floor(k)))
+    return d.drop("_all")
+
+
+def _spread_quantiles(src: DataFrame, keys, quantiles, mode, accuracy, extra) -> DataFrame:
+    """Groups of any size, over all tasks.
+
     Built-in `percentile` keeps every distinct value of a group in one buffer. Here a mergeable
     sketch of bounded size first brackets each wanted rank; a second pass counts what lies
     outside the brackets and ranks the distinct values inside them, in sub-buckets that are
     separate window groups. Both passes aggregate before they shuffle, so a group that holds a
     third of the data stays spread over all tasks.
-
-    `extra` are aggregates to add from the same first pass. Rows with a NULL key are not a group.
     """
-    keys, names = list(keys), list(quantiles)
-    src = df.where(as_col(value).isNotNull()).withColumn("_v", as_col(value).cast("double"))
+    names = list(quantiles)
     slack = 2.0 / accuracy
     wanted = []
     for q in quantiles.values():
@@ -37,8 +74,7 @@ def exact_quantiles(df: DataFrame, keys, value, quantiles: dict[str, float], mod
         F.min("_v").alias("_min"), F.max("_v").alias("_max"), *extra)
     marks = {}
     for i, q in enumerate(quantiles.values()):
-        marks[f"_k{i}"] = (F.greatest(F.ceil(F.col("n") * q - 1e-9) - 1, F.lit(0)).cast("double")
-                           if mode == "disc" else (F.col("n") - 1) * F.lit(q))
+        marks[f"_k{i}"] = _rank(F.col("n"), q, mode)
         marks[f"_lo{i}"] = F.col("_min") if q - slack <= 0 else F.col("_b")[2 * i]
         marks[f"_hi{i}"] = F.col("_max") if q + slack >= 1 else F.col("_b")[2 * i + 1]
     stats = stats.withColumns(marks).drop("_b", "_min", "_max")

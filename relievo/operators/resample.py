@@ -41,7 +41,7 @@ def _scatter(df: DataFrame, position: str, size, factor: int, taps: list[float],
     cells = F.floor((size - off + factor - 1) / factor).cast("int")
     first = F.greatest(F.ceil((pos - half - off) / factor).cast("int"), F.lit(0))
     last = F.least(F.floor((pos + half - off) / factor).cast("int"), cells - 1)
-    centre = F.col("_cell") * factor + off
+    centre = F.col("__cell") * factor + off
 
     def up_to(tap):  # sum of taps for offsets <= tap
         k = F.greatest(F.least(tap + half + 1, F.lit(2 * half + 1)), F.lit(0))
@@ -51,10 +51,10 @@ def _scatter(df: DataFrame, position: str, size, factor: int, taps: list[float],
     lower = F.when(pos == 0, F.lit(-half)).otherwise(pos - centre)
     weight = up_to(upper) - up_to(lower - 1)
     return (df.where(first <= last)
-            .withColumn("_cell", F.explode(F.sequence(first, last)))
-            .withColumn("_w", weight)
-            .groupBy(*group, F.col("_cell").alias(f"_{position}"))
-            .agg(*[F.sum(F.col("_w") * F.col(b)).alias(b) for b in bands])
+            .withColumn("__cell", F.explode(F.sequence(first, last)))
+            .withColumn("__tap", weight)
+            .groupBy(*group, F.col("__cell").alias(f"_{position}"))
+            .agg(*[F.sum(F.col("__tap") * F.col(b)).alias(b) for b in bands])
             .withColumnRenamed(f"_{position}", position))
 
 

@@ -3,6 +3,6 @@
 
 def load_all():
     """Import every plan module and return (queries, oracles)."""
-    from . import radiometry, terrain  # noqa: F401
+    from . import radiometry, scores, terrain  # noqa: F401
     from .registry import ORACLES, QUERIES
     return QUERIES, ORACLES

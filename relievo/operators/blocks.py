@@ -55,13 +55,26 @@ def _touching(position: str, halo: int, block: int) -> Column:
     return F.sequence(F.greatest(first, F.lit(0)), last)
 
 
-def with_halo(df: DataFrame, halo: int, keys=("tile",), block: int = BLOCK_PX) -> Blocked:
-    """Cut into blocks of `block` pixels with `halo` pixels of context."""
+def spread(df: DataFrame, *cols) -> DataFrame:
+    """Repartition rows that are about to multiply.
+
+    The count is given, so AQE does not merge the partitions by their size before the expansion.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *cols)
+
+
+def with_halo(df: DataFrame, halo: int, keys=("tile",), block: int = BLOCK_PX,
+              expands: bool = False) -> Blocked:
+    """Cut into blocks of `block` pixels with `halo` pixels of context.
+
+    `expands` keeps blocks in separate partitions for operators that make many rows of each.
+    """
     block = max(block, halo, 1)
     cut = (df.withColumn("_br", F.explode(_touching("row", halo, block)))
-           .withColumn("_bc", F.explode(_touching("col", halo, block)))
-           .repartition(*keys, "_br", "_bc"))
-    return Blocked(cut, tuple(keys), block)
+           .withColumn("_bc", F.explode(_touching("col", halo, block))))
+    where = (*keys, "_br", "_bc")
+    return Blocked(spread(cut, *where) if expands else cut.repartition(*where), tuple(keys), block)
 
 
 def neighbour(value, position: str, window, step: int) -> Column:

@@ -11,6 +11,7 @@ from .. import constants as K
 from ..functions import geodesy as G
 from ..functions import radiometry as R
 from ..functions.base import as_col, clamp
+from .blocks import spread
 from .metrics import calibration
 from .quantiles import exact_quantiles
 
@@ -102,7 +103,10 @@ def fit_patches(df: DataFrame, rv: str, alpha: str, valid, keys=("tile",), min_p
     count = int(round((last - first) / step)) + 1
     usable = df.where(F.coalesce(as_col(valid), F.lit(False))).select(*keys, rv, alpha)
     big = usable.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_pixels)
-    tried = usable.join(big.select(*keys), keys, "left_semi").withColumn(
+    # One row becomes one per angle: spread first, with a salt so a large patch is split.
+    salted = spread(usable.join(big.select(*keys), keys, "left_semi"), *keys,
+                    F.pmod(F.xxhash64(rv, alpha), F.lit(64)))
+    tried = salted.withColumn(
         "_k", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).withColumn(
         "theta_deg", F.col("_k") * F.lit(step) + F.lit(first))
     theta = F.radians(F.col("theta_deg"))

@@ -11,6 +11,7 @@ from .. import constants as K
 from ..functions import geodesy as G
 from ..functions.base import as_col
 from .blend import tile_origins
+from .blocks import spread
 from .masks import crosses_seam
 
 
@@ -37,7 +38,7 @@ def box_size(west, south, east, north, pixel_m) -> tuple[Column, Column]:
 def window_pixels(windows: DataFrame, pixel_m) -> DataFrame:
     """Pixel centres of every (west, south, east, north) row: adds row, col, lon, lat."""
     h, w = box_size("west", "south", "east", "north", pixel_m)
-    g = windows.withColumns({"_h": h, "_w": w})
+    g = spread(windows.withColumns({"_h": h, "_w": w}), "west", "south", "east", "north")
     g = g.withColumn("row", _steps("_h")).withColumn("col", _steps("_w"))
     return g.withColumns({
         "lon": F.col("west") + (F.col("col") + 0.5) * (F.col("east") - F.col("west")) / F.col("_w"),
@@ -165,7 +166,7 @@ def great_circle(lines: DataFrame, samples: int) -> DataFrame:
     lon1, lat1, lon2, lat2 = (F.radians(F.col(c)) for c in ("lon1", "lat1", "lon2", "lat2"))
     s1, s2 = F.sin((lat2 - lat1) / 2.0), F.sin((lon2 - lon1) / 2.0)
     angle = F.asin(F.least(F.sqrt(s1 * s1 + F.cos(lat1) * F.cos(lat2) * s2 * s2), F.lit(1.0))) * 2.0
-    p = lines.withColumn("_d", angle).withColumn("i", _steps(samples))
+    p = spread(lines, "lon1", "lat1", "lon2", "lat2").withColumn("_d", angle).withColumn("i", _steps(samples))
     f, d = F.col("i") / float(max(samples - 1, 1)), F.col("_d")
     still = d < 1e-12
     a = F.when(still, F.lit(1.0) - f).otherwise(F.sin((F.lit(1.0) - f) * d) / F.sin(d))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geodesy as G
 from ..functions import radiometry as R
+from .blocks import spread
 from .grids import pyramid_tiles
 from .mesh import encode_tiles
 from .quantiles import exact_quantiles
@@ -25,7 +26,7 @@ def tile_vertices(tiles: DataFrame, dem: DataFrame, z: str, height: int, width:
     e = G.tile_extent("z", "x", "y")
     t = tiles.withColumn("_e", e)
     box = {k: F.col(k) for k in ("west", "south", "east", "north")}
-    t = t.where(G.boxes_overlap({k: F.col(f"_e.{k}") for k in box}, box))
+    t = spread(t.where(G.boxes_overlap({k: F.col(f"_e.{k}") for k in box}, box)), *keys, "z", "x", "y")
     steps = F.sequence(F.lit(0), F.lit(n - 1))
     t = t.withColumn("vr", F.explode(steps)).withColumn("vc", F.explode(steps))
     t = t.withColumns({

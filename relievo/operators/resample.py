@@ -15,6 +15,9 @@ from ..functions.base import as_col, clamp
 from .blocks import BLOCK_PX, neighbour, with_halo
 
 
+POST_BLOCK = 16  # coarse cells per block side: each cell may own thousands of fine pixels
+
+
 # --- anti-aliased reduction ------------------------------------------------------------------
 def gaussian_taps(factor: int, sigma_scale: float = 0.5) -> list[float]:
     """Normalised taps for offsets -half..half."""
@@ -144,7 +147,7 @@ def _axis_patch(b, bands, position, window, reach):
 
 def _upsample(df, bands, height, width, out_h, out_w, slope, shift, reach, keys, block):
     """Shared body: `u(i) = (i + shift) * slope`, clamped to the coarse grid."""
-    b = with_halo(df.select(*keys, "row", "col", *bands), 2, keys, block)
+    b = with_halo(df.select(*keys, "row", "col", *bands), 2, keys, block, expands=True)
     names = ["m", "0", "1", "2"] if reach == 4 else ["0", "1"]
     b = _axis_patch(b, bands, "col", b.by_row, reach)
     wide = [f"{v}_{n}" for v in bands for n in names]
@@ -190,7 +193,7 @@ def _upsample(df, bands, height, width, out_h, out_w, slope, shift, reach, keys,
 
 
 def upsample_posts(df: DataFrame, bands, stride: int, height, width, out_h, out_w,
-                   offset: float | None = None, keys=("tile",), block: int = BLOCK_PX) -> DataFrame:
+                   offset: float | None = None, keys=("tile",), block: int = POST_BLOCK) -> DataFrame:
     """Cubic (A = -0.75) upsampling with post j at fine pixel `offset + j * stride`.
 
     Posts are prepared as 4x4 patches; each patch then generates the fine pixels it owns, so
@@ -203,7 +206,7 @@ def upsample_posts(df: DataFrame, bands, stride: int, height, width, out_h, out_
 
 
 def upsample_altimetry(posts: DataFrame, value: str, stride: int, height, width, out_h, out_w,
-                       keys=("tile",), block: int = BLOCK_PX) -> DataFrame:
+                       keys=("tile",), block: int = POST_BLOCK) -> DataFrame:
     """Upsampled posts with their gaps carried: NULL where the upsampled mask is not above 0.99."""
     p = posts.withColumn("_m", F.col(value).isNotNull().cast("double")).withColumn(
         value, F.coalesce(F.col(value).cast("double"), F.lit(0.0)))
@@ -212,7 +215,7 @@ def upsample_altimetry(posts: DataFrame, value: str, stride: int, height, width,
 
 
 def upsample_bilinear(df: DataFrame, bands, height: int, width: int, out_h: int, out_w: int,
-                      keys=("tile",), block: int = BLOCK_PX) -> DataFrame:
+                      keys=("tile",), block: int = POST_BLOCK) -> DataFrame:
     """Bilinear upsampling of cell centres (corners not aligned)."""
     bands = [bands] if isinstance(bands, str) else list(bands)
     slope = (height / out_h, width / out_w)
@@ -442,7 +445,7 @@ def footprint_blur(df: DataFrame, band: str, fp: Footprint, pixel_m: float, heig
     if plan.factor == 1:
         return blurred if at is None else at.join(blurred, [*keys, "row", "col"], "left")
     if at is None:
-        return upsample_bilinear(blurred, band, plan.coarse_h, plan.coarse_w, height, width, keys, block)
+        return upsample_bilinear(blurred, band, plan.coarse_h, plan.coarse_w, height, width, keys)
     sy, sx = plan.coarse_h / height, plan.coarse_w / width
     points = at.withColumns({"src_row": (F.col("row") + 0.5) * sy - 0.5,
                              "src_col": (F.col("col") + 0.5) * sx - 0.5})

@@ -23,6 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def epoch_micros(ts: str):
+    """Microseconds since 1970 of a timestamp without zone, whatever the session zone is."""
+    since = F.col(ts).cast("timestamp_ntz") - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return (since.cast("interval second").cast("decimal(20,6)") * 1000000).cast("bigint")
+
+
 def _grid(key):
     k = F.col(key)
     return {"tile": F.floor(k / (H * W)).cast("bigint"),
@@ -91,7 +97,7 @@ def obs(spark, sf_dir) -> DataFrame:
     return e.select(
         "event_id", "user_id", "event_type", "value", "ts",
         F.pmod(F.col("event_id") * 137.508, F.lit(360.0)).alias("lon"),
-        (F.pmod(F.col("event_id") * 0.618034, F.lit(1.0)) * 160.0 - 80.0).alias("lat"))
+        (F.pmod(F.col("event_id") * 0.754878, F.lit(1.0)) * 160.0 - 80.0).alias("lat"))
 
 
 def errors(spark, sf_dir) -> DataFrame:
@@ -119,7 +125,7 @@ def features(spark, sf_dir) -> DataFrame:
         F.concat(F.replace("p_name", F.lit("e"), F.lit("é")), F.lit(" "), F.col("p_partkey").cast("string")
                  ).alias("name"),
         F.col("p_type").alias("kind"), F.pmod(F.col("p_partkey") * 137.508, F.lit(360.0)).alias("lon"),
-        (F.pmod(F.col("p_partkey") * 0.618034, F.lit(1.0)) * 160.0 - 80.0).alias("lat"),
+        (F.pmod(F.col("p_partkey") * 0.754878, F.lit(1.0)) * 160.0 - 80.0).alias("lat"),
         (F.col("p_size") * 20.0).alias("diameter_km"))
 
 
@@ -151,14 +157,14 @@ SQL = {
         CAST(embedding[i] AS DOUBLE)*1000e0 AS z FROM embeddings, generate_series(1,64) AS g(i))""",
     "obs": f"""obs AS (SELECT event_id, user_id, event_type, value, ts,
         {_mod('event_id*137.508e0', '360e0')} AS lon,
-        {_mod('event_id*0.618034e0', '1e0')}*160e0-80e0 AS lat FROM events)""",
+        {_mod('event_id*0.754878e0', '1e0')}*160e0-80e0 AS lat FROM events)""",
     "errors": """errors AS (SELECT l_returnflag AS run, l_orderkey, l_suppkey,
         (l_extendedprice - l_quantity*2000e0)/100e0 AS err, l_quantity*4e0+10e0 AS sigma FROM lineitem)""",
     "boxes": f"""boxes AS (SELECT *, west_ AS west, ((west_+span) % 360e0) AS east, south_ AS south,
         south_+span*0.5e0 AS north FROM (SELECT s_suppkey AS box, {_mod('s_suppkey*97.31e0', '360e0')} AS west_,
         {_mod('s_suppkey*31.7e0', '120e0')}-70e0 AS south_, (s_suppkey*7)%20+5 AS span FROM supplier))""",
     "features": f"""features AS (SELECT replace(p_name,'e','é')||' '||p_partkey AS name, p_type AS kind,
-        {_mod('p_partkey*137.508e0', '360e0')} AS lon, {_mod('p_partkey*0.618034e0', '1e0')}*160e0-80e0 AS lat,
+        {_mod('p_partkey*137.508e0', '360e0')} AS lon, {_mod('p_partkey*0.754878e0', '1e0')}*160e0-80e0 AS lat,
         p_size*20e0 AS diameter_km FROM part)""",
 }
 _NEEDS = {"scene": ("look",)}

@@ -6,52 +6,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def partial_sums(tiles: DataFrame, bands) -> DataFrame:
-    """Per mosaic pixel the weighted sums of (grow, gcol, w, bands): mergeable by addition."""
-    return tiles.groupBy("grow", "gcol").agg(
-        *[F.sum(F.col("w") * F.col(b)).alias(f"num_{b}") for b in bands],
-        *[F.sum(F.when(F.col(b).isNotNull(), F.col("w"))).alias(f"den_{b}") for b in bands])
+def contributions(tiles: DataFrame, bands) -> DataFrame:
+    """Weighted terms of (grow, gcol, w, bands): they merge by addition, in any order."""
+    return tiles.select(
+        "grow", "gcol", *[(F.col("w") * F.col(b)).alias(f"num_{b}") for b in bands],
+        *[F.when(F.col(b).isNotNull(), F.col("w")).alias(f"den_{b}") for b in bands])
 
 
-def merge_sums(log: DataFrame, bands) -> DataFrame:
-    """The mosaic from logged sums."""
-    s = log.groupBy("grow", "gcol").agg(*[
+def summed(log: DataFrame, bands) -> DataFrame:
+    return log.groupBy("grow", "gcol").agg(*[
         F.sum(f"{k}_{b}").alias(f"{k}_{b}") for b in bands for k in ("num", "den")])
-    return s.select("grow", "gcol", *[
-        F.when(F.col(f"den_{b}") > 0, F.col(f"num_{b}") / F.col(f"den_{b}")).alias(b) for b in bands])
 
 
 def blend_stream(tiles: DataFrame, bands, log_path: str, checkpoint: str, tile_id=("tile",),
-                 dedup_after: str | None = None, trigger: dict | None = None):
-    """Start the streaming blend; each micro-batch replaces its own slice of a log of sums.
+                 within_watermark: bool = False, trigger: dict | None = None):
+    """Start the streaming blend: the weighted terms of every new tile go to a log of parquet files.
 
-    Sums per batch are written to a folder named by the batch, so a replayed batch overwrites
-    itself. No mosaic-sized state is held: the state is the log on shared storage, read and
-    merged by `read_mosaic` and shortened by `compact`. Repeated deliveries are removed by
-    (tile_id, row, col), with an event-time column `dedup_after` bounding that state.
+    No mosaic-sized state is held. The file sink commits each micro-batch once, so the mosaic is a
+    sum over the log (`read_mosaic`), shortened by `compact`. Repeated deliveries are removed by
+    (tile_id, row, col); with a watermark on the input, `within_watermark` bounds that state.
     """
-    bands = list(bands)
     cells = [*tile_id, "row", "col"]
-    unique = (tiles.dropDuplicatesWithinWatermark(cells) if dedup_after else tiles.dropDuplicates(cells))
-
-    def log_batch(batch: DataFrame, batch_id: int):
-        partial_sums(batch, bands).write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
-
-    return (unique.writeStream.outputMode("append").foreachBatch(log_batch)
-            .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
+    unique = tiles.dropDuplicatesWithinWatermark(cells) if within_watermark else tiles.dropDuplicates(cells)
+    return (contributions(unique, list(bands)).writeStream.outputMode("append").format("parquet")
+            .option("path", log_path).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())
 
 
 def read_mosaic(spark: SparkSession, log_path: str, bands) -> DataFrame:
-    return merge_sums(spark.read.parquet(log_path), list(bands))
+    """The mosaic so far."""
+    bands = list(bands)
+    s = summed(spark.read.parquet(log_path), bands)
+    return s.select("grow", "gcol", *[
+        F.when(F.col(f"den_{b}") > 0, F.col(f"num_{b}") / F.col(f"den_{b}")).alias(b) for b in bands])
 
 
 def compact(spark: SparkSession, log_path: str, target: str, bands):
-    """Write one slice with the summed log to a new folder."""
-    bands = list(bands)
-    log = spark.read.parquet(log_path)
-    log.groupBy("grow", "gcol").agg(*[
-        F.sum(f"{k}_{b}").alias(f"{k}_{b}") for b in bands for k in ("num", "den")]).write.parquet(
-        f"{target}/batch=0")
+    """Write the summed log to a new folder that `read_mosaic` reads as well."""
+    summed(spark.read.parquet(log_path), list(bands)).write.parquet(target)
 
 
 def stateful_blend(tiles: DataFrame, band: str) -> DataFrame:

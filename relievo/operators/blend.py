@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import geodesy as G
 from ..functions.base import as_col
+from .blocks import spread
 from .resample import bilinear_gather
 
 
@@ -85,7 +86,7 @@ def run_tiled(pixels: DataFrame, height, width, tile: int, overlap: int,
             res[c] = pdf[c].iat[0]
         return res[schema.fieldNames()]
 
-    out = tiled.drop("w", "grow", "gcol").groupBy(*group).applyInPandas(call, schema)
+    out = spread(tiled.drop("w", "grow", "gcol"), *group).groupBy(*group).applyInPandas(call, schema)
     out = out.withColumns({"grow": F.col("orow") + F.col("row"), "gcol": F.col("ocol") + F.col("col"),
                            "w": G.feather2d("row", "col", tile, overlap)})
     return blend(out, list(bands), keys)

@@ -75,16 +75,19 @@ def altimetry_residual(df: DataFrame, pred: str, gtdr: str, valid: str, fp: Foot
 
 
 def physics_residual(df: DataFrame, residual, mask, keys=("tile",), fit_offset: bool = True) -> DataFrame:
-    """Mean |residual - offset| per key, with the offset fitted as the masked mean.
+    """Mean |residual - offset| per key with the offset fitted as the masked mean, beside the
+    pixel count and the usable share.
 
-    The offset is one small aggregate joined back, so a hot key needs no window over its rows.
+    The offset is one small aggregate joined back, so a hot key needs no window over its rows;
+    both sides of the join read the same columns and so share the exchanges below.
     """
-    d = df.select(*keys, as_col(residual).alias("_r")).where(as_col(mask))
-    if fit_offset:
-        offset = d.groupBy(*keys).agg(F.avg("_r").alias("_o"))
-        d = d.join(offset, list(keys)) if keys else d.crossJoin(F.broadcast(offset))  # one row
-        d = d.withColumn("_r", F.col("_r") - F.col("_o"))
-    return d.groupBy(*keys).agg(F.avg(F.abs(F.col("_r"))).alias("phys_resid_db"))
+    keys = list(keys)
+    d = df.select(*keys, F.when(as_col(mask), as_col(residual)).alias("_r"))
+    first = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("_r").alias("_o"),
+                                 (F.count("_r") / F.count(F.lit(1))).alias("valid_fraction"))
+    both = d.join(first, keys) if keys else d.crossJoin(F.broadcast(first))  # one row
+    gap = F.col("_r") - F.col("_o") if fit_offset else F.col("_r")
+    return both.groupBy(*keys, "n", "valid_fraction").agg(F.avg(F.abs(gap)).alias("phys_resid_db"))
 
 
 def look_psnr(residual, mask, peak_db: float = 50.0, fit_offset: bool = True) -> Column:

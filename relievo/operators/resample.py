@@ -375,7 +375,7 @@ def apply_kernel(df: DataFrame, band: str, kernel: np.ndarray, height: int, widt
     """
     half = kernel.shape[0] // 2
     block = max(block, half)
-    b = with_halo(df.select(*keys, "row", "col", band), half, keys, block)
+    b = with_halo(df.select(*keys, "row", "col", band), half, keys, block, expands=True)
     schema = T.StructType([b.df.schema[k] for k in keys] + [
         T.StructField("row", T.IntegerType()), T.StructField("col", T.IntegerType()),
         T.StructField(band, T.DoubleType())])

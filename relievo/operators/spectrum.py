@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .blocks import spread
+
 
 def tile_power(df: DataFrame, band: str, size: int, pixel_m: float, keys=("tile",)) -> DataFrame:
     """(keys, frequency, power) for every non-zero frequency of every square tile.
@@ -33,7 +35,7 @@ def tile_power(df: DataFrame, band: str, size: int, pixel_m: float, keys=("tile"
             out[k] = pdf[k].iat[0]
         return out[schema.fieldNames()]
 
-    return df.select(*keys, "row", "col", band).groupBy(*keys).applyInPandas(transform, schema)
+    return spread(df.select(*keys, "row", "col", band), *keys).groupBy(*keys).applyInPandas(transform, schema)
 
 
 def radial_spectrum(power: DataFrame, n_bins: int = 64, group=()) -> DataFrame:

@@ -106,7 +106,7 @@ def altimetry_residual(spark, sf):
   FROM (SELECT *, avg(res) OVER (PARTITION BY tile) AS o FROM resid WHERE usable) GROUP BY 1""", *RENDERED))
 def image_scores(spark, sf):
     r = rendered_scene(spark, sf)
-    a = metrics.physics_residual(r, "residual", F.col("usable"))
+    a = metrics.physics_residual(r, "residual", F.col("usable")).select("tile", "phys_resid_db")
     b = r.groupBy("tile").agg(metrics.look_psnr("residual", F.col("usable")).alias("cross_look_psnr"))
     return rounded_cols(a.join(b, "tile"))
 

@@ -57,11 +57,8 @@ def quad_physics_mae(spark, sf):
     r = rendered_scene(spark, sf).withColumn("quad", G.quad_id("lat", "lon"))
     lat_band = F.substring("quad", 2, 2).cast("int")
     held_out = located(B.dem(spark, sf)).select(G.quad_id("lat", "lon").alias("quad")).where(lat_band % 4 == 0)
-    train = joins.split(r, held_out, "train").select("quad", "residual", "usable")
-    cover = train.groupBy("quad").agg(F.count(F.lit(1)).alias("n"),
-                                      F.avg(F.col("usable").cast("double")).alias("valid_fraction"))
-    score = metrics.physics_residual(train, "residual", F.col("usable"), ("quad",))
-    return rounded_cols(cover.join(score, "quad", "left"))
+    train = joins.split(r, held_out, "train")
+    return rounded_cols(metrics.physics_residual(train, "residual", F.col("usable"), ("quad",)))
 
 
 @query("sobel_slope", sql("dem", f"""SELECT tile, r AS "row", c AS col, {rs('de', 9)} AS de, {rs('dn', 9)} AS dn,

@@ -24,6 +24,8 @@ def build_session(master: str | None = None, app: str = "relievo", **conf) -> Sp
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        # Call-site capture on every column expression costs more than planning itself.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     settings.update({k: str(v) for k, v in conf.items()})
     for key, value in settings.items():

@@ -15,7 +15,7 @@ from ..functions import radiometry as R
 from ..functions.base import as_col, clamp
 from .blocks import spread
 from .metrics import calibration
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, spread_quantiles
 
 THETA_GRID = (8.0, 55.5, 0.5)  # first, last, step in degrees
 
@@ -109,7 +109,7 @@ def fit_patches(df: DataFrame, rv: str, alpha: str, valid, keys=("tile",), min_p
         *keys, F.col(rv).alias("rv"), F.col(alpha).alias("alpha"))
     sizes = usable.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_pixels)
     short = usable.join(sizes.where(F.col("_n") <= whole_patch).select(*keys), keys, "left_semi")
-    long = usable.join(sizes.where(F.col("_n") > whole_patch), keys)
+    long = usable.join(sizes.where(F.col("_n") > whole_patch).select(*keys), keys, "left_semi")
     return _fit_whole(short, keys, min_pixels, grid).unionByName(_fit_spread(long, keys, min_pixels, grid))
 
 
@@ -162,7 +162,7 @@ def _fit_whole(patches: DataFrame, keys, min_pixels, grid) -> DataFrame:
 
 def _fit_spread(patches: DataFrame, keys, min_pixels, grid) -> DataFrame:
     """Patches of any size: one row per pixel and angle, an exact distributed median, and the
-    misfit from power sums. `patches` carries the pixel count `_n`."""
+    misfit from power sums."""
     first, _, step = grid
     salted = spread(patches, *keys, F.pmod(F.xxhash64("rv", "alpha"), F.lit(64)))
     tried = salted.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(len(_angles(grid)) - 1)))).withColumn(
@@ -171,9 +171,8 @@ def _fit_spread(patches: DataFrame, keys, min_pixels, grid) -> DataFrame:
     tried = tried.where(R.usable_facet(F.col("alpha"), theta))
     resid = F.col("rv") - (R.scatter_law_db(theta - F.col("alpha")) - R.scatter_law_db(theta))
     tried = tried.select(*keys, "theta_deg", resid.alias("_r"))
-    med = exact_quantiles(tried, [*keys, "theta_deg"], "_r", {"b": 0.5}, extra=[
-        F.avg("_r").alias("_m1"), F.avg(F.col("_r") * F.col("_r")).alias("_m2")],
-        sizes=patches.select(*keys, "_n").distinct())
+    med = spread_quantiles(tried, [*keys, "theta_deg"], "_r", {"b": 0.5}, extra=[
+        F.avg("_r").alias("_m1"), F.avg(F.col("_r") * F.col("_r")).alias("_m2")])
     b = F.col("b")
     rms = F.sqrt(F.greatest(F.col("_m2") - b * F.col("_m1") * 2.0 + b * b, F.lit(0.0)))
     med = med.where(F.col("n") >= min_pixels).withColumn("rms", rms)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -92,25 +92,25 @@ def tile_centres(regions: DataFrame, core_px: int, pixel_m: float, max_lat: floa
 def strided_pick(rows: DataFrame, per_group: int, keys=("region",), order=("lat", "lon")) -> DataFrame:
     """At most `per_group` rows per key, evenly strided over the order (index floor(i * n / k)).
 
-    The position in a group is a rank within sorted ranges plus the size of the ranges before,
-    so a large group is not ranked in one task.
+    The first order column is a grid row (many tiles share a value). The position in a group is
+    the rank inside the grid row plus the sizes of the rows before it, so a large region is not
+    ranked in one task.
     """
-    from pyspark.sql import Window
-
     keys, order = list(keys), list(order)
-    ranged = rows.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
-    inner = Window.partitionBy(*keys, "_part").orderBy(*order)
-    ranged = ranged.withColumn("_k", F.row_number().over(inner) - 1)
-    parts = ranged.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_m"))
-    prior = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumns({"_base": F.coalesce(F.sum("_m").over(prior), F.lit(0)),
-                               "_n": F.sum("_m").over(Window.partitionBy(*keys))})
-    r = ranged.join(parts.drop("_m"), [*keys, "_part"]).withColumn("_k", F.col("_base") + F.col("_k"))
-    # index k is floor(i * n / per_group) for some i exactly when this count changes at k + 1
-    def below(x):
-        return F.ceil(x * per_group / F.col("_n"))
-    picked = (F.col("_n") <= per_group) | (below(F.col("_k") + 1) > below(F.col("_k")))
-    return r.where(picked).drop("_part", "_k", "_base", "_n")
+    line = [*keys, order[0]]
+    sizes = rows.groupBy(*line).agg(F.count(F.lit(1)).alias("_m"))
+    prior = Window.partitionBy(*keys).orderBy(order[0]).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumns({"_base": F.coalesce(F.sum("_m").over(prior), F.lit(0)),
+                               "_n": F.sum("_m").over(Window.partitionBy(*keys))}).drop("_m")
+    inner = Window.partitionBy(*line).orderBy(*order[1:])
+    r = rows.withColumn("_k", F.row_number().over(inner) - 1).join(sizes, line)
+
+    def below(position):  # how many wanted indices lie before a position
+        return F.ceil(position * per_group / F.col("_n"))
+
+    at = F.col("_base") + F.col("_k")
+    picked = (F.col("_n") <= per_group) | (below(at + 1) > below(at))
+    return r.where(picked).select(*rows.columns)
 
 
 def region_box(regions: DataFrame, span_m: float) -> DataFrame:

@@ -21,21 +21,21 @@ def exact_quantiles(df: DataFrame, keys, value, quantiles: dict[str, float], mod
     reaches q.
 
     Groups are counted first. Those of at most `small` values are sorted as one short array each;
-    larger ones go through `_spread_quantiles`, which never gathers a group. `sizes` may give
+    larger ones go through `spread_quantiles`, which never gathers a group. `sizes` may give
     known upper bounds as (some of the keys, _n) and saves the count. `extra` are aggregates to
     add from the same pass. Rows with a NULL key are not a group.
     """
     keys = list(keys)
-    src = df.where(as_col(value).isNotNull()).withColumn("_v", as_col(value).cast("double"))
     if not keys:
-        return _spread_quantiles(src, keys, quantiles, mode, accuracy, extra)
+        return spread_quantiles(df, keys, value, quantiles, mode, accuracy, extra)
+    src = df.where(as_col(value).isNotNull()).withColumn("_v", as_col(value).cast("double"))
     if sizes is None:
         sizes = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     on = [c for c in sizes.columns if c != "_n"]
     short = src.join(sizes.where(F.col("_n") <= small).select(*on), on, "left_semi")
     long = src.join(sizes.where(F.col("_n") > small).select(*on), on, "left_semi")
     return _short_quantiles(short, keys, quantiles, mode, extra).unionByName(
-        _spread_quantiles(long, keys, quantiles, mode, accuracy, extra))
+        spread_quantiles(long, keys, "_v", quantiles, mode, accuracy, extra))
 
 
 def _rank(n, q: float, mode: str):
@@ -55,7 +55,8 @@ def _short_quantiles(src: DataFrame, keys, quantiles, mode, extra) -> DataFrame:
     return d.drop("_all")
 
 
-def _spread_quantiles(src: DataFrame, keys, quantiles, mode, accuracy, extra) -> DataFrame:
+def spread_quantiles(df: DataFrame, keys, value, quantiles: dict[str, float], mode: str = "linear",
+                     accuracy: int = 10_000, extra=()) -> DataFrame:
     """Groups of any size, over all tasks.
 
     Built-in `percentile` keeps every distinct value of a group in one buffer. Here a mergeable
@@ -64,7 +65,8 @@ def _spread_quantiles(src: DataFrame, keys, quantiles, mode, accuracy, extra) ->
     separate window groups. Both passes aggregate before they shuffle, so a group that holds a
     third of the data stays spread over all tasks.
     """
-    names = list(quantiles)
+    keys, names = list(keys), list(quantiles)
+    src = df.where(as_col(value).isNotNull()).withColumn("_v", as_col(value).cast("double"))
     slack = 2.0 / accuracy
     wanted = []
     for q in quantiles.values():

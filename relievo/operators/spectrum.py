@@ -45,19 +45,18 @@ def radial_spectrum(power: DataFrame, n_bins: int = 64, group=()) -> DataFrame:
     Empty bins are kept with NULL power.
     """
     group = list(group)
-    edges = power.groupBy(*group).agg(F.min("frequency").alias("_lo"), F.max("frequency").alias("_hi"))
-    # One row per distinct frequency first: tiles share their frequencies.
-    per_f = power.groupBy(*group, "frequency").agg(F.sum("power").alias("_s"),
-                                                   F.count("power").alias("_n"))
+    # One row per distinct frequency first: tiles share their frequencies, so from here on the
+    # rows are bounded by the tile size and the transform runs once.
+    per_f = power.groupBy(*group, "frequency").agg(F.sum("power").alias("_s"), F.count("power").alias("_n"))
+    w = Window.partitionBy(*group)
+    per_f = per_f.withColumns({"_lo": F.min("frequency").over(w), "_hi": F.max("frequency").over(w)})
     span = F.log(F.col("_hi") / F.col("_lo"))
-    if group:
-        binned = per_f.join(edges, group)
-    else:
-        binned = per_f.crossJoin(F.broadcast(edges))  # one row
-    binned = binned.withColumn("bin", F.floor(
+    binned = per_f.withColumn("bin", F.floor(
         F.log(F.col("frequency") / F.col("_lo")) / span * n_bins + 1e-9).cast("int"))
-    means = (binned.where(F.col("bin") < n_bins).groupBy(*group, "bin")
-             .agg((F.sum("_s") / F.sum("_n")).alias("power")))
-    frame = edges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1)))).withColumn(
-        "wavelength_m", F.lit(1.0) / (F.col("_lo") * F.exp(span * (F.col("bin") + 0.5) / n_bins)))
-    return frame.join(means, [*group, "bin"], "left").select(*group, "bin", "wavelength_m", "power")
+    means = binned.groupBy(*group, "_lo", "_hi", "bin").agg((F.sum("_s") / F.sum("_n")).alias("power"))
+    curve = means.groupBy(*group, "_lo", "_hi").agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "power"))).alias("_m"))
+    out = curve.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))))
+    return out.select(
+        *group, "bin", (F.lit(1.0) / (F.col("_lo") * F.exp(span * (F.col("bin") + 0.5) / n_bins))).alias("wavelength_m"),
+        F.try_element_at("_m", F.col("bin")).alias("power"))

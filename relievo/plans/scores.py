@@ -370,3 +370,45 @@ def datum_tie(spark, sf):
     s = B.scene(spark, sf).withColumn("stereo", F.when(F.col("dn_right") != 0, F.col("z_hat") * 0.982 - 795.0))
     return rounded_cols(fits.datum_tie(s.select("tile", "row", "col", "stereo", "z"), "stereo", "z").select(
         "tile", "row", "col", "stereo"))
+
+
+# --- runs side by side ---------------------------------------------------------------------------------------------------------
+def _renamed(ctes, tag, z, dn, flip, bright):
+    """The rendering CTEs for another surface, look and brightness, under their own names."""
+    out = []
+    for text in ctes:
+        text = text.replace("z_hat", z).replace("dn_left", dn).replace("+brightness", bright)
+        text = text.replace("atan(sob.de)", "atan(-sob.de)") if flip else text
+        for n in ("sob", "rendered", "resid"):
+            text = text.replace(f"{n} AS", f"{tag}_{n} AS").replace(f"{n}_t AS", f"{tag}_{n}_t AS")
+        text = text.replace("FROM sob_t", f"FROM {tag}_sob_t").replace("JOIN sob USING", f"JOIN {tag}_sob sob USING")
+        text = text.replace("FROM rendered", f"FROM {tag}_rendered")
+        out.append(text)
+    return out
+
+
+_RUNS = {"altimetry": ("z", ""), "model": ("z_hat", "+brightness")}
+_EVAL_CTES, _EVAL_ROWS = [], []
+for _run, (_z, _b) in _RUNS.items():
+    _EVAL_CTES += _renamed(RENDERED, f"{_run}_l", _z, "dn_left", False, _b)
+    _EVAL_CTES += _renamed(RENDERED, f"{_run}_r", _z, "dn_right", True, _b)
+    _EVAL_ROWS.append(f"""SELECT '{_run}' AS run, avg(p) AS p, avg(x) AS x, avg(rel) AS rel, avg(sg) AS sg FROM
+      (SELECT tile, avg(abs(res-o)) AS p FROM (SELECT *, avg(res) OVER (PARTITION BY tile) AS o FROM {_run}_l_resid WHERE usable) GROUP BY 1)
+      JOIN (SELECT tile, 10e0*log10(2500e0/greatest(var_pop(res),1e-9)) AS x FROM {_run}_r_resid WHERE usable GROUP BY 1) USING (tile)
+      JOIN (SELECT tile, stddev_samp({_z}-z) AS rel, avg({'NULL::DOUBLE' if _run == 'altimetry' else 'sigma'}) AS sg FROM scene GROUP BY 1) USING (tile)""")
+
+
+@query("evaluation_table", sql("scene", f"""SELECT run, {rs('rel')} AS relief_m, {rs('sg')} AS sigma_m, {rs('p')} AS phys_resid_db, {rs('x')} AS cross_look_psnr,
+   {rs("(SELECT p FROM runs WHERE run='altimetry')-p")} AS phys_gain_db, {rs("x-(SELECT x FROM runs WHERE run='altimetry')")} AS cross_gain_db FROM runs""",
+   *_EVAL_CTES, "runs AS (SELECT * FROM (" + " UNION ALL ".join(_EVAL_ROWS) + "))"))
+def evaluation_table(spark, sf):
+    from .jobs import evaluate_runs
+    from .terrain import located
+    s = located(B.scene(spark, sf))
+    targets = s.select("tile", "row", "col", F.col("z").alias("gtdr"), F.lit(True).alias("gtdr_valid"),
+                       R.rv_from_dn("dn_left").alias("rv_left"), R.rv_from_dn("dn_right").alias("rv_right"),
+                       F.col("theta").alias("theta_left"), F.col("theta").alias("theta_right"))
+    none = F.lit(None).cast("double")
+    runs = s.select(F.lit("altimetry").alias("run"), "tile", "row", "col", "z", none.alias("sigma"), none.alias("brightness")).unionByName(
+        s.select(F.lit("model").alias("run"), "tile", "row", "col", F.col("z_hat").alias("z"), "sigma", "brightness"))
+    return rounded_cols(evaluate_runs(targets, runs, PX, H, W, "altimetry"))

@@ -68,6 +68,8 @@ def ingest(regions: DataFrame, products: dict[str, Product], spec: IngestSpec) -
     for name, p in products.items():
         if name != "dn_left":
             px = sample_product(px, p.raster, p.band, p.grid, p.method, out=name)
+    # The sampled grid feeds the datum fit, the coverage flags and the output.
+    px = materialise(px, "ingest-sampled")
     if "stereo_dem" in products and "gtdr_up" in products:
         px = datum_tie(px, "stereo_dem", "gtdr_up")
     cover = masks.tile_coverage(px, {short: F.col(name).isNotNull() for name, short in (

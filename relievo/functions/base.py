@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -48,3 +48,14 @@ def draws(count: int, *seed) -> list[Column]:
 def uniform(*seed) -> Column:
     """One reproducible uniform draw in (0, 1)."""
     return draws(1, *seed)[0]
+
+
+def attach(df: DataFrame, summary: DataFrame, keys=(), how: str = "inner") -> DataFrame:
+    """Add the columns of a grouped summary: a join on the keys, or, without keys, a scalar
+    subquery over the summary's single row (more than one row is an error)."""
+    keys = list(keys)
+    if keys:
+        return df.join(summary, keys, how)
+    names = summary.columns
+    row = summary.select(F.struct(*names).alias("_row")).scalar()
+    return df.withColumn("_row", row).select("*", *[F.col("_row")[n].alias(n) for n in names]).drop("_row")

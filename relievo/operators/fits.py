@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import geodesy as G
 from ..functions import radiometry as R
-from ..functions.base import as_col, clamp
+from ..functions.base import as_col, attach, clamp
 from .blocks import spread
 from .metrics import calibration
 from .quantiles import exact_quantiles, spread_quantiles
@@ -32,7 +32,7 @@ def calibration_report(df: DataFrame, error: str, sigma: str, fit_half, keys=())
     """Fit the temperature on one half, report coverage before and after on the other."""
     t = fit_temperature(df.where(fit_half), error, sigma, keys=keys).select(*keys, "temperature")
     rest = df.where(~as_col(fit_half))
-    both = rest.join(t, list(keys)) if keys else rest.crossJoin(F.broadcast(t))  # one row
+    both = attach(rest, t, keys)
     before = calibration(both, error, sigma, keys=[*keys, "temperature"]).withColumn(
         "stage", F.lit("before"))
     after = calibration(both, error, F.col(sigma) * F.col("temperature"),
@@ -207,7 +207,7 @@ def guarded_profile(fits: DataFrame, lat: str = "lat", keys=("cycle",), minimum:
     profile = fit_incidence(fits, lat, "theta_deg", keys)
     railed = fits.groupBy(*keys).agg(
         F.avg((F.col("theta_deg") >= grid_top - 0.51).cast("double")).alias("railed"))
-    p = profile.join(railed, list(keys)) if keys else profile.crossJoin(F.broadcast(railed))  # one row
+    p = attach(profile, railed, keys)
     status = (F.when(F.col("n") < minimum, "too few patches")
               .when((F.col("railed") > 0.30) | (F.abs(F.col("lat_peak_deg")) > 90.0), "degenerate")
               .otherwise("ok"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.base import as_col, mean_where
+from ..functions.base import as_col, attach, mean_where
 from .joins import lattice_pixels
 from .masks import lattice_interior
 from .resample import Footprint, at_scale, footprint_blur, scale_factor
@@ -85,7 +85,7 @@ def physics_residual(df: DataFrame, residual, mask, keys=("tile",), fit_offset:
     d = df.select(*keys, F.when(as_col(mask), as_col(residual)).alias("_r"))
     first = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("_r").alias("_o"),
                                  (F.count("_r") / F.count(F.lit(1))).alias("valid_fraction"))
-    both = d.join(first, keys) if keys else d.crossJoin(F.broadcast(first))  # one row
+    both = attach(d, first, keys)
     gap = F.col("_r") - F.col("_o") if fit_offset else F.col("_r")
     return both.groupBy(*keys, "n", "valid_fraction").agg(F.avg(F.abs(gap)).alias("phys_resid_db"))
 
@@ -127,7 +127,7 @@ def metric_table(long: DataFrame, metrics: list[str]) -> DataFrame:
 def skill_table(table: DataFrame, baseline: str, metric: str = "mae_vs_truth") -> DataFrame:
     """Add the skill of each run against the baseline run."""
     base = table.where(F.col("run") == baseline).select(F.col(metric).alias("_base"))
-    return table.crossJoin(F.broadcast(base)).withColumn(  # one row
+    return attach(table, base).withColumn(
         "skill", F.lit(1.0) - F.col(metric) / F.greatest(F.col("_base"), F.lit(1e-9))).drop("_base")
 
 
@@ -154,8 +154,7 @@ def half_split(df: DataFrame, rank_by: str, value: str, keys=()) -> DataFrame:
     from .quantiles import exact_quantiles
 
     cut = exact_quantiles(df, keys, rank_by, {"_cut": 0.5}, mode="disc")
-    d = df.join(cut.select(*keys, "_cut"), list(keys)) if keys else df.crossJoin(
-        F.broadcast(cut.select("_cut")))  # one row
+    d = attach(df, cut.select(*keys, "_cut"), keys)
     half = F.when(F.col(rank_by) <= F.col("_cut"), 1).otherwise(2)
     return d.withColumn("half", half).groupBy(*keys, "half").agg(
         F.avg(value).alias("mean_value"), F.count(F.lit(1)).alias("n"))

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import radiometry as R
-from ..functions.base import as_col, mean_or_zero
+from ..functions.base import as_col, attach, mean_or_zero
 from .metrics import altimetry_differences, rendered_residual
 from .resample import Footprint, adaptive_pool, gaussian_downsample, scale_factor
 from .stencil import neighbour_steps, rms_slope, sobel
@@ -81,7 +79,7 @@ def physics_term(df: DataFrame, z: str, observed: str, valid, theta, look, pixel
         coarse = small.groupBy(*keys).agg(mean_or_zero(
             R.huber(F.col("_r") / F.greatest(F.col("_w"), F.lit(1e-8))),
             F.col("_w") > 0.9).alias(f"_h{level}"))
-        full = full.join(coarse, keys, "left") if keys else full.crossJoin(F.broadcast(coarse))
+        full = attach(full, coarse, keys, "left")
         total = total + F.coalesce(F.col(f"_h{level}"), F.lit(0.0))
     return full.select(*keys, (total / (max(1, levels) * SCALE["phys_db"])).alias(name),
                        "phys_resid_db", "phys_valid_frac")
@@ -127,10 +125,10 @@ def nll_term(df: DataFrame, z: str, logvar: str, target: str, valid, unsupervise
                       F.coalesce(as_col(valid), F.lit(False)).alias("_ok"),
                       F.coalesce(as_col(unsupervised), F.lit(False)).alias("_un"))
     floor = flags.groupBy(*keys).agg(mean_or_zero("_lv", F.col("_ok")).alias("_floor"))
-    both = flags.join(floor, keys) if keys else flags.crossJoin(F.broadcast(floor))  # one row
+    both = attach(flags, floor, keys)
     hinge = both.groupBy(*keys).agg(mean_or_zero(
         F.greatest(F.col("_floor") - F.col("_lv"), F.lit(0.0)), F.col("_un")).alias("_hinge"))
-    joined = out.join(hinge, keys) if keys else out.crossJoin(F.broadcast(hinge))  # one row
+    joined = attach(out, hinge, keys)
     return joined.select(*keys, (F.col("nll") + F.col("_hinge") * unsupervised_weight).alias("nll"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geodesy as G
 from ..functions import radiometry as R
+from ..functions.base import attach
 from .blocks import spread
 from .grids import pyramid_tiles
 from .mesh import encode_tiles
@@ -84,7 +85,7 @@ def imagery_pyramid(image: DataFrame, bands, height: int, width: int, max_level:
 
 def filled_with_median(df: DataFrame, band: str, keys=("tile",)) -> DataFrame:
     med = exact_quantiles(df, keys, F.col(band), {"_med": 0.5}).select(*keys, "_med")
-    joined = df.join(med, list(keys), "left") if keys else df.crossJoin(F.broadcast(med))  # one row
+    joined = attach(df, med, keys, "left")
     return joined.withColumn(band, F.coalesce(F.col(band), F.col("_med"))).drop("_med")
 
 

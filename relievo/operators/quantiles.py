@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.base import as_col
+from ..functions.base import as_col, attach
 
 SUB_BUCKETS = 1024
 SMALL_GROUP = 50_000  # values that may be sorted as one array
@@ -81,11 +81,8 @@ def spread_quantiles(df: DataFrame, keys, value, quantiles: dict[str, float], mo
         marks[f"_hi{i}"] = F.col("_max") if q + slack >= 1 else F.col("_b")[2 * i + 1]
     stats = stats.withColumns(marks).drop("_b", "_min", "_max")
 
-    def attach(left, right):  # without keys the right side is a single row
-        return left.join(right, keys) if keys else left.crossJoin(F.broadcast(right))
-
     v = F.col("_v")
-    tagged = attach(src.select(*keys, "_v"), stats.select(*keys, *marks))
+    tagged = attach(src.select(*keys, "_v"), stats.select(*keys, *marks), keys)
     zone, sub = F.lit(0), None
     for i in range(len(names)):
         lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
@@ -104,7 +101,7 @@ def spread_quantiles(df: DataFrame, keys, value, quantiles: dict[str, float], mo
     base = counted.groupBy(*cell).agg(F.sum("_c").alias("_total")).withColumn(
         "_base", F.coalesce(F.sum("_total").over(before), F.lit(0))).drop("_total")
     inside = Window.partitionBy(*cell).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = attach(counted.withColumn("_run", F.sum("_c").over(inside)).join(base, cell), stats)
+    ranked = attach(counted.withColumn("_run", F.sum("_c").over(inside)).join(base, cell), stats, keys)
     top = F.col("_base") + F.col("_run")
     low = top - F.col("_c")
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import geodesy as G
 from ..functions import radiometry as R
+from ..functions.base import attach
 from ..operators import blend, grids, masks, metrics
 from ..operators.coregister import DEFAULTS, ProductGrid, sample_product
 from ..operators.fits import datum_tie
@@ -141,7 +142,7 @@ def evaluate_runs(targets: DataFrame, predictions: DataFrame, pixel_m: float, he
     table = metrics.metric_table(wide.unpivot(list(keys), names, "metric", "value"), names)
     base = table.where(F.col("run") == baseline).select(
         F.col("phys_resid_db").alias("_p"), F.col("cross_look_psnr").alias("_x"))
-    return table.crossJoin(F.broadcast(base)).withColumns({  # one row
+    return attach(table, base).withColumns({
         "phys_gain_db": F.col("_p") - F.col("phys_resid_db"),
         "cross_gain_db": F.col("cross_look_psnr") - F.col("_x")}).drop("_p", "_x")
 

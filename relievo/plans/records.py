@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import geodesy as G
+from ..functions.base import attach
 from ..operators import augment, features, profile
 from ..session import workspace
 from ..sources import catalogue, raw_dem, tilestore
@@ -98,7 +99,7 @@ def product_catalogue(spark, sf):
     listing = cat.join(have, "ordinal", "left_semi").select("filename")
     res = catalogue.resolve(cat, listing, "raw", "remote").join(seen, "ordinal")
     total = catalogue.total_volume(res).select(F.col("gb").alias("total_gb"))
-    return rounded_cols(res.crossJoin(F.broadcast(total)).select("product", "samples", "gb", "uri", "total_gb"))  # one row
+    return rounded_cols(attach(res, total).select("product", "samples", "gb", "uri", "total_gb"))
 
 
 @query("label_tags", r"""SELECT page_id, nullif(regexp_extract(html, '(?i)<(?:\w+:)?title[^>]*>\s*([^<]+?)\s*</(?:\w+:)?title>', 1),'') AS title,

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import constants as K
 from ..functions import radiometry as R
 from ..operators import fits, metrics, objectives, spectrum
 from ..operators.quantiles import exact_quantiles

@@ -16,25 +16,37 @@ QUERY_BLOCK = 512
 LONG = (-(1 << 63), (1 << 63) - 1)
 
 
-def _blocks(vectors: DataFrame, rows: int) -> DataFrame:
-    """(ids, comps, dims): the vectors of each partition packed into blocks of at most `rows`."""
+BLOCKS = "ids binary, dims binary, comps binary"
+
+
+def _packed(ids, vectors) -> pd.DataFrame:
+    """One block as one row of bytes: identifiers, lengths, components end to end."""
+    flat = np.concatenate([np.zeros(0), *[np.asarray(v, "float64") for v in vectors]])
+    return pd.DataFrame({"ids": [np.asarray(ids, "int64").tobytes()], "comps": [flat.tobytes()],
+                         "dims": [np.array([len(v) for v in vectors], "int32").tobytes()]})[["ids", "dims", "comps"]]
+
+
+def _candidate_blocks(vectors: DataFrame) -> DataFrame:
+    """The vectors of each partition in blocks of at most BLOCK rows."""
     def pack(batches):
-        held = []
+        ids, held = [], []
         for pdf in batches:
-            held.extend(zip(pdf["id"], pdf["v"]))
-            while len(held) >= rows:
-                yield one(held[:rows])
-                held = held[rows:]
-        if held:
-            yield one(held)
+            ids.extend(pdf["id"])
+            held.extend(pdf["v"])
+            while len(ids) >= BLOCK:
+                yield _packed(ids[:BLOCK], held[:BLOCK])
+                ids, held = ids[BLOCK:], held[BLOCK:]
+        if ids:
+            yield _packed(ids, held)
+
+    return vectors.mapInPandas(pack, BLOCKS)
 
-    def one(part):
-        ids = np.array([i for i, _ in part], "int64")
-        dims = np.array([len(v) for _, v in part], "int32")
-        flat = np.concatenate([np.asarray(v, "float64") for _, v in part]) if part else np.zeros(0)
-        return pd.DataFrame({"ids": [ids.tobytes()], "dims": [dims.tobytes()], "comps": [flat.tobytes()]})
 
-    return vectors.mapInPandas(pack, "ids binary, dims binary, comps binary")
+def _query_blocks(queries: DataFrame, blocks: int) -> DataFrame:
+    """The queries dealt by a digest of the identifier into numbered blocks of about QUERY_BLOCK rows."""
+    dealt = queries.withColumn("q_block", F.expr(f"pmod(xxhash64(id), {blocks}L)").cast("int"))
+    return dealt.groupBy("q_block").applyInPandas(
+        lambda pdf: _packed(pdf["id"], pdf["v"]).assign(q_block=pdf["q_block"].iloc[0]), BLOCKS + ", q_block int")
 
 
 def _matrix(ids: bytes, dims: bytes, comps: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,11 +140,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_i
                     "vec_id": np.concatenate([i for _, i, _ in found]).astype("int64"),
                     "score": np.concatenate([s for _, _, s in found]).astype("int64")})
 
-    asked = _blocks(clean(queries).dropDuplicates(["id"]).repartition(F.expr(f"id div {QUERY_BLOCK * 100}")), QUERY_BLOCK)
-    asked = asked.select(F.lit(0).alias("side"), *[F.col(c).alias("q_" + c) for c in ("ids", "dims", "comps")])
-    held = _blocks(clean(vectors), BLOCK).withColumn("side", F.lit(0))
-    # Block by block: a stated set of queries against all rows. The rows of this join are blocks.
-    pairs = held.join(asked, "side").select("ids", "dims", "comps", "q_ids", "q_dims", "q_comps")
+    wanted = clean(queries).dropDuplicates(["id"])
+    blocks = max(1, -(-wanted.count() // QUERY_BLOCK))
+    asked = _query_blocks(wanted, blocks).select("q_block", *[F.col(c).alias("q_" + c) for c in ("ids", "dims", "comps")])
+    # A stated set of queries against all rows: every block of rows is sent to each block of queries.
+    held = _candidate_blocks(clean(vectors)).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    pairs = held.join(asked, "q_block").select("ids", "dims", "comps", "q_ids", "q_dims", "q_comps")
     best = pairs.repartition(F.xxhash64("ids", "q_ids")).mapInPandas(meet, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -3,6 +3,6 @@
 
 def load_all():
     """Import every operator module and return (queries, oracles)."""
-    from . import bpe, jaccard_join, packing, quality, sharding, substring_dedup, suffix_dedup, token_counts, topk  # noqa: F401
+    from . import bpe, jaccard_join, packing, pii, quality, sharding, substring_dedup, suffix_dedup, token_counts, topk  # noqa: F401
     from .common import ORACLES, QUERIES
     return QUERIES, ORACLES

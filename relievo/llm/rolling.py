@@ -111,27 +111,27 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:out], x[width - span:width - span + out])
 
 
-def anchored_runs(one: Stretches, two: Stretches, counts: np.ndarray, k: int, window: int):
+def anchored_runs(one: Stretches, counts: np.ndarray, k: int, window: int):
     """Runs of consecutive windows that have the same anchor.
 
     The anchor of a window is its stretch of k values with the smallest digest, the last of several.
     It depends on the window's content alone, so equal windows have equal anchors at equal places, and
     only windows under equal anchors need ever be compared.
     Windows lie within rows (`counts`: values of each row). Returns first and last window start,
-    anchor position, digest of the anchor, and two digests of the run's whole content.
+    anchor position, digest of the anchor, and digest of the run's whole content.
     """
     n = one.n
     empty = np.zeros(0, "int64")
     if n < window:
-        return empty, empty, empty, empty.astype("uint64"), empty.astype("uint64"), empty.astype("uint64")
+        return empty, empty, empty, empty.astype("uint64"), empty.astype("uint64")
     g = one.all_of(k)
     key = (g & ~LOW) | (LOW - np.arange(len(g), dtype="uint64"))
     at = (LOW - (sliding_min(key, window - k + 1) & LOW)).astype("int64")
     ends = np.cumsum(counts)
     start = np.flatnonzero(np.arange(window, n + 1) <= np.repeat(ends, counts)[:n - window + 1])
     if not len(start):
-        return empty, empty, empty, empty.astype("uint64"), empty.astype("uint64"), empty.astype("uint64")
+        return empty, empty, empty, empty.astype("uint64"), empty.astype("uint64")
     at = at[start]
     new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1))))
     a, b, p = start[new], start[np.append(new[1:], len(start)) - 1], at[new]
-    return a, b, p, g[p], one.digest(a, b + window), two.digest(a, b + window)
+    return a, b, p, g[p], one.digest(a, b + window)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import repeats
-from .common import inner_id, keyed, outer_id, query, stored, table
+from .common import inner_id, keyed, outer_id, query, table
 
 #: Words of an anchor, the content-chosen part of a window under which windows are compared.
-ANCHOR = 4
+ANCHOR = 8
 
 
 def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
@@ -18,23 +18,20 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
     Every window of `window` words is an edge of a De Bruijn graph whose nodes are its first and last
     window - 1 words. Consecutive edges with the same anchor make a path. A path is written as one
     row, with digests of its whole content, instead of one row per edge:
-    * paths with equal content collapse in an aggregation, which also finds the first of them;
+    * paths with equal content collapse, first within a task, then after one shuffle by anchor;
     * an anchor under which only one content occurs does not branch, and all of its paths but the first
       are repeats as a whole;
     * where an anchor has several contents, the graph branches: one copy of each content is opened
-      into its single edges, and a join finds the edges that another content has earlier.
-    Paths meet through joins on their digests, and the source coordinates (document, word) of the
-    first copy decide which copies go. Two independent 64-bit digests of the content must agree.
+      into its single edges, and the edges that another content has earlier are found.
+    The source coordinates (document, word) of the first copy decide which copies go. Two 64-bit digests,
+    of the anchor and of the whole content, must agree.
     """
-    shared = repeats.shared_runs(docs, True, ANCHOR, window, "paths")
-    place = F.struct(*repeats.PLACE)
-    first = stored(shared.groupBy("h", "c", "v", "open").agg(F.min(F.struct("d", "tv", "a", "b")).alias("f")), "paths")
-    later = (shared.join(first.select("h", "c", "v", F.struct("f.d", "f.tv", "f.a").alias("f")), ["h", "c", "v"])
-             .where(place != F.col("f")).select("d", "tv", F.col("a").alias("s"), (F.col("b") + window).alias("e")))
-    edges = stored(repeats.windows_of(docs, first.where("open").select("f.*"), True, window), "edges")
-    at = F.struct("d", "tv", "s")
-    known = edges.groupBy("w1", "w2").agg(F.min(at).alias("f"), F.count("*").alias("k")).where("k > 1").drop("k")
-    again = (edges.join(known, ["w1", "w2"]).where(at != F.col("f"))
+    paths = repeats.shared_runs(docs, True, ANCHOR, window, "paths")
+    later = paths.where("not first").select("d", "tv", F.col("a").alias("s"), (F.col("b") + window).alias("e"))
+    # Not stored: the plan then reads the documents' exchange for the last join once more instead of a second one.
+    edges = repeats.windows_of(docs, paths.where("first and open"), True, window)
+    earlier = Window.partitionBy("w1", "w2").orderBy("d", "tv", "s")
+    again = (edges.withColumn("nth", F.row_number().over(earlier)).where((F.col("nth") > 1) | (F.col("z") == repeats.COPY))
              .select("d", "tv", "s", (F.col("s") + window).alias("e")))
     return later.unionByName(again)
 

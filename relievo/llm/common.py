@@ -36,9 +36,13 @@ def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(F.col(key).alias("d"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
 
 
-def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`texts` plus `tv`, a digest of the text: (d, tv) names one document even where identifiers repeat."""
-    return texts(docs, key, text).withColumn("tv", F.xxhash64("t"))
+def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text", others: tuple[str, ...] = ()) -> DataFrame:
+    """`texts` plus `tv`, a digest of the text: (d, tv) names one document even where identifiers repeat.
+
+    Columns named in `others` follow as "other <name>", so they clash with nothing.
+    """
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return docs.select(F.col(key).alias("d"), t.alias("t"), F.xxhash64(t).alias("tv"), *[F.col(c).alias(f"other {c}") for c in others])
 
 
 #: Stands for a NULL identifier inside joins; below every identifier in use, so it sorts first too.

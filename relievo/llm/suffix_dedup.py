@@ -14,7 +14,7 @@ from .common import inner_id, keyed, outer_id, query, stored, table
 #: Bytes of an anchor.
 ANCHOR = 64
 #: Contexts of one anchor that one suffix array holds; anchors with more are compared window by window.
-TREE_ROWS = 2000
+TREE_ROWS = 20_000
 
 
 def _common(x: bytes, y: bytes) -> int:
@@ -74,12 +74,12 @@ def maximal_repeats(left: list[bytes], right: list[bytes], least: int):
 def _contexts(docs: DataFrame, places: DataFrame, window: int) -> DataFrame:
     """Left and right context of the anchor of one run of each content."""
     def work(batches):
-        names = ["h", "single", "d", "tv", "p", "left", "right"]
+        names = ["h", "k", "single", "d", "tv", "p", "left", "right"]
         for batch in batches:
             ids, tvs = (np.asarray(batch.column(c)) for c in ("d", "tv"))
             col = batch.column("r")
             cut = np.asarray(col.offsets)
-            f = {x: np.asarray(col.values.field(x)).astype("int64").tolist() for x in ("h", "single", "a", "b", "p")}
+            f = {x: np.asarray(col.values.field(x)).astype("int64").tolist() for x in ("h", "k", "single", "a", "b", "p")}
             data, at = R.text_column(batch, "t")
             raw = data.tobytes() if len(data) < (1 << 26) else memoryview(data)
             rows = []
@@ -87,33 +87,38 @@ def _contexts(docs: DataFrame, places: DataFrame, window: int) -> DataFrame:
                 base = int(at[i])
                 for j in range(cut[i], cut[i + 1]):
                     a, b, p = base + f["a"][j], base + f["b"][j], base + f["p"][j]
-                    rows.append((f["h"][j], f["single"][j], ids[i], tvs[i], f["p"][j], bytes(raw[a:p])[::-1], bytes(raw[p:b + window])))
+                    rows.append((f["h"][j], f["k"][j], f["single"][j], ids[i], tvs[i], f["p"][j], bytes(raw[a:p])[::-1], bytes(raw[p:b + window])))
                     if len(rows) >= 4000:
                         yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names)
                         rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names)
 
-    held = places.groupBy("d", "tv").agg(F.collect_list(F.struct("h", F.col("single").cast("int").alias("single"), "a", "b", "p")).alias("r"))
+    held = places.groupBy("d", "tv").agg(F.collect_list(F.struct("h", "k", F.col("single").cast("int").alias("single"), "a", "b", "p")).alias("r"))
     return docs.join(held, ["d", "tv"]).select("d", "tv", "t", "r").mapInArrow(
-        work, "h long, single long, d long, tv long, p long, left binary, right binary")
+        work, "h long, k long, single long, d long, tv long, p long, left binary, right binary")
 
 
 def _tree_spans(contexts: DataFrame, window: int) -> DataFrame:
     """Spans of single contents that a maximal repeat group covers, anchor by anchor."""
     def work(batches):
         def spans(rows):
+            rows = list({(r["d"], r["tv"], r["p"]): r for r in rows}.values())  # equal rows are one document
             if len(rows) < 2:
                 return
+            reach: dict[int, tuple[int, int]] = {}  # all strings around the anchor hold it: their union is one span
             for members, x, y in maximal_repeats([r["left"] for r in rows], [r["right"] for r in rows], window):
                 for i in members:
-                    if rows[i]["single"]:
-                        yield rows[i]["d"], rows[i]["tv"], rows[i]["p"] - x, rows[i]["p"] + y
+                    u, v = reach.get(i, (0, 0))
+                    reach[i] = max(u, x), max(v, y)
+            for i, (x, y) in reach.items():
+                if rows[i]["single"]:
+                    yield rows[i]["d"], rows[i]["tv"], rows[i]["p"] - x, rows[i]["p"] + y
 
         def out(found):
             cols = list(zip(*found)) if found else [[], [], [], []]
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["d", "tv", "s", "e"])
+                [pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4)], ["d", "tv", "s", "e"])
 
         held, found = [], []
         for batch in batches:
@@ -126,7 +131,34 @@ def _tree_spans(contexts: DataFrame, window: int) -> DataFrame:
             found = []
         yield out(list(spans(held)))
 
-    return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(work, "d long, tv long, s int, e int")
+    return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(work, "d long, tv long, s long, e long")
+
+
+def _string_spans(contexts: DataFrame, window: int) -> DataFrame:
+    """Spans of the strings that occur in several contexts, by counting every string of every context."""
+    def work(batches):
+        for batch in batches:
+            ids, tvs, p = (np.asarray(batch.column(c)) for c in ("d", "tv", "p"))
+            for i in range(0, len(ids), 1000):
+                some = slice(i, i + 1000)
+                left, right = (batch.column(c)[some].to_pylist() for c in ("left", "right"))
+                before = np.array([len(x) for x in left], "int64")
+                counts = before + np.array([len(x) for x in right], "int64")
+                data = np.frombuffer(b"".join([x[::-1] + y for x, y in zip(left, right)]), "uint8")
+                one, two = R.of_bytes(data, 0), R.of_bytes(data, 1)
+                n, first = counts - window + 1, np.cumsum(counts) - counts
+                row = np.repeat(np.arange(len(n)), n)
+                nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                s = first[row] + nth
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in (one.digest(s, s + window).view("int64"), two.digest(s, s + window).view("int64"),
+                                           ids[some][row], tvs[some][row], (p[some] - before)[row] + nth)],
+                    ["w1", "w2", "d", "tv", "s"])
+
+    strings = stored(contexts.mapInArrow(work, "w1 long, w2 long, d long, tv long, s long"), "strings")
+    at = F.struct("d", "tv", "s")
+    twice = strings.groupBy("w1", "w2").agg(F.min(at).alias("x"), F.max(at).alias("y")).where("x < y").select("w1", "w2")
+    return strings.join(twice, ["w1", "w2"]).select("d", "tv", "s", (F.col("s") + window).alias("e"))
 
 
 def repeated_spans(docs: DataFrame, window: int = 400) -> DataFrame:
@@ -139,23 +171,17 @@ def repeated_spans(docs: DataFrame, window: int = 400) -> DataFrame:
     documents share has, are compared window by window in a distributed count instead, to the same result.
     """
     shared = repeats.shared_runs(docs, False, ANCHOR, window, "runs")
-    content = stored(shared.groupBy("h", "c", "v", "open").agg(
-        F.min(F.struct("d", "tv", "a", "b", "p")).alias("f"), F.max(F.struct(*repeats.PLACE)).alias("l"))
-        .withColumn("single", F.struct("f.d", "f.tv", "f.a") == F.col("l")).drop("l"), "runs")
-    whole = (shared.join(content.where("not single").select("h", "c", "v"), ["h", "c", "v"])
-             .select("d", "tv", F.col("a").alias("s"), (F.col("b") + window).alias("e")))
-    parted = content.where("open").select("h", "single", "f.*")
-    heavy = parted.groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") > TREE_ROWS).select("h")
-    tree = _tree_spans(_contexts(docs, parted.join(heavy, "h", "left_anti"), window), window)
-    many = stored(parted.join(heavy, "h", "left_semi"), "runs")
-    strings = stored(repeats.windows_of(docs, many, False, window), "strings")
-    at = F.struct("d", "tv", "s")
-    twice = strings.groupBy("w1", "w2").agg(F.min(at).alias("x"), F.max(at).alias("y")).where("x < y").select("w1", "w2")
-    flat = strings.join(twice, ["w1", "w2"]).select("d", "tv", "s", (F.col("s") + window).alias("e"))
+    whole = shared.where("copied or not first").select("d", "tv", F.col("a").alias("s"), (F.col("b") + window).alias("e"))
+    parted = shared.where("first and open").select("h", (~F.col("copied")).alias("single"), "d", "tv", "a", "b", "p")
+    parted = parted.join(parted.groupBy("h").agg(F.count("*").alias("k")), "h")
+    contexts = stored(_contexts(docs, parted, window), "contexts")
+    tree = _tree_spans(contexts.where(F.col("k") <= TREE_ROWS), window)
+    flat = _string_spans(contexts.where(F.col("k") > TREE_ROWS), window)
     return whole.unionByName(tree).unionByName(flat)
 
 
-def remove_repeats(docs: DataFrame, window: int = 400, key: str = "doc_id", text: str = "text", keep_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 400, key: str = "doc_id", text: str = "text", keep_text: bool = True,
+                   others: tuple[str, ...] = ()) -> DataFrame:
     """Documents without the bytes covered by a string of `window` bytes that also starts elsewhere.
 
     Elsewhere is another document or another place of the same one; all occurrences go, the first
@@ -164,10 +190,13 @@ def remove_repeats(docs: DataFrame, window: int = 400, key: str = "doc_id", text
     document: they do not repeat each other, and get equal results.
     Returns key, n (bytes), n_removed, n_spans (maximal removed runs), kept_sha256 and, with keep_text,
     the rest as text (`kept`; a character cut in two is left out) and the byte spans (`removed`).
+    Columns named in `others` come last, unchanged.
     """
-    rows = keyed(docs, key, text).withColumn("d", inner_id())
-    done = repeats.cut_texts(rows, repeated_spans(rows, window), False, keep_text)
-    return done.select(outer_id().alias(key), *[c for c in done.columns if c not in ("d", "tv")])
+    rows = keyed(docs, key, text, others).withColumn("d", inner_id())
+    spans = repeated_spans(rows.select("d", "tv", "t"), window)
+    done = repeats.cut_texts(rows, spans, False, keep_text)
+    own = [c for c in done.columns if c not in ("d", "tv") and not c.startswith("other ")]
+    return done.select(outer_id().alias(key), *own, *[F.col(f"other {c}").alias(c) for c in others])
 
 
 @query("op9_suffix_array_dedup")

@@ -35,6 +35,19 @@ def _rows(batch):
         yield i, j, data[at[i]:at[j]], at[i:j + 1] - at[i]
 
 
+def _new(cols: list[np.ndarray]) -> np.ndarray:
+    """Positions of rows that differ from the row before; rows are sorted."""
+    if not len(cols[0]):
+        return np.zeros(0, "int64")
+    return np.concatenate(([0], np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in cols])) + 1))
+
+
+def _once(cols: list[np.ndarray]) -> list[np.ndarray]:
+    """Sorted rows without repetitions, as a document that occurs in two equal rows has them."""
+    start = _new(cols)
+    return [x[start] for x in cols]
+
+
 def runs(docs: DataFrame, by_words: bool, k: int, window: int) -> DataFrame:
     """One row per run of windows with one anchor: digests of anchor and content, place, state.
 
@@ -61,7 +74,8 @@ def runs(docs: DataFrame, by_words: bool, k: int, window: int) -> DataFrame:
                 continue
             cols = [np.concatenate(x) for x in zip(*found)]
             order = np.lexsort(cols[::-1])
-            h, c, d, tv, place = (x[order] for x in cols)
+            cols = _once([x[order] for x in cols])
+            h, c, d, tv, place = cols
             copy = np.zeros(len(h), bool)
             copy[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
             z = np.where(copy, COPY, ALONE).astype("int32")
@@ -100,9 +114,11 @@ def shared_runs(docs: DataFrame, by_words: bool, k: int, window: int, name: str)
                 cols = [x[~copy] for x in cols]
             if held is not None:
                 cols = [np.concatenate((x, y)) for x, y in zip(held, cols)]
-            h, c, d, tv, place, z = cols
-            if not len(h):
+            if not len(cols[0]):
                 continue
+            start = _new(cols[:5])
+            cols = [x[start] for x in cols[:5]] + [np.maximum.reduceat(cols[5], start)]
+            h, c, d, tv, place, z = cols
             new_h, new_c = np.ones(len(h), bool), np.ones(len(h), bool)
             new_h[1:] = h[1:] != h[:-1]
             new_c[1:] = new_h[1:] | (c[1:] != c[:-1])
@@ -154,7 +170,7 @@ def windows_of(docs: DataFrame, places: DataFrame, by_words: bool, window: int)
                 continue
             cols = [np.concatenate(x) for x in zip(*found)]
             order = np.lexsort(cols[::-1])
-            w1, w2, d, tv, s = (x[order] for x in cols)
+            w1, w2, d, tv, s = _once([x[order] for x in cols])
             copy = np.zeros(len(w1), bool)
             copy[1:] = (w1[1:] == w1[:-1]) & (w2[1:] == w2[:-1])
             w1 = np.where(copy, R.mix((d ^ s).view("uint64")).view("int64"), w1)

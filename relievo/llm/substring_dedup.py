@@ -31,7 +31,7 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
     # Not stored: the plan then reads the documents' exchange for the last join once more instead of a second one.
     edges = repeats.windows_of(docs, paths.where("first and open"), True, window)
     earlier = Window.partitionBy("w1", "w2").orderBy("d", "tv", "s")
-    again = (edges.withColumn("nth", F.row_number().over(earlier)).where((F.col("nth") > 1) | (F.col("z") == repeats.COPY))
+    again = (edges.withColumn("nth", F.rank().over(earlier)).where((F.col("nth") > 1) | (F.col("z") == repeats.COPY))
              .select("d", "tv", "s", (F.col("s") + window).alias("e")))
     return later.unionByName(again)
 

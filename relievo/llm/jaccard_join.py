@@ -152,38 +152,58 @@ def profiles(docs: DataFrame) -> DataFrame:
         work, "d long, tv long, n long, s1 long, s2 long, keys array<long>, sketch binary")
 
 
+#: Members that each bucket's others are tried with first, and members of a bucket held in memory at once.
+CENTRES, HELD = 4, 1_000_000
+
+
 def _buckets(profile: DataFrame) -> DataFrame:
-    """(k, s, low): members of every key that several different sets show, with the smallest of them.
+    """(k, s, centres): members of every key that several different sets show, and a few of them as centres.
 
-    Rows of 16 bytes are sorted by key and read as a stream; no bucket is held in memory.
+    Rows of 16 bytes are sorted by key and read as a stream. The centres are the members that come
+    first in CENTRES fixed random orders of all sets, so buckets with like members have like centres. A
+    bucket of more than HELD members is handed on in parts with centres of their own.
     """
-    def work(batches):
-        held = (np.zeros(0, "int64"),) * 2  # the last key may go on in the next batch
-
-        def out(k, s):
-            new = np.ones(len(k), bool)
-            new[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
-            k, s = k[new], s[new]
-            first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, "int64")
-            size = np.diff(np.append(first, len(k)))
-            low, several = np.repeat(s[first], size), np.repeat(size > 1, size)
-            return pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (k, s, low)], ["k", "s", "low"])
+    def out(k, s, more=False):
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
+        k, s = k[new], s[new]
+        first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, "int64")
+        size = np.diff(np.append(first, len(k)))
+        several = np.repeat((size > 1) | more, size)
+        centres = []
+        for c in range(CENTRES):
+            order = R.mix(s.view("uint64") + np.uint64(c * 0x9E3779B97F4A7C15 % (1 << 64)))
+            least = np.repeat(np.minimum.reduceat(order, first), size) if len(k) else order
+            at = np.flatnonzero(order == least)  # one in each bucket: the orders have no ties
+            centres.append(np.repeat(s[at], size))
+        flat = np.stack(centres, axis=1)[several].ravel() if len(k) else np.zeros(0, "int64")
+        ends = np.arange(0, len(flat) + 1, CENTRES, dtype="int32")
+        return pa.RecordBatch.from_arrays(
+            [pa.array(k[several]), pa.array(s[several]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["k", "s", "centres"])
 
+    def work(batches):
+        held, parted = (np.zeros(0, "int64"),) * 2, False  # the last key may go on in the next batch
         for batch in batches:
             k, s = (np.concatenate((h, np.asarray(batch.column(c)))) for h, c in zip(held, ("k", "s")))
             if not len(k):
                 continue
             start = int(np.searchsorted(k, k[-1]))
             if start:
-                yield out(k[:start], s[:start])
+                if parted:
+                    end = int(np.searchsorted(k, k[0], "right"))
+                    yield out(k[:end], s[:end], True)
+                    yield out(k[end:start], s[end:start])
+                else:
+                    yield out(k[:start], s[:start])
+                parted = False
             held = k[start:], s[start:]
-            same = np.ones(len(held[0]), bool)
-            same[1:] = held[1][1:] != held[1][:-1]
-            held = held[0][same], held[1][same]
-        yield out(*held)
+            if len(held[0]) > HELD:
+                yield out(*held, True)
+                held, parted = (held[0][-1:], held[1][-1:]), True
+        yield out(*held, parted)
 
     rows = profile.where("keys is not null and size(keys) > 0").select(F.explode("keys").alias("k"), F.col("s1").alias("s"))
-    return rows.repartition("k").sortWithinPartitions("k", "s").mapInArrow(work, "k long, s long, low long")
+    return rows.repartition("k").sortWithinPartitions("k", "s").mapInArrow(work, "k long, s long, centres array<long>")
 
 
 def _near(na, nb, xa, xb):
@@ -291,7 +311,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     1. Each document becomes a set of shingle digests, cut into blocks by size band, and shows a key for
        as many blocks as its size requires (see `_keys`); exact copies show theirs once per task.
-    2. Sets that share a key are candidates. First each member is tried with the smallest set of its bucket;
+    2. Sets that share a key are candidates. First each member is tried with a few centres of its bucket;
        the sketches of the two whole sets rule out most wrong pairs, the real sets decide on the rest.
        This links large groups of near copies without pairing them all.
     3. Members of one bucket that are still in different components are compared tile by tile, sketch
@@ -303,14 +323,15 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     wordless text: empty set, linked with nothing. Equal sets are one group. Rows with a NULL
     identifier take part, but name no component: one of only such rows has a NULL component_id.
     Sets are told apart by 64-bit digests.
-    Returns key, n_shingles, component_id (smallest identifier of the group).
+    Returns key, n_shingles, component_id (smallest identifier of the group), text_digest (xxhash64).
     """
     rows = keyed(docs, key, text).withColumn("d", inner_id())
     profile = stored(profiles(rows), "profiles")
     sketches = (profile.where("sketch is not null").groupBy(F.col("s1").alias("s"))
                 .agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     bucket = stored(_buckets(profile), "buckets")
-    stars = bucket.where("s <> low").select(F.col("low").alias("x"), F.col("s").alias("y")).distinct()
+    star = bucket.select("s", F.explode(F.array_distinct("centres")).alias("c")).where("s <> c")
+    stars = star.select(F.least("s", "c").alias("x"), F.greatest("s", "c").alias("y")).distinct()
     tried = stored(_likely(stars, sketches), "pairs")
 
     def decide(pairs):
@@ -323,7 +344,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     links = decide(tried)
     if not links.isEmpty() or not bucket.isEmpty():
         group = components(links)
-        tagged = bucket.join(group.select(F.col("node").alias("s"), "root"), "s", "left").select(
+        tagged = bucket.select("k", "s").distinct().join(group.select(F.col("node").alias("s"), "root"), "s", "left").select(
             "k", "s", F.coalesce("root", "s").alias("c"))
         mixed = (tagged.groupBy("k").agg(F.min("c").alias("p"), F.max("c").alias("q"), F.count("*").alias("m")).where("p <> q")
                  .select("k", F.ceil(F.col("m") / TILE).alias("tiles")))
@@ -334,14 +355,15 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     else:
         group = components(links)
 
-    member = profile.select("d", "n", "s1").join(group.select(F.col("node").alias("s1"), "root"), "s1", "left")
-    member = stored(member.select("d", "n", F.when(F.col("n") > 0, F.coalesce("root", "s1")).alias("g")), "groups")
+    member = profile.select("d", "tv", "n", "s1").join(group.select(F.col("node").alias("s1"), "root"), "s1", "left")
+    member = stored(member.select("d", "tv", "n", F.when(F.col("n") > 0, F.coalesce("root", "s1")).alias("g")), "groups")
     least = member.where("g is not null").groupBy("g").agg(F.min(outer_id()).alias("least"))
     return (member.join(least, "g", "left")
             .select(outer_id().alias(key), F.col("n").alias("n_shingles"),
-                    F.when(F.col("g").isNull(), outer_id()).otherwise(F.col("least")).alias("component_id")))
+                    F.when(F.col("g").isNull(), outer_id()).otherwise(F.col("least")).alias("component_id"),
+                    F.col("tv").alias("text_digest")))
 
 
 @query("op3_jaccard_join")
 def op3(spark, sf_dir):
-    return link(table(spark, sf_dir, "documents"))
+    return link(table(spark, sf_dir, "documents")).drop("text_digest")

@@ -161,15 +161,17 @@ def _classifier(checked: DataFrame):
 def _found(rows: DataFrame) -> DataFrame:
     """(row, kind, k, start, end, base, score): spans of stored rows (row, hits), base ones and added ones.
 
-    A match of the base patterns that passes its check always stands. Any other candidate is added if
-    the classifier's odds are even or better and it overlaps no base span.
+    A match of the base patterns stands if it passes its check; one that fails only teaches the
+    labelers' reliabilities. Another candidate is added if the classifier's odds are even or better
+    and it overlaps no base span.
     """
     kinds = F.create_map(*[F.lit(x) for name, v in PATTERNS.items() for x in (name, v[0])])
     order = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
     hits = rows.select("row", F.inline("hits"))
     checked = stored(_checked(hits).drop("before", "after", "hit", "digits", "low", "gap", "nth"), "spans")
     named = (checked.withColumn("score", _classifier(checked)).withColumn("kind", kinds[F.col("pat")])
-             .withColumn("k", order[F.col("kind")]).where(F.col("valid") | (F.col("score") >= 0)))
+             .withColumn("k", order[F.col("kind")])
+             .where(F.col("valid") | (~F.col("pat").isin(*[k for k, v in PATTERNS.items() if v[1]]) & (F.col("score") >= 0))))
     line = Window.partitionBy("row").orderBy("start", F.desc("valid"), "end", "k")
     past = F.max(F.when(F.col("valid"), F.col("end"))).over(line.rowsBetween(Window.unboundedPreceding, -1))
     ahead = F.min(F.when(F.col("valid"), F.col("start"))).over(line.rowsBetween(1, Window.unboundedFollowing))

@@ -73,28 +73,28 @@ def assess(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, ke
     Only built-in functions: a first pass counts, a second one joins the n-grams with the weights (at most
     BUCKETS rows, broadcast) and adds up whole numbers per document before anything is shuffled.
     NULL, empty or wordless text: zero counts, score 0, base_failed. NULL identifier: never trusted.
-    Returns key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score.
+    Returns key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score, text_digest (xxhash64).
     """
     rows = texts(docs, key, text)
     named = trusted.select(F.col(trusted_key).alias("d")).where("d is not null")
     weights = gram_weights(rows, named)
     spaces = GAP.replace("\\", "\\\\")
     # `inline` hands out the fields of one struct, so every part is computed once per row.
-    held = rows.select(F.monotonically_increasing_id().alias("row"), "d", F.expr(f"""inline(array({_let(WORDS_SQL, "w", f'''struct(
+    held = rows.select(F.monotonically_increasing_id().alias("row"), "d", F.xxhash64("t").alias("text_digest"), F.expr(f"""inline(array({_let(WORDS_SQL, "w", f'''struct(
         cast(size(w) as bigint) as n_words,
         cast(char_length(regexp_replace(t, '{spaces}', '')) as bigint) as word_chars,
         cast(char_length(t) - char_length(translate(t, '{SYMBOLS}', '')) as bigint) as n_symbols,
         cast({LINES_SQL} as bigint) as n_dup_lines,
         cast(if(size(w) < 3, 0, {REPEATED_SQL}) as bigint) as n_repeat_words,
         {GRAMS_SQL} as f)''')}))"""))
-    stats = ["d", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    stats = ["d", "text_digest", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     # The rows of a document lie together, so adding up leaves one row per document to shuffle.
     out = (held.select("row", *stats, F.explode_outer("f").alias("b")).join(F.broadcast(weights), "b", "left")
            .groupBy("row").agg(*[F.max(c).alias(c) for c in stats], F.sum("weight").alias("sum"), F.count("b").alias("grams"))
            .withColumn("score", F.coalesce(F.col("sum") / F.col("grams"), F.lit(0.0)) / UNIT).withColumnRenamed("d", key))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).select(
-        key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+        key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score", "text_digest")
 
 
 def trusted_of(labels: DataFrame) -> DataFrame:
@@ -104,4 +104,4 @@ def trusted_of(labels: DataFrame) -> DataFrame:
 
 @query("op6_quality_rules")
 def op6(spark, sf_dir):
-    return assess(table(spark, sf_dir, "documents"), trusted_of(table(spark, sf_dir, "labels")))
+    return assess(table(spark, sf_dir, "documents"), trusted_of(table(spark, sf_dir, "labels"))).drop("text_digest")

@@ -121,7 +121,8 @@ def polar_to_cylindrical(cap: DataFrame, band: str, grid: G.PolarGrid, target: D
 
 def merge_cap(cylindrical: DataFrame, cap: DataFrame, band: str, cyl: G.CylindricalGrid,
               grid: G.PolarGrid, inner: float = 80.0, outer: float = 75.0, keys=("tile",)) -> DataFrame:
-    """Feather a cap result into the cylindrical one; a missing cap value has weight 0.
+    """Feather a cap result into the cylindrical one; a missing cap value has weight 0, and where the
+    cylindrical value is missing the cap stands alone.
 
     Only the rows poleward of `outer` take part in the gather; the rest pass through.
     """
@@ -131,5 +132,5 @@ def merge_cap(cylindrical: DataFrame, cap: DataFrame, band: str, cyl: G.Cylindri
     got = polar_to_cylindrical(cap, band, grid, zone, cyl, keys, out="_cap")
     w = F.when(F.col("_cap").isNotNull(), G.cap_weight(lat, inner, outer)).otherwise(F.lit(0.0))
     merged = got.withColumn(band, F.coalesce(F.col("_cap"), F.lit(0.0)) * w
-                            + F.col(band) * (F.lit(1.0) - w)).drop("_cap")
+                            + F.coalesce(F.col(band), F.col("_cap")) * (F.lit(1.0) - w)).drop("_cap")
     return merged.unionByName(rest)

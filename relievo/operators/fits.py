@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,21 +94,17 @@ FIT = "theta_deg double, brightness_db double, residual_db double, n_pixels bigi
 
 
 def fit_patches(df: DataFrame, rv: str, alpha: str, valid, keys=("tile",), min_pixels: int = 200,
-                grid=THETA_GRID, whole_patch: int = 1_000_000) -> DataFrame:
+                grid=THETA_GRID) -> DataFrame:
     """Per patch the incidence angle that best explains the image.
 
     For each candidate angle the brightness offset is the median residual and the misfit the rms
-    about it; the smaller angle wins a tie. Patches are counted first: one of at most
-    `whole_patch` pixels is fitted in one call, a larger one by `_fit_spread`, which never
-    gathers it. Patches with fewer than `min_pixels` are left out.
+    about it; the smaller angle wins a tie. One path for patches of every size, which never gathers
+    one. Patches with fewer than `min_pixels` are left out.
     """
     keys = list(keys)
     usable = df.where(F.coalesce(as_col(valid), F.lit(False))).select(
         *keys, F.col(rv).alias("rv"), F.col(alpha).alias("alpha"))
-    sizes = usable.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_pixels)
-    short = usable.join(sizes.where(F.col("_n") <= whole_patch).select(*keys), keys, "left_semi")
-    long = usable.join(sizes.where(F.col("_n") > whole_patch).select(*keys), keys, "left_semi")
-    return _fit_whole(short, keys, min_pixels, grid).unionByName(_fit_spread(long, keys, min_pixels, grid))
+    return _fit_spread(usable, keys, min_pixels, grid)
 
 
 def _angles(grid) -> np.ndarray:
@@ -118,48 +112,6 @@ def _angles(grid) -> np.ndarray:
     return first + step * np.arange(int(round((last - first) / step)) + 1)
 
 
-def _fit_whole(patches: DataFrame, keys, min_pixels, grid) -> DataFrame:
-    """Patches of a checked size: all angles against all pixels, some angles at a time.
-
-    Facets outside 3..87 degrees are unusable, so the law needs no clamps here, and angle
-    differences come from the sines and cosines of both sides.
-    """
-    names = [f.name for f in patches.schema if f.name in keys]
-    schema = ", ".join(f"{k} {patches.schema[k].dataType.simpleString()}" for k in names) + ", " + FIT
-    angles = np.radians(_angles(grid))
-
-    def law(sine, cosine):
-        s = sine + K.LAW_C * cosine
-        return 10.0 * np.log10(K.LAW_A * cosine / (s * s * s))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        rv, alpha = pdf["rv"].to_numpy(float), pdf["alpha"].to_numpy(float)
-        sa, ca = np.sin(alpha), np.cos(alpha)
-        low, high = math.sin(math.radians(3.0)), math.cos(math.radians(87.0))
-        b, misfit, count = [], [], []
-        for theta in np.array_split(angles, 12):
-            st, ct = np.sin(theta)[:, None], np.cos(theta)[:, None]
-            sine, cosine = st * ca - ct * sa, ct * ca + st * sa
-            ok = (sine > low) & (cosine > high)
-            with np.errstate(all="ignore"):
-                gap = np.where(ok, rv - law(sine, cosine) + law(st, ct), np.inf)
-            gap.sort(axis=1)  # unusable facets go last
-            n = ok.sum(axis=1)
-            for row, k in zip(gap, n):
-                used = row[:k]
-                mid = (used[(k - 1) // 2] + used[k // 2]) / 2.0 if k else np.nan
-                b.append(mid)
-                misfit.append(np.sqrt(np.mean((used - mid) ** 2)) if k >= min_pixels else np.inf)
-            count.extend(n)
-        # A misfit within rounding of the best one is a tie, which the smaller angle wins.
-        best = int(np.argmin(np.round(misfit, 9)))
-        found = pd.DataFrame({**{k: [pdf[k].iat[0]] for k in names}, "theta_deg": [_angles(grid)[best]],
-                              "brightness_db": [b[best]], "residual_db": [misfit[best]], "n_pixels": [count[best]]})
-        return found if np.isfinite(misfit[best]) else found.iloc[:0]
-
-    return spread(patches, *names).groupBy(*names).applyInPandas(fit, schema)
-
-
 def _fit_spread(patches: DataFrame, keys, min_pixels, grid) -> DataFrame:
     """Patches of any size: one row per pixel and angle, an exact distributed median, and the
     misfit from power sums."""

@@ -69,8 +69,13 @@ def mosaic_windows(boxes: DataFrame, grid: G.CylindricalGrid, core: int, margin:
     return b.where(F.abs(F.col("lat")) <= max_lat).drop("_r0", "_r1", "_span", "_c", "_i", "_j")
 
 
-def tile_centres(regions: DataFrame, core_px: int, pixel_m: float, max_lat: float = 78.0) -> DataFrame:
-    """Non-overlapping tile centres over each region, leaving out those that cross a seam."""
+def tile_centres(regions: DataFrame, core_px: int, pixel_m: float, max_lat: float = 78.0,
+                 unwrapped: str | None = None) -> DataFrame:
+    """Non-overlapping tile centres over each region, leaving out those that cross a seam.
+
+    `unwrapped` names a column for the longitude counted on from the western edge, which keeps its order
+    in regions that cross the meridian.
+    """
     step = core_px * pixel_m / K.M_PER_DEG
     east = F.when(F.col("east") < F.col("west"), F.col("east") + 360.0).otherwise(F.col("east"))
     r = regions.withColumn("_e", east)
@@ -84,7 +89,10 @@ def tile_centres(regions: DataFrame, core_px: int, pixel_m: float, max_lat: floa
     r = r.withColumn("_j", _steps(count(F.col("west"), F.col("_e"))))
     r = r.withColumn("_lon", F.col("west") + step / 2 + F.col("_j") * step)
     r = r.where(~crosses_seam(F.col("_lon") - step / 2, F.col("_lon") + step / 2))
-    return r.withColumn("lon", G.lon360("_lon")).drop("_e", "_i", "_j", "_lon")
+    r = r.withColumn("lon", G.lon360("_lon"))
+    if unwrapped:
+        r = r.withColumn(unwrapped, F.col("_lon"))
+    return r.drop("_e", "_i", "_j", "_lon")
 
 
 def strided_pick(rows: DataFrame, per_group: int, keys=("region",), order=("lat", "lon")) -> DataFrame:

@@ -94,7 +94,9 @@ def look_psnr(residual, mask, peak_db: float = 50.0, fit_offset: bool = True) ->
     """PSNR of a rendered look in one pass: removing the offset makes the error a variance."""
     r = F.when(as_col(mask), as_col(residual))
     mse = F.var_pop(r) if fit_offset else F.avg(r * r)
-    return F.log10(F.lit(peak_db * peak_db) / F.greatest(mse, F.lit(1e-9))) * 10.0
+    # `greatest` passes over NULL, so a tile without a usable pixel is told apart first.
+    floored = F.when(mse.isNotNull(), F.greatest(mse, F.lit(1e-9)))
+    return F.log10(F.lit(peak_db * peak_db) / floored) * 10.0
 
 
 def rendered_residual(df: DataFrame, z: str, observed: str, valid, theta, look, pixel_m,
@@ -125,10 +127,10 @@ def metric_table(long: DataFrame, metrics: list[str]) -> DataFrame:
 
 
 def skill_table(table: DataFrame, baseline: str, metric: str = "mae_vs_truth") -> DataFrame:
-    """Add the skill of each run against the baseline run."""
+    """Add the skill of each run against the baseline run; NULL where the baseline has no value."""
     base = table.where(F.col("run") == baseline).select(F.col(metric).alias("_base"))
     return attach(table, base).withColumn(
-        "skill", F.lit(1.0) - F.col(metric) / F.greatest(F.col("_base"), F.lit(1e-9))).drop("_base")
+        "skill", F.lit(1.0) - F.col(metric) / F.when(F.col("_base").isNotNull(), F.greatest(F.col("_base"), F.lit(1e-9)))).drop("_base")
 
 
 def weighted_table(batches: DataFrame, metrics: list[str], weight: str = "n", keys=()) -> DataFrame:

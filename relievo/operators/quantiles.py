@@ -8,34 +8,18 @@ from pyspark.sql import functions as F
 from ..functions.base import as_col, attach
 
 SUB_BUCKETS = 1024
-SMALL_GROUP = 50_000  # values that may be sorted as one array
 
 
 def exact_quantiles(df: DataFrame, keys, value, quantiles: dict[str, float], mode: str = "linear",
-                    accuracy: int = 10_000, extra=(), sizes: DataFrame | None = None,
-                    small: int = SMALL_GROUP) -> DataFrame:
+                    accuracy: int = 10_000, extra=()) -> DataFrame:
     """Exact quantiles per group, as (keys, n, <extra>..., <name>...).
 
     mode "linear" interpolates between the two neighbouring ranks (the median of an even count
     is the mean of the middle pair); "disc" takes the smallest value whose cumulative share
-    reaches q.
-
-    Groups are counted first. Those of at most `small` values are sorted as one short array each;
-    larger ones go through `spread_quantiles`, which never gathers a group. `sizes` may give
-    known upper bounds as (some of the keys, _n) and saves the count. `extra` are aggregates to
+    reaches q. One path for groups of every size: see `spread_quantiles`. `extra` are aggregates to
     add from the same pass. Rows with a NULL key are not a group.
     """
-    keys = list(keys)
-    if not keys:
-        return spread_quantiles(df, keys, value, quantiles, mode, accuracy, extra)
-    src = df.where(as_col(value).isNotNull()).withColumn("_v", as_col(value).cast("double"))
-    if sizes is None:
-        sizes = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    on = [c for c in sizes.columns if c != "_n"]
-    short = src.join(sizes.where(F.col("_n") <= small).select(*on), on, "left_semi")
-    long = src.join(sizes.where(F.col("_n") > small).select(*on), on, "left_semi")
-    return _short_quantiles(short, keys, quantiles, mode, extra).unionByName(
-        spread_quantiles(long, keys, "_v", quantiles, mode, accuracy, extra))
+    return spread_quantiles(df, keys, value, quantiles, mode, accuracy, extra)
 
 
 def _rank(n, q: float, mode: str):
@@ -44,17 +28,6 @@ def _rank(n, q: float, mode: str):
     return (n - 1) * F.lit(q)
 
 
-def _short_quantiles(src: DataFrame, keys, quantiles, mode, extra) -> DataFrame:
-    """Groups of a checked small size: one sorted array per group."""
-    d = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *extra,
-                               F.sort_array(F.collect_list("_v")).alias("_all"))
-    for name, q in quantiles.items():
-        k = _rank(F.col("n"), q, mode)
-        low, high = (F.get(F.col("_all"), f(k).cast("int")) for f in (F.floor, F.ceil))
-        d = d.withColumn(name, low + (high - low) * (k - F.floor(k)))
-    return d.drop("_all")
-
-
 def spread_quantiles(df: DataFrame, keys, value, quantiles: dict[str, float], mode: str = "linear",
                      accuracy: int = 10_000, extra=()) -> DataFrame:
     """Groups of any size, over all tasks.
@@ -113,7 +86,9 @@ def spread_quantiles(df: DataFrame, keys, value, quantiles: dict[str, float], mo
     out = ranked.groupBy(*keys).agg(*picks, *[F.first(c).alias(c) for c in carried])
     for i, name in enumerate(names):
         k = F.col(f"_k{i}")
-        out = out.withColumn(name, F.col(f"_a{i}")
-                             + (F.col(f"_b{i}") - F.col(f"_a{i}")) * (k - F.floor(k)))
+        met = F.col(f"_a{i}").isNotNull() & F.col(f"_b{i}").isNotNull()
+        # A bracket that misses its rank is an error, never a silent NULL.
+        out = out.withColumn(name, F.when(met, F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * (k - F.floor(k)))
+                             .otherwise(F.raise_error(F.lit(f"no value at the rank of {name}")).cast("double")))
     kept = [c for c in carried if not c.startswith(("_k", "_lo", "_hi"))]
     return out.select(*keys, *kept, *names)

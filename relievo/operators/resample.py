@@ -357,13 +357,21 @@ class Footprint:
     azimuth_rad: float = 0.0
 
 
-def footprint_kernel(fp: Footprint, pixel_m: float, truncate: float = 2.5) -> np.ndarray:
-    half = max(1, math.ceil(truncate * max(fp.sigma_along_m, fp.sigma_cross_m) / pixel_m))
-    south, east = np.mgrid[-half:half + 1, -half:half + 1] * pixel_m
-    ca, sa = math.cos(fp.azimuth_rad), math.sin(fp.azimuth_rad)
-    along, cross = east * sa - south * ca, east * ca + south * sa
-    k = np.exp(-0.5 * ((along / fp.sigma_along_m) ** 2 + (cross / fp.sigma_cross_m) ** 2))
-    return k / k.sum()
+    def covariance(self, less_m: float = 0.0, least_m: float = 0.0) -> np.ndarray:
+        """Covariance in (east, north), m^2: an isotropic width already applied is taken off each axis."""
+        along = np.array([math.sin(self.azimuth_rad), math.cos(self.azimuth_rad)])
+        cross = np.array([along[1], -along[0]])
+        var = [max(s * s - less_m * less_m, least_m * least_m) for s in (self.sigma_along_m, self.sigma_cross_m)]
+        return var[0] * np.outer(along, along) + var[1] * np.outer(cross, cross)
+
+
+def gaussian_kernel(covariance: np.ndarray, pixel_m: float, truncate: float) -> np.ndarray:
+    """Weights of a Gaussian with a given covariance on an odd square grid whose rows go south."""
+    reach = truncate * math.sqrt(np.linalg.eigvalsh(covariance)[-1])
+    steps = np.arange(-(n := max(1, math.ceil(reach / pixel_m - 1e-9))), n + 1) * pixel_m
+    at = np.stack(np.broadcast_arrays(steps[None, :], -steps[:, None]), axis=-1)
+    weights = np.exp(-0.5 * np.einsum("...i,ij,...j->...", at, np.linalg.inv(covariance), at))
+    return weights / weights.sum()
 
 
 def apply_kernel(df: DataFrame, band: str, kernel: np.ndarray, height: int, width: int,
@@ -417,19 +425,20 @@ class BlurPlan:
 
 def plan_blur(fp: Footprint, pixel_m: float, height: int, width: int, truncate: float = 3.5,
               max_kernel_px: int = 96) -> BlurPlan:
-    narrow, wide = sorted((fp.sigma_along_m, fp.sigma_cross_m))
-    f = max(1, int(narrow / (4.0 * pixel_m)))
-    while f > 1 and truncate * wide / (pixel_m * f) > max_kernel_px:
-        f += 1
-    coarse = pixel_m * f
-    spent = coarse if f > 1 else 0.0  # width already applied by the reduction
-
-    def rest(s):
-        return math.sqrt(max(s * s - spent * spent, (0.5 * coarse) ** 2))
-
-    kernel = footprint_kernel(Footprint(rest(fp.sigma_along_m), rest(fp.sigma_cross_m),
-                                        fp.azimuth_rad), coarse, truncate)
-    return BlurPlan(f, kernel, cells_of(height, f), cells_of(width, f))
+    """Reduce so far that a coarse pixel is a quarter of the narrow axis.
+
+    If that leaves a kernel wider than `max_kernel_px`, reduce further; this depends on the instrument and
+    the pixel alone, never on the amount of data. The reduction's own blur, one coarse pixel wide, is
+    taken off the kernel.
+    """
+    axes = fp.sigma_along_m, fp.sigma_cross_m
+    factor = int(min(axes) / (4.0 * pixel_m))
+    if factor > 1:
+        factor = max(factor, math.ceil(truncate * max(axes) / (pixel_m * max_kernel_px) - 1e-12))
+    factor = max(1, factor)
+    coarse = factor * pixel_m
+    kernel = gaussian_kernel(fp.covariance(coarse if factor > 1 else 0.0, coarse / 2.0), coarse, truncate)
+    return BlurPlan(factor, kernel, cells_of(height, factor), cells_of(width, factor))
 
 
 def footprint_blur(df: DataFrame, band: str, fp: Footprint, pixel_m: float, height: int, width: int,

@@ -95,7 +95,10 @@ def render(df: DataFrame, z: str, theta, look, pixel_m, brightness=None, margin_
 
 def rms_slope(df: DataFrame, z: str, pixel_m, cell_px: int, height, width, keys=("tile",),
               block: int = BLOCK_PX) -> DataFrame:
-    """Rms slope (radians) per `cell_px` block as (keys, crow, ccol); partial cells are dropped."""
+    """Rms slope (radians) per `cell_px` block as (keys, crow, ccol); partial cells are dropped.
+
+    A cell without a height is NULL, not flat.
+    """
     g = sobel(df, z, pixel_m, keys, block)
     whole = (F.col("row") < F.floor(as_col(height) / cell_px) * cell_px) & (
         F.col("col") < F.floor(as_col(width) / cell_px) * cell_px)
@@ -103,7 +106,7 @@ def rms_slope(df: DataFrame, z: str, pixel_m, cell_px: int, height, width, keys=
     return (g.where(whole)
             .groupBy(*keys, F.floor(F.col("row") / cell_px).alias("crow"),
                      F.floor(F.col("col") / cell_px).alias("ccol"))
-            .agg(F.atan(F.sqrt(F.greatest(F.avg(s2), F.lit(1e-8)))).alias("rms_slope")))
+            .agg(F.when(F.count(z) > 0, F.atan(F.sqrt(F.greatest(F.avg(s2), F.lit(1e-8))))).alias("rms_slope")))
 
 
 def hillshade(df: DataFrame, z: str, azimuth_deg: float = 315.0, altitude_deg: float = 45.0,

@@ -43,9 +43,9 @@ class IngestSpec:
 
 def plan_tiles(regions: DataFrame, spec: IngestSpec) -> DataFrame:
     """(tile, region, lon, lat, quad, west..north): what an ingest will read."""
-    c = grids.tile_centres(regions, spec.core_px, spec.pixel_m, spec.max_lat).select("region", "lon", "lat")
+    c = grids.tile_centres(regions, spec.core_px, spec.pixel_m, spec.max_lat, "eastward").select("region", "lon", "lat", "eastward")
     if spec.per_region:
-        c = grids.strided_pick(c, spec.per_region)
+        c = grids.strided_pick(c, spec.per_region, order=("lat", "eastward"))
     span = (spec.core_px + 2 * spec.margin_px) * spec.pixel_m
     c = c.withColumns({"tile": F.xxhash64("region", "lon", "lat"), "quad": G.quad_id("lat", "lon"),
                        "_b": grids.centred_box("lon", "lat", span)})

@@ -83,7 +83,7 @@ def mosaic_windows(spark, sf):
 
 
 _STEP = "(512e0*300e0/(radians(1e0)*6051800e0))"
-_CENTRES = f"""centres AS (SELECT box, lat, ((lo%360e0)+360e0)%360e0 AS lon FROM (
+_CENTRES = f"""centres AS (SELECT box, lat, lo, ((lo%360e0)+360e0)%360e0 AS lon FROM (
    SELECT box, south+{_STEP}/2e0+i*{_STEP} AS lat, west+{_STEP}/2e0+j*{_STEP} AS lo FROM (SELECT *, CASE WHEN east<west THEN east+360e0 ELSE east END AS e FROM boxes),
      LATERAL generate_series(0,60) a(i), LATERAL generate_series(0,60) b(j)
      WHERE south+{_STEP}/2e0+i*{_STEP}<north AND west+{_STEP}/2e0+j*{_STEP}<e)
@@ -96,11 +96,11 @@ def region_tile_centres(spark, sf):
 
 
 @query("strided_tiles", sql("boxes", f"""SELECT box, {rs('lon')} AS lon, {rs('lat')} AS lat FROM
-   (SELECT *, row_number() OVER (PARTITION BY box ORDER BY lat, lon)-1 AS k, count(*) OVER (PARTITION BY box) AS n FROM centres)
+   (SELECT *, row_number() OVER (PARTITION BY box ORDER BY lat, lo)-1 AS k, count(*) OVER (PARTITION BY box) AS n FROM centres)
    WHERE n<=7 OR k IN (SELECT CAST(floor(i*n/7e0) AS BIGINT) FROM generate_series(0,6) g(i))""", _CENTRES))
 def strided_tiles(spark, sf):
-    c = grids.tile_centres(B.boxes(spark, sf), 512, 300.0, 50.0).select("box", "lon", "lat")
-    return rounded_cols(grids.strided_pick(c, 7, ("box",), ("lat", "lon")))
+    c = grids.tile_centres(B.boxes(spark, sf), 512, 300.0, 50.0, "eastward").select("box", "lon", "lat", "eastward")
+    return rounded_cols(grids.strided_pick(c, 7, ("box",), ("lat", "eastward")).drop("eastward"))
 
 
 _RG = f"""rb AS (SELECT box, (west+e)/2e0-h AS west, (south+north)/2e0-h AS south, (west+e)/2e0+h AS east, (south+north)/2e0+h AS north FROM

@@ -36,7 +36,7 @@ def select_tiles(tiles: DataFrame, held_out: DataFrame, part: str, on: str = "qu
     """Tiles of a split, within the latitude gate and, if asked, with a stereo DEM."""
     t = tiles.where(inside_latitudes(lat, max_lat))
     if require_stereo:
-        t = t.where(F.col("has_stereo_dem") > 0.5)
+        t = t.where(F.col("has_stereo_dem").cast("double") > 0.5)  # a flag or a share
     return split(t, held_out, part, on)
 
 

@@ -46,9 +46,14 @@ def status(heartbeats: DataFrame, now, keys=("run",)) -> DataFrame:
 def progress_from_logs(lines: DataFrame, text: str = "line", keys=("run",), order: str = "pos") -> DataFrame:
     """Progress of runs that only left a log: last step line, total steps and finish marker."""
     t = F.col(text)
-    total = F.regexp_extract(t, r"steps=(\d+)", 1)
-    step = F.regexp_extract(t, r"^step\s+(\d+).*?\(\d+\.\d+s/step\)", 1)
-    rate = F.regexp_extract(t, r"^step\s+\d+.*?\((\d+\.\d+)s/step\)", 1)
+    # Fixed values, the log's own words: "steps=N"; "step N ... (R.Rs/step)"; "final val"; "=== EVAL".
+    total = F.regexp_extract(F.get(F.split(t, "steps=", 2), 1), "^[0-9]+", 0)
+    told = F.split(t, "s/step[)]", 2)
+    paced = F.when(F.size(told) == 2, F.get(told, 0))
+    rate = F.regexp_extract(paced, "[(]([0-9]+[.][0-9]+)$", 1)
+    number = F.regexp_extract(paced, "^step +([0-9]+)", 1)
+    step = F.when(F.coalesce(rate, F.lit("")) != "", number).otherwise("")
+    total, rate = F.coalesce(total, F.lit("")), F.when(step != "", rate)
     done = t.startswith("final val") | t.startswith("=== EVAL")
     d = lines.withColumns({
         "_total": F.when(total != "", total.cast("bigint")), "_step": F.when(step != "", step.cast("bigint")),
@@ -70,11 +75,11 @@ def with_logs(heartbeats: DataFrame, logged: DataFrame, keys=("run",)) -> DataFr
                                   allowMissingColumns=True)
 
 
-def status_stream(heartbeats: DataFrame, stale_s: float = STALE_S) -> DataFrame:
+def status_stream(heartbeats: DataFrame, stale_s: float = STALE_S, forget_s: float = 86_400.0) -> DataFrame:
     """State changes of each run from a stream of (run, step, steps, seconds_per_step, updated).
 
     The state per run is its last heartbeat; a processing-time timeout reports `stalled` when
-    none follows, and a finished run drops its state.
+    none follows. A finished run keeps a marker for `forget_s`, so a late older beat is not reported.
     """
     out = "run string, step bigint, steps bigint, state string, eta_s double"
     state = "step bigint, steps bigint, rate double, updated double"
@@ -83,21 +88,22 @@ def status_stream(heartbeats: DataFrame, stale_s: float = STALE_S) -> DataFrame:
         if held.hasTimedOut:
             step, steps, _, _ = held.get
             held.remove()
+            if step / max(steps, 1) >= DONE_SHARE:
+                return  # the marker of a finished run
             yield pd.DataFrame([(key[0], step, steps, "stalled", None)], columns=["run", "step", "steps", "state", "eta_s"])
             return
         step, steps, rate, updated = held.get if held.exists else (-1, 0, 0.0, float("-inf"))
+        if held.exists and step / max(steps, 1) >= DONE_SHARE:
+            held.setTimeoutDuration(int(forget_s * 1000))
+            return
         for pdf in batches:
             last = pdf.sort_values(["updated", "step"]).iloc[-1]
             if (last["updated"], last["step"]) >= (updated, step):
                 step, steps = int(last["step"]), int(last["steps"])
                 rate, updated = float(last["seconds_per_step"]), float(last["updated"])
         done = step / max(steps, 1) >= DONE_SHARE
-        if done:
-            if held.exists:
-                held.remove()
-        else:
-            held.update((step, steps, rate, updated))
-            held.setTimeoutDuration(int(stale_s * 1000))
+        held.update((step, steps, rate, updated))
+        held.setTimeoutDuration(int((forget_s if done else stale_s) * 1000))
         yield pd.DataFrame([(key[0], step, steps, "done" if done else "running",
                              0.0 if done else max(rate * (steps - step), 0.0))],
                            columns=["run", "step", "steps", "state", "eta_s"])

@@ -94,9 +94,13 @@ def run_tiled(pixels: DataFrame, height, width, tile: int, overlap: int,
 
 # --- polar caps -----------------------------------------------------------------------------------
 def polar_pixels(base: DataFrame, grid: G.PolarGrid) -> DataFrame:
-    """The cells of a polar grid for every row of `base` (its key columns are kept)."""
+    """The cells of a polar grid for every row of `base` (its key columns are kept).
+
+    Grid rows are spread over tasks before each becomes a line of cells.
+    """
     n = F.sequence(F.lit(0), F.lit(grid.size - 1))
-    return (base.withColumn("row", F.explode(n)).withColumn("col", F.explode(n))
+    lines = spread(base.withColumn("row", F.explode(n)), *base.columns, "row")
+    return (lines.withColumn("col", F.explode(n))
             .withColumns({"lon": grid.lon("row", "col"), "lat": grid.lat("row", "col")}))
 
 

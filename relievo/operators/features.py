@@ -44,3 +44,13 @@ def search(features: DataFrame, query: str, limit: int = 12) -> DataFrame:
         return features.withColumn("rank", F.lit(0)).where(F.lit(False))
     return (features.withColumn("rank", match_rank("name", query)).where(F.col("rank").isNotNull())
             .orderBy("rank", "name").limit(limit))
+
+
+def ordered(features: DataFrame, by: str = "name", region: str = "region") -> DataFrame:
+    """Features by name, or by region and then name; case and accents do not count, missing regions come last."""
+    name = F.collate(F.col("name"), FOLD)
+    if by == "name":
+        return features.orderBy(name, "name")
+    if by == "region":
+        return features.orderBy(F.col(region).isNull(), F.collate(F.col(region), FOLD), name, "name")
+    raise ValueError(f"unknown order {by!r}")

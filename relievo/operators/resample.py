@@ -269,8 +269,8 @@ def bilinear_gather(points: DataFrame, raster: DataFrame, band: str, height, wid
     c0 = F.floor(c)
     placed = points.withColumns({
         "_fr": r - F.floor(r), "_fc": c - c0,
-        "_r0": F.when(usable, F.floor(r).cast("int")),
-        "_c0": F.when(usable, (F.pmod(c0, w) if edge == "wrap" else c0).cast("int"))})
+        "_r0": _cell(points, F.floor(r), usable, *keys, *at, "row", "col"),
+        "_c0": _cell(points, F.pmod(c0, w) if edge == "wrap" else c0, usable, *keys, *at, "row", "col")})
     joined = placed.join(patch, [*keys, "_r0", "_c0"], "left")
     fr, fc = F.col("_fr"), F.col("_fc")
     top = F.col("_v") * (F.lit(1.0) - fc) + F.col("_v01") * fc
@@ -279,6 +279,15 @@ def bilinear_gather(points: DataFrame, raster: DataFrame, band: str, height, wid
         *({"_v", "_v01", "_v10", "_v11", "_r0", "_c0", "_fr", "_fc"} - {out}))
 
 
+def _cell(points: DataFrame, index, usable, *names):
+    """A point's patch index; an unusable point gets one that no patch has, different from its like.
+
+    Without it all such points would meet on one NULL key.
+    """
+    apart = -1 - F.pmod(F.xxhash64(*[c for c in points.columns if c in names]), F.lit(1 << 24)).cast("int")
+    return F.when(F.coalesce(usable, F.lit(False)), index.cast("int")).otherwise(apart)
+
+
 def cubic_gather(points: DataFrame, raster: DataFrame, band: str, height, width, keys=("tile",),
                  at=("src_row", "src_col"), out: str | None = None, a: float = -0.5,
                  block: int = BLOCK_PX) -> DataFrame:
@@ -299,7 +308,8 @@ def cubic_gather(points: DataFrame, raster: DataFrame, band: str, height, width,
     r, c = clamp(r, 0.0, h - 1.0), clamp(c, 0.0, w - 1.0)
     placed = points.withColumns({
         "_fr": r - F.floor(r), "_fc": c - F.floor(c),
-        "_r0": F.when(usable, F.floor(r).cast("int")), "_c0": F.when(usable, F.floor(c).cast("int"))})
+        "_r0": _cell(points, F.floor(r), usable, *keys, *at, "row", "col"),
+        "_c0": _cell(points, F.floor(c), usable, *keys, *at, "row", "col")})
     wy, wx = _cubic_weights(F.col("_fr"), a), _cubic_weights(F.col("_fc"), a)
     total = F.lit(0.0)
     for m, y in zip(names, wy):

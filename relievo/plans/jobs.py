@@ -13,6 +13,7 @@ from ..functions import geodesy as G
 from ..functions import radiometry as R
 from ..functions.base import attach
 from ..operators import blend, grids, masks, metrics
+from ..operators.blocks import spread
 from ..operators.coregister import DEFAULTS, ProductGrid, sample_product
 from ..operators.fits import datum_tie
 from ..operators.resample import Footprint
@@ -97,7 +98,8 @@ def region_product(regions: DataFrame, span_m: float, pixel_m: float, tile_px: i
     canvas = tiles.select("region", (F.col("height") * F.col("width")).alias("_canvas")).distinct()
     deg = pixel_m / K.M_PER_DEG
     step = F.sequence(F.lit(0), F.lit(tile_px - 1))
-    px = (tiles.withColumn("row", F.explode(step)).withColumn("col", F.explode(step)))
+    lines = spread(tiles.withColumn("row", F.explode(step)), "region", "orow", "ocol", "row")
+    px = lines.withColumn("col", F.explode(step))
     px = px.select("region", "orow", "ocol", "row", "col",
                    (F.col("west") + (F.col("ocol") + F.col("col") + 0.5) * deg).alias("lon"),
                    (F.col("north") - (F.col("orow") + F.col("row") + 0.5) * deg).alias("lat"))

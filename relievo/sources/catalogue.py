@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,11 +40,25 @@ def list_files(spark: SparkSession, path: str, glob: str = "*", recursive: bool
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), "length")
 
 
-def checksums(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """SHA-256 per file. A file is one binary value, so files are limited to 2 GB."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-             .option("recursiveFileLookup", "true").load(path))
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+def checksums(spark: SparkSession, path: str, glob: str = "*", block: int = 1 << 23) -> DataFrame:
+    """SHA-256 per file of any size: one file per task, read in blocks from wherever its URI points.
+
+    Empty files are not listed by the scan and have no row.
+    """
+    def digest(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"path": pdf["path"], "length": pdf["length"], "sha256": [one(p) for p in pdf["path"]]})
+
+    def one(uri: str) -> str:
+        found = hashlib.sha256()
+        store, inner = FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", uri))
+        with store.open_input_stream(inner) as stream:
+            while part := stream.read(block):
+                found.update(part)
+        return found.hexdigest()
+
+    files = list_files(spark, path, glob).select("path", "length")
+    return files.repartition("path").mapInPandas(digest, "path string, length long, sha256 string")
 
 
 def payload_checksums(df: DataFrame, content) -> DataFrame:

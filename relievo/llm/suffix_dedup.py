@@ -13,7 +13,7 @@ from .common import inner_id, keyed, outer_id, query, stored, table
 
 #: Bytes of an anchor.
 ANCHOR = 64
-#: Contexts of one anchor that one suffix array holds; anchors with more are compared window by window.
+#: Contexts of one anchor that one suffix array holds, 736 bytes each at most; with more, strings are counted.
 TREE_ROWS = 20_000
 
 

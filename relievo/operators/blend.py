@@ -123,17 +123,33 @@ def polar_to_cylindrical(cap: DataFrame, band: str, grid: G.PolarGrid, target: D
         "src_row", "src_col", "_lon", "_lat")
 
 
+def cap_cells(base: DataFrame, cyl: G.CylindricalGrid, polar: Column) -> DataFrame:
+    """The pixels of a cylindrical grid in the rows where `polar` holds, for every row of `base`.
+
+    Grid rows are spread over tasks before each becomes a line of pixels.
+    """
+    lines = base.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(cyl.height - 1)))).where(polar)
+    return spread(lines, *base.columns, "row").withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(cyl.width - 1))))
+
+
 def merge_cap(cylindrical: DataFrame, cap: DataFrame, band: str, cyl: G.CylindricalGrid,
               grid: G.PolarGrid, inner: float = 80.0, outer: float = 75.0, keys=("tile",)) -> DataFrame:
     """Feather a cap result into the cylindrical one; a missing cap value has weight 0, and where the
-    cylindrical value is missing the cap stands alone.
+    cylindrical value is NULL or its pixel absent the cap stands alone.
 
-    Only the rows poleward of `outer` take part in the gather; the rest pass through.
+    Only the rows poleward of `outer` take part in the gather; the rest pass through. Absent pixels
+    come back only with a cap value, and with NULL in the other columns.
     """
     lat = cyl.lat("row")
     polar = (lat > outer) if grid.north else (lat < -outer)
     zone, rest = cylindrical.where(polar), cylindrical.where(~polar)
-    got = polar_to_cylindrical(cap, band, grid, zone, cyl, keys, out="_cap")
+    at = [*keys, "row", "col"]
+    cells = cap_cells(cylindrical.select(*keys).union(cap.select(*keys)).distinct().na.drop(), cyl, polar)
+    cells = cells.select(*[F.col(c).cast(cylindrical.schema[c].dataType).alias(c) for c in at])
+    absent = cells.join(zone.select(*at), at, "left_anti").withColumn("_absent", F.lit(True))
+    target = zone.withColumn("_absent", F.lit(False)).unionByName(absent, allowMissingColumns=True)
+    got = polar_to_cylindrical(cap, band, grid, target, cyl, keys, out="_cap")
+    got = got.where(~F.col("_absent") | F.col("_cap").isNotNull()).drop("_absent")
     w = F.when(F.col("_cap").isNotNull(), G.cap_weight(lat, inner, outer)).otherwise(F.lit(0.0))
     merged = got.withColumn(band, F.coalesce(F.col("_cap"), F.lit(0.0)) * w
                             + F.coalesce(F.col(band), F.col("_cap")) * (F.lit(1.0) - w)).drop("_cap")

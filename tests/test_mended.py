@@ -76,6 +76,27 @@ def test_missing_cylindrical_value_is_the_caps(spark):
     assert got["z"].notna().all()
 
 
+def test_cap_fills_absent_pixels(spark, frame):
+    cyl, grid = G.CylindricalGrid(20, 90), G.PolarGrid(40, 100_000.0)
+    z = np.full((90, 20), 7.0)
+    base = frame(z=z).withColumn("seen", F.lit(1))
+    made = blend.cylindrical_to_polar(base, "z", cyl, grid).select("tile", "row", "col", "z")
+    cap = made.withColumn("z", F.col("z") + 1.0)
+    polar = F.col("row") < 7  # poleward of 75 degrees
+    want = {(r["row"], r["col"]) for r in base.where(polar).collect()}
+    holes = base.where(~polar | ((F.col("row") + F.col("col")) % 3 != 0))
+    for held in (holes, base.where(~polar), base.limit(0)):
+        had = {(r["row"], r["col"]) for r in held.collect()}
+        got = blend.merge_cap(held, cap, "z", cyl, grid).collect()
+        assert {(r["row"], r["col"]) for r in got} == want | had and len(got) == len(want | had)
+        assert all(r["z"] == 8.0 and r["seen"] is None for r in got if (r["row"], r["col"]) not in had)
+    # without a cap value an absent pixel stays absent, and rows without a key pass through
+    nothing = cap.withColumn("z", F.lit(None).cast("double"))
+    assert blend.merge_cap(holes, nothing, "z", cyl, grid).count() == holes.count()
+    nameless = holes.withColumn("tile", F.lit(None).cast("long"))
+    assert blend.merge_cap(nameless, cap.limit(0), "z", cyl, grid).count() == holes.count()
+
+
 def test_checksums_read_in_blocks(spark, tmp_path):
     data = bytes(range(256)) * 5000
     (tmp_path / "a.bin").write_bytes(data)

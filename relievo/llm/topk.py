@@ -63,14 +63,23 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return as_int(q).dot(as_int(x).T) if q.size and x.size else np.zeros((len(q), len(x)), object)
 
 
+def score_bounds(plus: np.ndarray, minus: np.ndarray, x: np.ndarray, top, bottom, low, high):
+    """Bounds of all scores after the components of at least `top` and of at most `bottom` have been read."""
+    upper = plus @ np.maximum(x, top).T + minus @ np.minimum(x, bottom).T
+    lower = plus @ np.where(x >= top, x, low).T + minus @ np.where(x <= bottom, x, high).T
+    return lower, upper
+
+
 def scan_lists(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int):
-    """The k best candidates of one block for each query, by reading sorted lists only.
+    """The k best candidates of one block for each query, by reading sorted lists until bounds decide.
 
     List i holds the candidates sorted by component i. It is read from its top for a query whose
     weight i is positive, from its bottom otherwise. After depth t, a component not yet read lies
     between the last value read and the far end of the list, which bounds the score from both sides.
-    A candidate whose upper bound is below the k-th lower bound is out; reading goes on, to twice the
-    depth, for queries that have outsiders left, and ends with the whole list, where bounds are scores.
+    A candidate whose upper bound is below the k-th lower bound is out. Reading goes on, to twice the
+    depth, only for queries with more than k candidates left and over candidates that one of these has
+    left. The candidates left are then scored, which is what reading the lists to their end gives.
+    Where products may pass 2^53, all candidates are scored in whole numbers instead, without reading lists.
     Yields (query id, candidate ids, scores).
     """
     m, k = len(x), min(k, len(x))
@@ -84,27 +93,27 @@ def scan_lists(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarra
     lists = np.sort(x, axis=0)
     low, high = lists[0], lists[-1]
     plus, minus = np.maximum(q, 0), np.minimum(q, 0)
-    own = q_ids[:, None] == x_ids[None, :]
-    open_q, alive = np.arange(len(q)), ~own
+    alive = q_ids[:, None] != x_ids[None, :]
     depth = max(1, m // 8)
-    while True:
-        top, bottom = lists[max(0, m - depth)], lists[min(m, depth) - 1]
-        p, n = plus[open_q], minus[open_q]
-        upper = p @ np.maximum(x, top).T + n @ np.minimum(x, bottom).T
-        if depth >= m:
-            scores = upper
-        else:
-            lower = p @ np.where(x >= top, x, low).T + n @ np.where(x <= bottom, x, high).T
-            lower[own[open_q]] = -np.inf
-            rank = np.partition(lower, m - k, axis=1)[:, m - k]
-            alive[open_q] &= upper >= rank[:, None]
-            depth *= 2
-            continue
-        break
-    for i in open_q:
+    while depth < m:
+        open_q = np.flatnonzero(alive.sum(axis=1) > k)
+        if not len(open_q):
+            break
+        left = np.flatnonzero(alive[open_q].any(axis=0))
+        lower, upper = score_bounds(plus[open_q], minus[open_q], x[left], lists[m - depth], lists[depth - 1], low, high)
+        held = alive[np.ix_(open_q, left)]
+        lower[~held] = -np.inf
+        rank = np.partition(lower, len(left) - k, axis=1)[:, len(left) - k]
+        alive[np.ix_(open_q, left)] = held & (upper >= rank[:, None])
+        depth *= 2
+    open_q = alive.sum(axis=1) > k
+    left = np.flatnonzero(alive[open_q].any(axis=0))
+    together = dict(zip(np.flatnonzero(open_q), q[open_q] @ x[left].T))
+    for i in range(len(q)):
         keep = np.flatnonzero(alive[i])
-        keep = keep[np.lexsort((x_ids[keep], -scores[i, keep]))[:k]]
-        yield q_ids[i], x_ids[keep], scores[i, keep].astype("int64")
+        scores = together[i][np.searchsorted(left, keep)] if i in together else x[keep] @ q[i]
+        best = np.lexsort((x_ids[keep], -scores))[:k]
+        yield q_ids[i], x_ids[keep[best]], scores[best].astype("int64")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding",

@@ -367,6 +367,29 @@ def test_top_k(spark):
     assert {tuple(r) for r in topk.top_k(few, few, 10).collect()} == brute_top(rows[:4], lambda i: True, 10)
 
 
+def test_top_k_stops_reading(monkeypatch):
+    """Decided queries are not read on, candidates that are out are not read again, and the answer stays exact."""
+    rounds, bounds = [], topk.score_bounds
+
+    def seen(plus, minus, x, *rest):
+        rounds.append((len(plus), len(x)))
+        return bounds(plus, minus, x, *rest)
+
+    monkeypatch.setattr(topk, "score_bounds", seen)
+    rng = np.random.default_rng(2)
+    x = np.floor(1024 * rng.normal(size=(800, 2)) ** 3)
+    x[:, 1] = np.floor(x[:, 1] / 50)
+    ids = np.arange(800)
+    for q in (x[:40], np.sign(x[:40]), np.array([[1.0, 0.0]])):
+        rounds.clear()
+        for i, (qi, got, scores) in enumerate(topk.scan_lists(q, ids[:len(q)], x, ids, 5)):
+            want = sorted((-int(v), int(j)) for v, j in zip(x @ q[i], ids) if j != qi)[:5]
+            assert list(zip((-scores).tolist(), got.tolist())) == want
+        assert rounds[0] == (len(q), 800 - (len(q) == 1))  # a query is no candidate of its own
+        assert all(b[0] < a[0] and b[1] <= a[1] for a, b in zip(rounds, rounds[1:])), rounds
+    assert rounds == [(1, 799)]  # one component: the first eighth of its list holds the five best
+
+
 def test_top_k_beyond_doubles(spark):
     """Scores above 2^53 are exact; those above 63 bits are held at the limit."""
     rows = [(i, [1e6 + i / 1024, 1e6 - (i % 5) / 512]) for i in range(20)]

@@ -305,8 +305,6 @@ def streamed_band(spark, sf):
     rows = spark.readStream.schema(B.table(spark, sf, "orders").schema).option("pathGlobFilter", "orders.parquet").parquet(sf)
     k = F.col("o_orderkey")
     blocks = rows.select(F.floor(k / (H * W)).cast("bigint").alias("dem"), F.floor(F.pmod(k, F.lit(H * W)) / W).cast("bigint").alias("row"))
-    table = "band_" + workspace(spark, "band").rsplit("-", 1)[1]
-    q = (mosaic.arrived_band(blocks).writeStream.outputMode("complete").format("memory").queryName(table)
-         .option("checkpointLocation", workspace(spark, "band-state")).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.table(table)
+    log, state = workspace(spark, "band-log"), workspace(spark, "band-state")
+    mosaic.log_band(blocks, log, state).awaitTermination()
+    return mosaic.arrived_band(spark.read.schema(blocks.schema).parquet(log))

@@ -52,6 +52,15 @@ def stateful_blend(tiles: DataFrame, band: str) -> DataFrame:
     return s.select("grow", "gcol", F.when(F.col("_d") > 0, F.col("_n") / F.col("_d")).alias(band))
 
 
+def log_band(blocks: DataFrame, log_path: str, checkpoint: str, trigger: dict | None = None):
+    """Start logging the blocks of a stream to a folder of parquet files, each micro-batch once.
+
+    No state is held and nothing goes to the driver; `arrived_band` over the log is the band so far.
+    """
+    return (blocks.writeStream.outputMode("append").format("parquet").option("path", log_path)
+            .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
+
+
 def arrived_band(blocks: DataFrame, row: str = "row", keys=("dem",)) -> DataFrame:
-    """Rows of a raw array that have arrived so far, as a running aggregate over a stream of blocks."""
+    """Rows of a raw array that have arrived so far, over a log of blocks or as a running aggregate over a stream."""
     return blocks.groupBy(*keys).agg((F.max(row) + 1).alias("available_rows"))

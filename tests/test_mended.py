@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from relievo.functions import geodesy as G
 from relievo.operators import blend, features, grids, metrics, resample, stencil
-from relievo.plans import jobs
+from relievo.plans import jobs, load_all
 from relievo.sources import catalogue, tilestore
 
 
@@ -108,3 +108,11 @@ def test_features_by_name_and_region(spark):
     d = spark.createDataFrame([("beta", "Y"), ("Álpha", "Z"), ("gamma", "x"), ("alpha b", None)], "name string, region string")
     assert [r["name"] for r in features.ordered(d).collect()] == ["Álpha", "alpha b", "beta", "gamma"]
     assert [r["name"] for r in features.ordered(d, "region").collect()] == ["gamma", "beta", "Álpha", "alpha b"]
+
+
+def test_band_is_not_held_in_the_driver(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    band = load_all()[0]["streamed_band"](spark, "/root/testdata/sf0.01")
+    assert {t.name for t in spark.catalog.listTables()} == before  # a memory sink registers its rows here
+    assert "band-log" in "".join(band.inputFiles())
+    assert {(r["dem"], r["available_rows"]) for r in band.collect()} == {(0, 50), (1, 50), (2, 50)}

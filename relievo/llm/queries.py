@@ -3,6 +3,8 @@
 
 def load_all():
     """Import every operator module and return (queries, oracles)."""
-    from . import bpe, jaccard_join, packing, pii, quality, sharding, substring_dedup, suffix_dedup, token_counts, topk  # noqa: F401
+    from . import (  # noqa: F401
+        bpe, divergence, hard_negatives, jaccard_join, packing, pii, quality, sharding, simhash, substring_dedup, suffix_dedup,
+        token_counts, topk)
     from .common import ORACLES, QUERIES
     return QUERIES, ORACLES

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import geodesy as G
-from ..functions import radiometry as R
 from ..functions.base import as_col, attach, clamp
-from .blocks import spread
+from ..session import materialise
+from .angles import fit_angles
 from .metrics import calibration
-from .quantiles import exact_quantiles, spread_quantiles
+from .quantiles import exact_quantiles
 
 THETA_GRID = (8.0, 55.5, 0.5)  # first, last, step in degrees
 
@@ -90,63 +90,38 @@ def patch_gate(df: DataFrame, alpha: str, valid, keys=("tile",), min_valid: floa
         (F.col("_valid") >= min_valid) & (F.col("slope_std_deg") >= min_slope_std_deg)).drop("_valid")
 
 
-FIT = "theta_deg double, brightness_db double, residual_db double, n_pixels bigint"
-
-
 def fit_patches(df: DataFrame, rv: str, alpha: str, valid, keys=("tile",), min_pixels: int = 200,
                 grid=THETA_GRID) -> DataFrame:
     """Per patch the incidence angle that best explains the image.
 
     For each candidate angle the brightness offset is the median residual and the misfit the rms
     about it; the smaller angle wins a tie. One path for patches of every size, which never gathers
-    one. Patches with fewer than `min_pixels` are left out.
+    one (see `angles.fit_angles`). Patches with fewer than `min_pixels` are left out.
     """
     keys = list(keys)
+    first, last, step = grid
+    theta = first + step * np.arange(int(round((last - first) / step)) + 1)
     usable = df.where(F.coalesce(as_col(valid), F.lit(False))).select(
         *keys, F.col(rv).alias("rv"), F.col(alpha).alias("alpha"))
-    return _fit_spread(usable, keys, min_pixels, grid)
-
-
-def _angles(grid) -> np.ndarray:
-    first, last, step = grid
-    return first + step * np.arange(int(round((last - first) / step)) + 1)
-
-
-def _fit_spread(patches: DataFrame, keys, min_pixels, grid) -> DataFrame:
-    """Patches of any size: one row per pixel and angle, an exact distributed median, and the
-    misfit from power sums."""
-    first, _, step = grid
-    salted = spread(patches, *keys, F.pmod(F.xxhash64("rv", "alpha"), F.lit(64)))
-    tried = salted.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(len(_angles(grid)) - 1)))).withColumn(
-        "theta_deg", F.col("_k") * F.lit(step) + F.lit(first))
-    theta = F.radians(F.col("theta_deg"))
-    tried = tried.where(R.usable_facet(F.col("alpha"), theta))
-    resid = F.col("rv") - (R.scatter_law_db(theta - F.col("alpha")) - R.scatter_law_db(theta))
-    tried = tried.select(*keys, "theta_deg", resid.alias("_r"))
-    med = spread_quantiles(tried, [*keys, "theta_deg"], "_r", {"b": 0.5}, extra=[
-        F.avg("_r").alias("_m1"), F.avg(F.col("_r") * F.col("_r")).alias("_m2")])
-    b = F.col("b")
-    rms = F.sqrt(F.greatest(F.col("_m2") - b * F.col("_m1") * 2.0 + b * b, F.lit(0.0)))
-    med = med.where(F.col("n") >= min_pixels).withColumn("rms", rms)
+    tried = fit_angles(usable, keys, theta, min_pixels).withColumn("theta_deg", F.col("k") * F.lit(float(step)) + F.lit(float(first)))
     best = F.min_by(F.struct("theta_deg", "b", "rms", "n"), F.struct(F.round("rms", 9), "theta_deg"))
-    return med.groupBy(*keys).agg(best.alias("_p")).select(
+    return tried.groupBy(*keys).agg(best.alias("_p")).select(
         *keys, F.col("_p.theta_deg").alias("theta_deg"), F.col("_p.b").alias("brightness_db"),
         F.col("_p.rms").alias("residual_db"), F.col("_p.n").alias("n_pixels"))
 
 
 def band_table(fits: DataFrame, lat: str = "lat", keys=(), width: float = 20.0, south: float = -70.0,
                minimum: int = 3) -> DataFrame:
-    """Weighted mean angle per latitude band, beside the standing profile."""
-    band = (F.floor((F.col(lat) - south) / width) * F.lit(width) + F.lit(south)).alias("band_south")
+    """Weighted mean angle per latitude band, beside the standing profile, with the band's median misfit and angle."""
+    band = F.floor((F.col(lat) - south) / width) * F.lit(width) + F.lit(south)
     misfit = F.greatest(F.col("residual_db"), F.lit(0.2))
     w = F.lit(1.0) / (misfit * misfit)
-    return (fits.where((F.col(lat) >= south) & (F.col(lat) < south + 8 * width))
-            .groupBy(*keys, band)
-            .agg(F.count(F.lit(1)).alias("n"),
-                 (F.sum(w * F.col("theta_deg")) / F.sum(w)).alias("theta_deg"),
-                 F.avg(lat).alias("_lat"))
-            .where(F.col("n") >= minimum)
-            .withColumn("standing_deg", G.incidence_deg("_lat", "left")).drop("_lat"))
+    by = [*keys, "band_south"]
+    held = materialise(fits.where((F.col(lat) >= south) & (F.col(lat) < south + 8 * width)).withColumn("band_south", band), "bands")
+    table = exact_quantiles(held, by, "residual_db", {"median_residual_db": 0.5}, extra=[
+        (F.sum(w * F.col("theta_deg")) / F.sum(w)).alias("theta_deg"), F.avg(lat).alias("_lat")]).where(F.col("n") >= minimum)
+    angle = exact_quantiles(held, by, "theta_deg", {"median_theta_deg": 0.5}).select(*by, "median_theta_deg")
+    return table.join(angle, by).withColumn("standing_deg", G.incidence_deg("_lat", "left")).drop("_lat")
 
 
 def guarded_profile(fits: DataFrame, lat: str = "lat", keys=("cycle",), minimum: int = 12,
@@ -174,9 +149,3 @@ def datum_tie(df: DataFrame, stereo: str, gtdr: str, keys=("tile",), minimum: in
     both = F.when(F.col(stereo).isNotNull() & F.col(gtdr).isNotNull(), F.col(stereo) - F.col(gtdr))
     tie = exact_quantiles(df, keys, both, {"_tie": 0.5}).where(F.col("n") > minimum).select(*keys, "_tie")
     return df.join(tie, keys, "left").withColumn(stereo, F.col(stereo) - F.col("_tie")).drop("_tie")
-
-
-def display_range(df: DataFrame, value, low: float = 0.01, high: float = 0.99, keys=()) -> DataFrame:
-    """Exact display percentiles over finite values."""
-    v = as_col(value)
-    return exact_quantiles(df, keys, F.when(~F.isnan(v), v), {"low": low, "high": high})

@@ -334,8 +334,8 @@ def _located_fits(spark, sf):
 
 
 @query("angle_bands", "WITH " + ", ".join([*_PATCHES, _LATS]) + f""" SELECT {rs('band')} AS band_south, n, {rs('th')} AS theta_deg,
-   {rs('greatest(least(45e0-0.004e0*power(ml-10e0,2),45e0),17e0)')} AS standing_deg FROM
-   (SELECT floor((lat+70e0)/20e0)*20e0-70e0 AS band, count(*) AS n, sum(w*theta_deg)/sum(w) AS th, avg(lat) AS ml
+   {rs('mr')} AS median_residual_db, {rs('mt')} AS median_theta_deg, {rs('greatest(least(45e0-0.004e0*power(ml-10e0,2),45e0),17e0)')} AS standing_deg FROM
+   (SELECT floor((lat+70e0)/20e0)*20e0-70e0 AS band, count(*) AS n, sum(w*theta_deg)/sum(w) AS th, avg(lat) AS ml, median(rms) AS mr, median(theta_deg) AS mt
     FROM (SELECT *, 1e0/power(greatest(rms,0.2e0),2) AS w FROM b WHERE lat>=-70 AND lat<90) GROUP BY 1) WHERE n>=3""")
 def angle_bands(spark, sf):
     return rounded_cols(fits.band_table(_located_fits(spark, sf)))

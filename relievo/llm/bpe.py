@@ -6,7 +6,7 @@ import json
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +14,8 @@ from .common import query, table, texts
 
 #: Fixed value: the split pattern of this public vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces that a worker remembers before it starts over; bounds its memory.
-REMEMBERED = 1_000_000
+#: Bytes of stretches that a worker remembers before it starts over, and what each takes besides its letters and ids.
+REMEMBERED, EACH = 64 << 20, 200
 
 
 def _byte_letters() -> dict[str, int]:
@@ -51,10 +51,11 @@ class Vocabulary:
         self.split = regex.compile(SPLIT)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.known: dict[str, bytes] = {}
+        self.known_bytes = 0
 
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 where it does not merge."""
-        key = a * self.base + b
+        key = a.astype("int64") * self.base + b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], -1)
 
@@ -70,16 +71,16 @@ class Vocabulary:
 
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         sizes = np.array([len(r) for r in raw], "int64")
-        sym = self.of_byte[np.frombuffer(b"".join(raw), "uint8")]
+        sym = self.of_byte[np.frombuffer(b"".join(raw), "uint8")].astype("int32")
         n = len(sym)
         if not n:
             return [b""] * len(words)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after, before = np.arange(1, n + 1, dtype="int32"), np.arange(-1, n - 1, dtype="int32")
         last = np.cumsum(sizes) - 1
         first = last - sizes + 1
         after[last[sizes > 0]] = n
         before[first[sizes > 0]] = -1
-        sym = np.append(sym, -1)  # what lies beyond the end of a piece
+        sym = np.append(sym, np.int32(-1))  # what lies beyond the end of a piece
         alive = np.ones(n, bool)
         index: dict[int, list[np.ndarray]] = {}
         queue: list[int] = []
@@ -156,8 +157,8 @@ class Vocabulary:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts as little-endian unsigned 32-bit integers."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        if self.known_bytes > REMEMBERED:
+            self.known, self.known_bytes = {}, 0
         known = self.known
         cuts = [self.stretches(t) for t in texts]
         fresh = list({s for c in cuts for s in c if s not in known})
@@ -165,7 +166,9 @@ class Vocabulary:
         words = list({p for c in pieces for p in c if p not in self.special})
         ids = dict(zip(words, self.encode_pieces(words)))
         ids |= {s: np.array([i], "<u4").tobytes() for s, i in self.special.items()}
-        known.update((s, b"".join([ids[p] for p in c])) for s, c in zip(fresh, pieces))
+        for s, c in zip(fresh, pieces):
+            known[s] = x = b"".join([ids[p] for p in c])
+            self.known_bytes += len(s) + len(x) + EACH
         return [b"".join([known[s] for s in c]) for c in cuts]
 
     def decode(self, ids: bytes) -> str:
@@ -186,10 +189,10 @@ def default_path(name: str) -> str:
 
 
 #: Characters of text that are encoded together.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_000_000
 
 
-def chunks(values: list[str], limit: int = CHUNK_CHARS):
+def chunks(values: list[str], limit: int = 4_000_000):
     """Consecutive runs of texts of about `limit` characters; a longer text is a run of its own."""
     held, size = [], 0
     for v in values:
@@ -202,25 +205,43 @@ def chunks(values: list[str], limit: int = CHUNK_CHARS):
         yield held
 
 
+def _parts(column):
+    """(first row, values) of consecutive runs of rows with about CHUNK_CHARS, taken out of Arrow run by run."""
+    at = 0
+    for lo in range(0, len(column), 256):
+        for part in chunks(column.slice(lo, 256).to_pylist(), CHUNK_CHARS):
+            yield at, part
+            at += len(part)
+
+
+def _mapped(docs: DataFrame, path: str, key: str, text: str, back: bool) -> DataFrame:
+    def run(batches):
+        v = vocabulary(path)
+        for batch in batches:
+            for at, part in _parts(batch.column("t")):
+                ids = v.encode(part)
+                cols = {"d": batch.column("d").slice(at, len(part)), "ids": pa.array(ids, pa.binary())}
+                if back:
+                    cols["text"] = pa.array([v.decode(b) for b in ids], pa.string())
+                yield pa.RecordBatch.from_pydict(cols)
+
+    docs = texts(docs, key, text).withColumn("d", F.col("d").cast("long"))
+    return docs.mapInArrow(run, "d long, ids binary" + ", text string" * back).withColumnRenamed("d", key)
+
+
 def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Token ids of every whole text: (key, ids) with ids as little-endian unsigned 32-bit integers.
 
     Text equal to a special token's string becomes that token, as the public library does by default.
-    NULL text: no ids. Map-only: nothing is shuffled, one row in, one row out.
+    NULL text: no ids. Map-only: nothing is shuffled, one row in, one row out. A task holds one run of texts of
+    about CHUNK_CHARS (or one longer text) and at most REMEMBERED bytes of stretches it has met.
     """
-    path = path or default_path("byte_bpe_50k.json")
+    return _mapped(docs, path or default_path("byte_bpe_50k.json"), key, text, False)
 
-    def run(batches):
-        v = vocabulary(path)
-        for pdf in batches:
-            d, t = pdf["d"].tolist(), pdf["t"].tolist()
-            at = 0
-            for part in chunks(t):
-                yield pd.DataFrame({"d": d[at:at + len(part)], "ids": v.encode(part)})
-                at += len(part)
 
-    docs = texts(docs, key, text).withColumn("d", F.col("d").cast("string"))  # pandas has no NULL in whole numbers
-    return docs.mapInPandas(run, "d string, ids binary").select(F.col("d").cast("long").alias(key), "ids")
+def round_trip(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, ids, text): `encode` and `decode` in one pass of one worker, for the same rows."""
+    return _mapped(docs, path or default_path("byte_bpe_50k.json"), key, text, True)
 
 
 def decode(encoded: DataFrame, path: str | None = None, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -229,18 +250,18 @@ def decode(encoded: DataFrame, path: str | None = None, key: str = "doc_id", ids
 
     def run(batches):
         v = vocabulary(path)
-        for pdf in batches:
-            for lo in range(0, len(pdf), 512):
-                part = pdf.iloc[lo:lo + 512]
-                yield pd.DataFrame({"d": part["d"], "ids": part["ids"], "text": [v.decode(b or b"") for b in part["ids"]]})
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                found = [v.decode(b or b"") for b in part.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("d"), part.column("ids"), pa.array(found, pa.string())], ["d", "ids", "text"])
 
-    df = encoded.select(F.col(key).cast("string").alias("d"), F.col(ids).alias("ids"))
-    return (df.mapInPandas(run, "d string, ids binary, text string")
-            .select(F.col("d").cast("long").alias(key), "ids", "text"))
+    df = encoded.select(F.col(key).cast("long").alias("d"), F.col(ids).alias("ids"))
+    return df.mapInArrow(run, "d long, ids binary, text string").withColumnRenamed("d", key)
 
 
 @query("op2_bpe_round_trip")
 def op2(spark, sf_dir):
-    done = decode(encode(table(spark, sf_dir, "documents")))
+    done = round_trip(table(spark, sf_dir, "documents"))
     return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))

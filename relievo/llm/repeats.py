@@ -177,10 +177,10 @@ def windows_of(docs: DataFrame, places: DataFrame, by_words: bool, window: int)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w1, w2, d, tv, s, np.where(copy, COPY, ALONE).astype("int32"))],
                                              ["w1", "w2", "d", "tv", "s", "z"])
 
-    return _with_spans(docs.select("d", "tv", "t"), places, "inner", ["a", "b"]).mapInArrow(work, "w1 long, w2 long, d long, tv long, s long, z int")
+    return with_spans(docs.select("d", "tv", "t"), places, "inner", ["a", "b"]).mapInArrow(work, "w1 long, w2 long, d long, tv long, s long, z int")
 
 
-def _with_spans(docs: DataFrame, spans: DataFrame, how: str, ends: list[str]) -> DataFrame:
+def with_spans(docs: DataFrame, spans: DataFrame, how: str, ends: list[str]) -> DataFrame:
     """Documents with the array `r` of their spans; a document's spans are bounded by its length.
 
     Columns of `docs` besides d, tv and t are handed on.
@@ -191,8 +191,10 @@ def _with_spans(docs: DataFrame, spans: DataFrame, how: str, ends: list[str]) ->
     return docs.join(held, ["d", "tv"], how).select("d", "tv", "t", F.coalesce("r", none).alias("r"), *others)
 
 
-def _merged(s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def merged(s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Union of spans as disjoint spans that do not touch."""
+    if not len(s):
+        return s, e
     order = np.argsort(s, kind="stable")
     s, e = s[order], np.maximum.accumulate(e[order])
     new = np.concatenate(([True], s[1:] > e[:-1]))
@@ -253,8 +255,7 @@ def cut_texts(docs: DataFrame, spans: DataFrame, by_words: bool, keep_text: bool
 
             for i in range(len(ids)):
                 s, e = lo[cut[i]:cut[i + 1]], hi[cut[i]:cut[i + 1]]
-                if len(s):
-                    s, e = _merged(s, e)
+                s, e = merged(s, e)
                 n, kept = rest(data[at[i]:at[i + 1]], s, e)
                 row = [ids[i], tvs[i], n, int((e - s).sum()), len(s), hashlib.sha256(kept).hexdigest()]
                 if keep_text:
@@ -266,4 +267,4 @@ def cut_texts(docs: DataFrame, spans: DataFrame, by_words: bool, keep_text: bool
                     out, size, done = [], 0, i + 1
             yield made(len(ids))
 
-    return _with_spans(docs, spans, "left", ["s", "e"]).mapInArrow(work, ddl)
+    return with_spans(docs, spans, "left", ["s", "e"]).mapInArrow(work, ddl)

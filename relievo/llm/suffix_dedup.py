@@ -15,6 +15,8 @@ from .common import inner_id, keyed, outer_id, query, stored, table
 ANCHOR = 64
 #: Contexts of one anchor that one suffix array holds, 736 bytes each at most; with more, strings are counted.
 TREE_ROWS = 20_000
+#: Bytes from which on repeats are reported, whatever is removed: about 50 words of ordinary prose.
+REPORTED = 250
 
 
 def _common(x: bytes, y: bytes) -> int:
@@ -180,8 +182,58 @@ def repeated_spans(docs: DataFrame, window: int = 400) -> DataFrame:
     return whole.unionByName(tree).unionByName(flat)
 
 
+def _repeated_parts(docs: DataFrame, spans: DataFrame, window: int) -> DataFrame:
+    """(d, tv, part, s, t, n_repeated, n_repeats): the repeated bytes of each document that `spans` reach.
+
+    Spans are united first. One row per united span of at least `window` bytes, with its bytes `t` and a
+    digest `part` of place and document; a document without any has one row with t NULL. n_repeated and n_repeats
+    count all bytes and spans of the document.
+    """
+    def work(batches):
+        names = ["d", "tv", "s", "t", "n_repeated", "n_repeats"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+        for batch in batches:
+            ids, tvs = (np.asarray(batch.column(c)) for c in ("d", "tv"))
+            col = batch.column("r")
+            cut = np.asarray(col.offsets)
+            lo, hi = (np.asarray(col.values.field(x)).astype("int64") for x in ("s", "e"))
+            data, at = R.text_column(batch, "t")
+            rows, size = [], 0
+            for i in range(len(ids)):
+                s, e = repeats.merged(lo[cut[i]:cut[i + 1]], hi[cut[i]:cut[i + 1]])
+                total, long = int((e - s).sum()), np.flatnonzero(e - s >= window)
+                for x, y in zip(s[long].tolist(), e[long].tolist()) if len(long) else [(0, None)]:
+                    t = None if y is None else data[at[i] + x:at[i] + y].tobytes()
+                    rows.append((ids[i], tvs[i], x, t, total, len(s)))
+                    size += len(t or b"")
+                    if size > 4 * R.CHUNK_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                        rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+    held = repeats.with_spans(docs.select("d", "tv", "t"), spans, "inner", ["s", "e"])
+    found = held.mapInArrow(work, "d long, tv long, s long, t binary, n_repeated long, n_repeats long")
+    return found.withColumn("part", F.xxhash64("tv", "s"))
+
+
+def spans_and_report(docs: DataFrame, window: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """`repeated_spans` of `window` bytes, and (d, tv, n_repeated, n_repeats) for repeats of at least `least` bytes.
+
+    A string of `window` bytes that recurs lies within the union of the recurring strings of `least`
+    bytes. So the whole texts are searched once, for the shorter length, and only what recurs
+    there is searched again for the longer one.
+    """
+    parts = stored(_repeated_parts(docs, repeated_spans(docs, least), window), "parts")
+    report = parts.groupBy("d", "tv").agg(F.max("n_repeated").alias("n_repeated"), F.max("n_repeats").alias("n_repeats"))
+    again = parts.where("t is not null")
+    spans = repeated_spans(again.select("d", F.col("part").alias("tv"), "t"), window).withColumnRenamed("tv", "part")
+    place = again.select("d", "part", F.col("tv").alias("tv"), F.col("s").alias("at")).distinct()
+    return spans.join(place, ["d", "part"]).select("d", "tv", (F.col("s") + F.col("at")).alias("s"), (F.col("e") + F.col("at")).alias("e")), report
+
+
 def remove_repeats(docs: DataFrame, window: int = 400, key: str = "doc_id", text: str = "text", keep_text: bool = True,
-                   others: tuple[str, ...] = ()) -> DataFrame:
+                   others: tuple[str, ...] = (), least: int | None = None) -> DataFrame:
     """Documents without the bytes covered by a string of `window` bytes that also starts elsewhere.
 
     Elsewhere is another document or another place of the same one; all occurrences go, the first
@@ -189,17 +241,25 @@ def remove_repeats(docs: DataFrame, window: int = 400, key: str = "doc_id", text
     shorter than the string, keep what they have. Repeated rows (equal identifier and text) are one
     document: they do not repeat each other, and get equal results.
     Returns key, n (bytes), n_removed, n_spans (maximal removed runs), kept_sha256 and, with keep_text,
-    the rest as text (`kept`; a character cut in two is left out) and the byte spans (`removed`).
+    the rest as text (`kept`; a character cut in two is left out) and the byte spans (`removed`). With `least`,
+    a shorter length, n_repeated and n_repeats follow: bytes in strings of `least` bytes that start elsewhere too,
+    and their maximal runs; they are reported, not removed.
     Columns named in `others` come last, unchanged.
     """
     rows = keyed(docs, key, text, others).withColumn("d", inner_id())
-    spans = repeated_spans(rows.select("d", "tv", "t"), window)
-    done = repeats.cut_texts(rows, spans, False, keep_text)
+    plain = rows.select("d", "tv", "t")
+    if least is None:
+        done = repeats.cut_texts(rows, repeated_spans(plain, window), False, keep_text)
+    else:
+        if not ANCHOR < least <= window:
+            raise ValueError(f"least lies between {ANCHOR} and the window")
+        spans, report = spans_and_report(plain, window, least)
+        done = repeats.cut_texts(rows, spans, False, keep_text).join(report, ["d", "tv"], "left").fillna(0, ["n_repeated", "n_repeats"])
     own = [c for c in done.columns if c not in ("d", "tv") and not c.startswith("other ")]
     return done.select(outer_id().alias(key), *own, *[F.col(f"other {c}").alias(c) for c in others])
 
 
 @query("op9_suffix_array_dedup")
 def op9(spark, sf_dir):
-    done = remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
-    return done.select("doc_id", F.col("n").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
+    done = remove_repeats(table(spark, sf_dir, "documents"), keep_text=False, least=REPORTED)
+    return done.select("doc_id", F.col("n").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256", "n_repeated", "n_repeats")

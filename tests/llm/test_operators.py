@@ -346,10 +346,21 @@ def test_byte_repeats(docs, monkeypatch, tree):
     assert {r["hits"] for r in out} == {"z"}
 
 
+@pytest.mark.parametrize("window,least", [(400, 250), (400, 400), (150, 65)])
+def test_byte_repeats_with_report(docs, window, least):
+    """The shorter repeats are reported; what is removed is the same as without the report."""
+    want, short = B.byte_repeats(DOCS, window), B.byte_repeats(DOCS, least)
+    out = suffix_dedup.remove_repeats(docs, window, least=least).collect()
+    assert Counter((r["doc_id"], r["n"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["n_repeated"], r["n_repeats"]) for r in out) == Counter(
+        (d, *want[d, t], *short[d, t][1:3]) for d, t in DOCS)
+    assert suffix_dedup.remove_repeats(docs.limit(0), window, least=least).collect() == []
+
+
 def test_byte_repeats_query(spark, table):
-    want = B.byte_repeats(table)
+    want, short = B.byte_repeats(table), B.byte_repeats(table, 250)
     out = QUERIES["op9_suffix_array_dedup"](spark, SF).collect()
-    assert {(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out} == {(d, *want[d, t]) for d, t in table}
+    assert {(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["n_repeated"], r["n_repeats"]) for r in out} == {
+        (d, *want[d, t], *short[d, t][1:3]) for d, t in table}
 
 
 def test_maximal_repeats_give_all_occurrences():

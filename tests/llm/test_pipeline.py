@@ -36,7 +36,7 @@ def test_stages(spark):
     assert all(two[d] == one[d] for d in two)
 
     three = {r["doc_id"]: r["text"] for r in rows["suffix-array dedup"]}
-    want = B.byte_repeats(list(two.items()))
+    want = B.byte_repeats(list(two.items()), corpus_pipeline.PASSAGE)
     assert set(three) == set(two)
     for d, t in two.items():
         size, removed, _, _ = want[d, t]

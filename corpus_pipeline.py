@@ -18,6 +18,10 @@ from relievo.llm.quality import assess, trusted_of
 from relievo.llm.suffix_dedup import remove_repeats
 from relievo.session import materialise
 
+#: Bytes of a string whose occurrences are removed: passages of over 50 words are to be caught, and of 2239 repeated
+#: passages of 51 words and more on 10,000 documents 1 in 100 has fewer than 215 bytes and 1 in 20 fewer than 305.
+PASSAGE = 250
+
 
 def _digest():
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
@@ -53,9 +57,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the strings of 400 bytes that occur elsewhere too."""
+    """Documents without the strings of PASSAGE bytes that occur elsewhere too."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    done = remove_repeats(docs, others=others)
+    done = remove_repeats(docs, PASSAGE, others=others)
     return _measured(done.withColumnRenamed("kept", "text").select("doc_id", "text", *others), F.col("text")).select(*docs.columns)
 
 

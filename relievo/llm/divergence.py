@@ -112,7 +112,7 @@ def _numbered(df: DataFrame, by: list[str], order: str, size: int, name: str) ->
 
     A block is a window group of its own, so a large `by` group is spread over many.
     """
-    counts = df.groupBy(*by).agg(F.count("*").alias("_n"))
+    counts = stored(df.groupBy(*by).agg(F.count("*").alias("_n")), "sizes")  # known to be small: no shuffle by `by` alone
     dealt = df.join(counts, by).withColumn(name, F.expr(f"cast(pmod(xxhash64({order}), ceil(_n / {size})) as int)")).drop("_n")
     return dealt.withColumn(f"{name}_at", F.row_number().over(Window.partitionBy(*by, name).orderBy(order)) - 1)
 

@@ -10,12 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import rolling as R
 from .common import query, table, texts
 
 #: Fixed value: the split pattern of this public vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of stretches that a worker remembers before it starts over, and what each takes besides its letters and ids.
-REMEMBERED, EACH = 64 << 20, 200
+REMEMBERED, EACH = 128 << 20, 200
 
 
 def _byte_letters() -> dict[str, int]:
@@ -188,8 +189,8 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-#: Characters of text that are encoded together.
-CHUNK_CHARS = 1_000_000
+#: Bytes of text that are encoded together; a longer text is a run of its own.
+CHUNK_BYTES = 3 << 20
 
 
 def chunks(values: list[str], limit: int = 4_000_000):
@@ -205,20 +206,17 @@ def chunks(values: list[str], limit: int = 4_000_000):
         yield held
 
 
-def _parts(column):
-    """(first row, values) of consecutive runs of rows with about CHUNK_CHARS, taken out of Arrow run by run."""
-    at = 0
-    for lo in range(0, len(column), 256):
-        for part in chunks(column.slice(lo, 256).to_pylist(), CHUNK_CHARS):
-            yield at, part
-            at += len(part)
+def _parts(batch):
+    """(first row, texts) of consecutive runs of rows with about CHUNK_BYTES, taken out of Arrow run by run."""
+    for i, j in R.parts(R.text_column(batch, "t")[1], CHUNK_BYTES):
+        yield i, batch.column("t").slice(i, j - i).to_pylist()
 
 
 def _mapped(docs: DataFrame, path: str, key: str, text: str, back: bool) -> DataFrame:
     def run(batches):
         v = vocabulary(path)
         for batch in batches:
-            for at, part in _parts(batch.column("t")):
+            for at, part in _parts(batch):
                 ids = v.encode(part)
                 cols = {"d": batch.column("d").slice(at, len(part)), "ids": pa.array(ids, pa.binary())}
                 if back:
@@ -234,7 +232,7 @@ def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text:
 
     Text equal to a special token's string becomes that token, as the public library does by default.
     NULL text: no ids. Map-only: nothing is shuffled, one row in, one row out. A task holds one run of texts of
-    about CHUNK_CHARS (or one longer text) and at most REMEMBERED bytes of stretches it has met.
+    about CHUNK_BYTES (or one longer text) and at most REMEMBERED bytes of stretches it has met.
     """
     return _mapped(docs, path or default_path("byte_bpe_50k.json"), key, text, False)
 

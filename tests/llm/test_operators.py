@@ -111,11 +111,11 @@ def test_bpe_matches_library(docs):
 def test_bpe_in_parts(docs, monkeypatch, remembered):
     """Texts above the size of a run, a cache that is emptied each time, and the one-worker form."""
     import pyarrow as pa
-    monkeypatch.setattr(bpe, "CHUNK_CHARS", 300)
+    monkeypatch.setattr(bpe, "CHUNK_BYTES", 300)
     monkeypatch.setattr(bpe, "REMEMBERED", remembered)
     v = bpe.Vocabulary(bpe.default_path("byte_bpe_50k.json"))
     values = [t or "" for _, t in DOCS]
-    parts = list(bpe._parts(pa.array(values)))
+    parts = list(bpe._parts(pa.RecordBatch.from_pydict({"t": values})))
     assert [t for _, p in parts for t in p] == values and len(parts) > 10
     assert all(values[at:at + len(p)] == p for at, p in parts)
     assert [v.decode(b) for _, p in parts for b in v.encode(p)] == values

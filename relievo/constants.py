@@ -11,9 +11,6 @@ import math
 RADIUS_M = 6_051_800.0
 M_PER_DEG = math.radians(1.0) * RADIUS_M
 EARTH_RADIUS_M = 6_371_000.0
-SAR_POSTING_M = 75.0
-ALTIMETRY_POSTING_M = 4641.0
-ALTIMETRY_STRIDE = 62
 ALTIMETRY_NODATA = -32768
 STEREO_SENTINEL = -1e6
 QUAD_DEG = 12.0
@@ -78,29 +75,6 @@ REGIONS = {
 }
 HELD_OUT_REGIONS = ("ovda", "guinevere")
 
-# --- Earth analogue boxes ------------------------------------------------------------------
-EARTH_REGIONS = {
-    "iceland": (-24.5, 63.3, -13.5, 66.6),
-    "hawaii": (-156.1, 18.9, -154.8, 20.3),
-    "afar": (39.0, 8.5, 42.5, 14.5),
-    "atacama": (-70.5, -26.5, -67.0, -22.0),
-    "tibet": (80.0, 30.0, 92.0, 36.0),
-    "kamchatka": (156.0, 51.0, 162.0, 57.0),
-    "canaries": (-18.2, 27.6, -13.4, 29.5),
-    "ethiopian_rift": (37.0, 6.0, 40.5, 9.5),
-    "nevada": (-119.5, 36.5, -114.0, 41.5),
-}
-
-# --- sites of the alignment check: name, lon, lat -----------------------------------------------
-SITES = [
-    ("Maxwell Montes", 3.3, 65.2),
-    ("Maat Mons", 194.6, 0.5),
-    ("Ovda Regio", 85.6, -2.8),
-    ("Artemis Corona", 135.0, -35.0),
-    ("Mead crater", 57.2, 12.5),
-    ("Alpha Regio", 5.0, -25.0),
-]
-
 # --- hypsometric ramp: metres -> (red, green, blue) ---------------------------------------------
 COLOUR_RAMP = [
     (-3000.0, (20, 30, 60)),

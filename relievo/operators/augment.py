@@ -36,12 +36,6 @@ def dihedral(df: DataFrame, k, flip_h, flip_v, height, width, vectors=()) -> Dat
     return df.withColumns(cols)
 
 
-def drawn_dihedral(seed: int, *keys):
-    """(k, flip_h, flip_v) columns drawn from a seed and key columns."""
-    u = draws(3, F.lit(seed), *keys, F.lit("dihedral"))
-    return F.floor(u[0] * 4).cast("int"), u[1] < 0.5, u[2] < 0.5
-
-
 def look_dropout(df: DataFrame, seed: int, key: str = "tile", p: float = 0.4,
                  looks=("right", "stereo")) -> DataFrame:
     """Per tile, drop a look with probability `p`; image and mask go together."""

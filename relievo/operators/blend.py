@@ -93,18 +93,18 @@ def run_tiled(pixels: DataFrame, height, width, tile: int, overlap: int,
 
 
 # --- polar caps -----------------------------------------------------------------------------------
-def polar_pixels(base: DataFrame, grid: G.PolarGrid) -> DataFrame:
+def polar_pixels(base: DataFrame, grid: G.Cap) -> DataFrame:
     """The cells of a polar grid for every row of `base` (its key columns are kept).
 
     Grid rows are spread over tasks before each becomes a line of cells.
     """
-    n = F.sequence(F.lit(0), F.lit(grid.size - 1))
+    n = F.sequence(F.lit(0), F.lit(grid.cells - 1))
     lines = spread(base.withColumn("row", F.explode(n)), *base.columns, "row")
-    return (lines.withColumn("col", F.explode(n))
-            .withColumns({"lon": grid.lon("row", "col"), "lat": grid.lat("row", "col")}))
+    lon, lat = G.cap_lonlat("row", "col", grid)
+    return lines.withColumn("col", F.explode(n)).withColumns({"lon": lon, "lat": lat})
 
 
-def cylindrical_to_polar(raster: DataFrame, band: str, cyl: G.CylindricalGrid, grid: G.PolarGrid,
+def cylindrical_to_polar(raster: DataFrame, band: str, cyl: G.CylindricalGrid, grid: G.Cap,
                          keys=("tile",)) -> DataFrame:
     """Resample a global cylindrical raster onto the cap grid; longitude wraps."""
     cells = polar_pixels(raster.select(*keys).distinct(), grid)
@@ -113,13 +113,14 @@ def cylindrical_to_polar(raster: DataFrame, band: str, cyl: G.CylindricalGrid, g
         "src_row", "src_col")
 
 
-def polar_to_cylindrical(cap: DataFrame, band: str, grid: G.PolarGrid, target: DataFrame,
+def polar_to_cylindrical(cap: DataFrame, band: str, grid: G.Cap, target: DataFrame,
                          cyl: G.CylindricalGrid, keys=("tile",), out: str | None = None) -> DataFrame:
     """Cap values on the pixels of `target` (keys, row, col); NULL outside the cap grid."""
     t = target.withColumns({"_lon": F.lit(cyl.lon_min) + (F.col("col") + 0.5) * (360.0 / cyl.width),
                             "_lat": cyl.lat("row")})
-    t = t.withColumns({"src_row": grid.row("_lon", "_lat"), "src_col": grid.col("_lon", "_lat")})
-    return bilinear_gather(t, cap, band, grid.size, grid.size, keys, out=out, edge="inside").drop(
+    row, col = G.cap_position("_lon", "_lat", grid)
+    t = t.withColumns({"src_row": row, "src_col": col})
+    return bilinear_gather(t, cap, band, grid.cells, grid.cells, keys, out=out, edge="inside").drop(
         "src_row", "src_col", "_lon", "_lat")
 
 
@@ -133,7 +134,7 @@ def cap_cells(base: DataFrame, cyl: G.CylindricalGrid, polar: Column) -> DataFra
 
 
 def merge_cap(cylindrical: DataFrame, cap: DataFrame, band: str, cyl: G.CylindricalGrid,
-              grid: G.PolarGrid, inner: float = 80.0, outer: float = 75.0, keys=("tile",)) -> DataFrame:
+              grid: G.Cap, inner: float = 80.0, outer: float = 75.0, keys=("tile",)) -> DataFrame:
     """Feather a cap result into the cylindrical one; a missing cap value has weight 0, and where the
     cylindrical value is NULL or its pixel absent the cap stands alone.
 
@@ -141,7 +142,7 @@ def merge_cap(cylindrical: DataFrame, cap: DataFrame, band: str, cyl: G.Cylindri
     come back only with a cap value, and with NULL in the other columns.
     """
     lat = cyl.lat("row")
-    polar = (lat > outer) if grid.north else (lat < -outer)
+    polar = (lat > outer) if grid.hemisphere > 0 else (lat < -outer)
     zone, rest = cylindrical.where(polar), cylindrical.where(~polar)
     at = [*keys, "row", "col"]
     cells = cap_cells(cylindrical.select(*keys).union(cap.select(*keys)).distinct().na.drop(), cyl, polar)

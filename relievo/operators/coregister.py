@@ -44,9 +44,11 @@ class ProductGrid:
 
 
 def sample_product(points: DataFrame, raster: DataFrame, band: str, grid: ProductGrid,
-                   method: str = "bilinear", out: str | None = None, block: int = BLOCK_PX) -> DataFrame:
+                   method: str = "bilinear", out: str | None = None, block: int = BLOCK_PX, keys=()) -> DataFrame:
     """Sample a product at (lon, lat) points; NULL outside its extent and on nodata.
 
+    With `keys`, points and raster name the tile they belong to, and a point meets its own tile only.
+
     Only source blocks that some point falls in (or beside) are kept before patches are built: a
     semi join on block keys, which prunes a scan partitioned by block.
     """
@@ -57,20 +59,20 @@ def sample_product(points: DataFrame, raster: DataFrame, band: str, grid: Produc
     def blocks(position):
         return F.array_distinct(F.transform(near, lambda d: F.floor((F.col(position) + d) / block).cast("int")))
 
-    wanted = (placed.select("src_row", "src_col").where(F.col("src_row").isNotNull() & F.col("src_col").isNotNull())
-              .select(F.explode(blocks("src_row")).alias("_kr"), "src_col")
-              .select("_kr", F.explode(blocks("src_col")).alias("_kc")).distinct())
+    wanted = (placed.select(*keys, "src_row", "src_col").where(F.col("src_row").isNotNull() & F.col("src_col").isNotNull())
+              .select(*keys, F.explode(blocks("src_row")).alias("_kr"), "src_col")
+              .select(*keys, "_kr", F.explode(blocks("src_col")).alias("_kc")).distinct())
     src = raster.withColumns({"_kr": F.floor(F.col("row") / block).cast("int"),
                               "_kc": F.floor(F.col("col") / block).cast("int")}).join(
-        wanted, ["_kr", "_kc"], "left_semi").drop("_kr", "_kc")
-    got = gather(placed, grid.decoded(src, band), band, grid.height, grid.width, method, keys=(), out=out)
+        wanted, [*keys, "_kr", "_kc"], "left_semi").drop("_kr", "_kc")
+    got = gather(placed, grid.decoded(src, band), band, grid.height, grid.width, method, keys=keys, out=out)
     top, bottom = grid.upper_left_y, grid.upper_left_y - grid.height * grid.pixel_m
     y = G.projected_y("lat")
     return got.withColumn(out, F.when((y > bottom) & (y < top), F.col(out))).drop("src_row", "src_col")
 
 
 def sample_windows(windows: DataFrame, pixel_m: float, raster: DataFrame, band: str, grid: ProductGrid,
-                   method: str = "bilinear", out: str | None = None) -> DataFrame:
+                   method: str = "bilinear", out: str | None = None, keys=()) -> DataFrame:
     """A windowed read: each (west, south, east, north) row becomes its pixels with the product's value.
 
     A window that straddles the antimeridian is an error rather than a mirrored strip.
@@ -78,7 +80,7 @@ def sample_windows(windows: DataFrame, pixel_m: float, raster: DataFrame, band:
     straddles = G.lon180("east") <= G.lon180("west")
     checked = windows.withColumn("west", F.when(straddles, F.raise_error(
         F.lit("window straddles the +/-180 seam; split it first")).cast("double")).otherwise(F.col("west")))
-    return sample_product(window_pixels(checked, pixel_m), raster, band, grid, method, out)
+    return sample_product(window_pixels(checked, pixel_m), raster, band, grid, method, out, keys=keys)
 
 
 DEFAULTS = {"emissivity": K.EMISSIVITY_MEAN, "dn_left": 0.0, "dn_right": 0.0, "dn_stereo": 0.0}

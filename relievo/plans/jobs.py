@@ -147,11 +147,3 @@ def evaluate_runs(targets: DataFrame, predictions: DataFrame, pixel_m: float, he
     return attach(table, base).withColumns({
         "phys_gain_db": F.col("_p") - F.col("phys_resid_db"),
         "cross_gain_db": F.col("cross_look_psnr") - F.col("_x")}).drop("_p", "_x")
-
-
-def decoded_targets(pixels: DataFrame, tiles: DataFrame) -> DataFrame:
-    """Targets for `evaluate_runs` from an ingested store."""
-    t = tiles.select("tile", "theta_left", "theta_right")
-    return pixels.join(t, "tile").withColumns({
-        "rv_left": R.rv_from_dn("dn_left"), "rv_right": R.rv_from_dn("dn_right") if "dn_right" in pixels.columns
-        else F.lit(None).cast("double"), "gtdr": F.col("gtdr_up"), "gtdr_valid": F.col("gtdr_up").isNotNull()})

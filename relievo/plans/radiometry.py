@@ -26,10 +26,9 @@ def decode_dn(spark, sf):
 @query("scatter_law", sql("sar", f"""SELECT tile, l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, {rs(theta_sql('theta'), 9)} AS sigma0,
   {rs('10e0*log10(' + theta_sql('theta') + ')')} AS law_db,
   {rs('theta-alpha')} AS local_incidence, {rs(flattened_sql('theta-alpha', 'theta'))} AS rv_model,
-  {rs('(dn-1e0)/5e0-20e0-10e0*log10(' + theta_sql('theta') + ')')} AS flattened
-  FROM sar WHERE dn<>0"""))
+  CASE WHEN dn<>0 THEN {rs('(dn-1e0)/5e0-20e0-10e0*log10(' + theta_sql('theta') + ')')} END AS flattened FROM sar"""))
 def scatter_law(spark, sf):
-    d = B.sar(spark, sf).where(F.col("dn") != 0)
+    d = B.sar(spark, sf)
     return d.select("tile", "l_orderkey", "l_linenumber", rounded(R.scatter_law("theta"), 9).alias("sigma0"),
                     rounded(R.scatter_law_db("theta")).alias("law_db"),
                     rounded(R.local_incidence("alpha", "theta")).alias("local_incidence"),
@@ -120,13 +119,13 @@ _POLAR = "2e0*6051800e0*tan(radians(45e0-sgn*lat/2e0))"
 def polar_projection(spark, sf):
     d = B.obs(spark, sf)
     out = None
-    for north in (True, False):
-        g = G.PolarGrid(1000, 20000.0, north)
-        part = d.where((F.col("lat") > 0) if north else (F.col("lat") <= 0)).select(
-            "event_id", "lat", g.col("lon", "lat").alias("col"), g.row("lon", "lat").alias("row"))
+    for half in (1, -1):
+        cap = G.Cap(1000, 20000.0, half)
+        row, col = G.cap_position("lon", "lat", cap)
+        part = d.where(F.col("lat") > 0 if half > 0 else F.col("lat") <= 0).select("event_id", "lat", col.alias("col"), row.alias("row"))
+        lon, lat = G.cap_lonlat("row", "col", cap)
         part = part.select("event_id", rounded("col").alias("col"), rounded("row").alias("row"),
-                           rounded(g.lon("row", "col")).alias("lon_back"), rounded(g.lat("row", "col")).alias("lat_back"),
-                           rounded(g.scale_factor("row", "col")).alias("scale"),
+                           rounded(lon).alias("lon_back"), rounded(lat).alias("lat_back"), rounded(G.cap_scale("lat")).alias("scale"),
                            rounded(G.cap_weight("lat", 75.0, 60.0)).alias("cap_weight"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -159,16 +158,15 @@ def _ramp_sql(ch):
 
 
 @query("display_ramps", sql("scene", f"""SELECT tile, r AS "row", c AS col, {_ramp_sql(0)} AS red, {_ramp_sql(1)} AS green, {_ramp_sql(2)} AS blue,
-  CAST(floor(greatest(least((rv+12e0)/24e0*255e0,255e0),0e0)) AS BIGINT) AS sar,
+  CASE WHEN dn_left<>0 THEN CAST(floor(greatest(least((rv+12e0)/24e0*255e0,255e0),0e0)) AS BIGINT) END AS sar,
   CAST(floor(200e0*greatest(least((sigma-40e0)/300e0,1e0),0e0)) AS BIGINT) AS fog,
   CAST(CASE WHEN dn_right<>0 THEN 110 ELSE 0 END AS BIGINT) AS cover_alpha,
   CAST(floor(255e0*(1e0-n)) AS BIGINT) AS em_red, CAST(floor(120e0+80e0*n) AS BIGINT) AS em_green, CAST(floor(200e0*n) AS BIGINT) AS em_blue
-  FROM (SELECT *, z*3e0-4000e0 AS h, (dn_left-1e0)/5e0-20e0 AS rv, greatest(least((0.5e0+sigma/300e0-0.5e0)/0.4e0,1e0),0e0) AS n FROM scene)
-  WHERE dn_left<>0"""))
+  FROM (SELECT *, z*3e0-4000e0 AS h, (dn_left-1e0)/5e0-20e0 AS rv, greatest(least((0.5e0+sigma/300e0-0.5e0)/0.4e0,1e0),0e0) AS n FROM scene)"""))
 def display_ramps(spark, sf):
     # a hair above the truncation edge, so that both engines agree on exact stops
     h = F.col("z") * 3.0 - 4000.0
-    d = B.scene(spark, sf).where(F.col("dn_left") != 0).withColumn("h", h)
+    d = B.scene(spark, sf).withColumn("h", h)
     tint, em = R.colour_relief("h"), R.emissivity_tint(F.lit(0.5) + F.col("sigma") / 300.0)
     return d.select("tile", "row", "col", *[tint[k].alias(k) for k in ("red", "green", "blue")],
                     R.stretch_sar(R.rv_from_dn("dn_left")).alias("sar"), R.confidence_fog("sigma").alias("fog"),
@@ -212,14 +210,14 @@ def draw_sql(i: int, *seed: str) -> str:
 _DEGRADED = f"""noisy AS (SELECT tile, r, c, (dn_left-1e0)/5e0-20e0 AS rv,
    {' + '.join(f"(-ln({draw_sql(i, 'tile', 'r', 'c', '0')}))" for i in range(6))} AS g,
    {draw_sql(0, 'tile', "'degrade'")}*160e0+40e0 AS wl, {draw_sql(1, 'tile', "'degrade'")}*2e0*pi() AS ph,
-   {draw_sql(2, 'tile', "'degrade'")}*2e0-1e0 AS gain FROM scene WHERE dn_left<>0)"""
+   {draw_sql(2, 'tile', "'degrade'")}*2e0-1e0 AS gain, dn_left<>0 AS seen FROM scene)"""
 
 
-@query("degrade_radar", sql("scene", f"""SELECT tile, r AS "row", c AS col, {rs('sp')} AS speckled,
-  CAST(round_even(5e0*(greatest(least(sp+0.8e0*sin(2e0*pi()*c/wl+ph)+1.5e0*gain,30e0),-20e0)+20e0)+1e0,0) AS BIGINT) AS dn
+@query("degrade_radar", sql("scene", f"""SELECT tile, r AS "row", c AS col, CASE WHEN seen THEN {rs('sp')} END AS speckled,
+  CASE WHEN seen THEN CAST(round_even(5e0*(greatest(least(sp+0.8e0*sin(2e0*pi()*c/wl+ph)+1.5e0*gain,30e0),-20e0)+20e0)+1e0,0) AS BIGINT) END AS dn
   FROM (SELECT *, 10e0*log10(greatest(power(10e0,rv/10e0)*g/6e0,1e-6)) AS sp FROM noisy)""", _DEGRADED))
 def degrade_radar(spark, sf):
-    d = B.scene(spark, sf).where(F.col("dn_left") != 0).withColumn("rv", R.rv_from_dn("dn_left"))
+    d = B.scene(spark, sf).withColumn("rv", R.rv_from_dn("dn_left"))
     seed = (F.col("tile"), F.col("row"), F.col("col"))
     out = R.degrade("rv", "col", (F.col("tile"),), seed)
     return d.select("tile", "row", "col", rounded(R.speckle("rv", 6, *seed)).alias("speckled"),

@@ -102,11 +102,23 @@ def product_catalogue(spark, sf):
     return rounded_cols(attach(res, total).select("product", "samples", "gb", "uri", "total_gb"))
 
 
-@query("label_tags", r"""SELECT page_id, nullif(regexp_extract(html, '(?i)<(?:\w+:)?title[^>]*>\s*([^<]+?)\s*</(?:\w+:)?title>', 1),'') AS title,
-   nullif(regexp_extract(html, '(?i)<(?:\w+:)?h1[^>]*>\s*([^<]+?)\s*</(?:\w+:)?h1>', 1),'') AS heading FROM pages""")
+@query("label_tags", f"""SELECT p_partkey, (p_partkey%500+10)::BIGINT AS height, (p_size*7+3)::BIGINT AS width, {rs('75e0+p_size/4e0')} AS pixel_m,
+   {rs('-1000e0*p_partkey')} AS upper_left_x, {rs('p_retailprice*10e0')} AS upper_left_y, {rs('6040000e0+p_size')} AS value_offset FROM part""")
 def label_tags(spark, sf):
-    p = B.table(spark, sf, "pages")
-    return p.select("page_id", raw_dem.tag_value("html", "title").alias("title"), raw_dem.tag_value("html", "h1").alias("heading"))
+    """Labels with and without a namespace, their elements in either order, read back into geometry."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    pre = F.when(k % 2 == 0, "pds:").otherwise("")
+
+    def tag(name, value, attribute=""):
+        return F.concat(F.lit("<"), pre, F.lit(name + attribute + ">\n  "), value.cast("string"), F.lit(" </"), pre, F.lit(name + ">"))
+
+    place = F.concat(tag("upperleft_corner_x", k * -1000.0, ' unit="m"'), tag("upperleft_corner_y", F.col("p_retailprice") * 10.0))
+    grain = F.concat(tag("pixel_resolution_x", size / 4.0 + 75.0, ' unit="m/pixel"'), tag("value_offset", size + F.lit(6_040_000.0)))
+    axes = F.concat(tag("elements", k % 500 + 10), tag("elements", size * 7 + 3))
+    body = F.when(k % 3 == 0, F.concat(place, axes, grain)).otherwise(F.concat(axes, grain, place))
+    label = F.concat(F.lit('<Product xmlns:pds="urn:pds"><name>'), k.cast("string"), F.lit("</name>"), body, F.lit("</Product>"))
+    out = raw_dem.read_labels(B.table(spark, sf, "part").select("p_partkey", label.alias("value")))
+    return rounded_cols(out.select("p_partkey", "height", "width", "pixel_m", "upper_left_x", "upper_left_y", "value_offset"))
 
 
 @query("payload_checksums", "SELECT doc_id, sha256(text) AS sha256 FROM documents")

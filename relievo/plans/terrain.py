@@ -14,6 +14,7 @@ from ..operators import resample as S
 from ..operators.coregister import ProductGrid, sample_windows
 from . import bindings as B
 from .bindings import H, PX, W, downsample_sql, flattened_sql, sobel_sql, sql
+from ..functions.base import attach
 from .registry import query, rounded, rounded_cols, rs
 
 LAT = "(90e0-(r+0.5e0)*3.6e0)"
@@ -71,10 +72,9 @@ def sobel_slope(spark, sf):
                     rounded(stencil.slope_magnitude("z_de", "z_dn"), 9).alias("slope"))
 
 
-@query("rendered_look", sql("scene", f"""SELECT tile, r AS "row", c AS col, {rs('res')} AS residual, {rs('alpha', 9)} AS alpha, usable FROM resid
-  WHERE dn_left<>0""", *RENDERED))
+@query("rendered_look", sql("scene", f"""SELECT tile, r AS "row", c AS col, CASE WHEN dn_left<>0 THEN {rs('res')} END AS residual, {rs('alpha', 9)} AS alpha, usable FROM resid""", *RENDERED))
 def rendered_look(spark, sf):
-    d = rendered_scene(spark, sf).where(F.col("dn_left") != 0)
+    d = rendered_scene(spark, sf)
     return d.select("tile", "row", "col", rounded("residual").alias("residual"), rounded("alpha", 9).alias("alpha"), "usable")
 
 
@@ -338,31 +338,32 @@ def cubic_points(spark, sf):
 
 
 SUP = 75_000.0
-_GRIDSQL = f"""prod AS (SELECT r, c, CASE WHEN (r+c)%37=0 THEN NULL ELSE floor(z)*0.5e0-100e0 END AS v FROM dem WHERE tile=0)"""
+_GRIDSQL = f"""prod AS (SELECT tile, r, c, CASE WHEN (r+c)%37=0 THEN NULL ELSE floor(z)*0.5e0-100e0 END AS v FROM dem)"""
 
 
-@query("windowed_sample", sql("dem", f"""SELECT box, i AS "row", j AS col, {rs('(a.v*(1-fx)+b.v*fx)*(1-fy)+(d.v*(1-fx)+e.v*fx)*fy')} AS v FROM
+@query("windowed_sample", sql("dem", f"""SELECT box, p.tile, i AS "row", j AS col, {rs('(a.v*(1-fx)+b.v*fx)*(1-fy)+(d.v*(1-fx)+e.v*fx)*fy')} AS v FROM
    (SELECT *, floor(y) AS r0, floor(x) AS c0, y-floor(y) AS fy, x-floor(x) AS fx FROM (
-      SELECT box, i, j, (90e0*m-lat*m)/(3.6e0*m)-0.5e0 AS y, ((lon+180e0)*m)/(3.6e0*m)-0.5e0 AS x FROM (
-       SELECT box, i, j, w+(j+0.5e0)*(e-w)/nx AS lon, n-(i+0.5e0)*(n-s)/ny AS lat, radians(1e0)*6051800e0 AS m FROM win,
+      SELECT box, tile, i, j, (90e0*m-lat*m)/(3.6e0*m)-0.5e0 AS y, ((lon+180e0)*m)/(3.6e0*m)-0.5e0 AS x FROM (
+       SELECT box, tile, i, j, w+(j+0.5e0)*(e-w)/nx AS lon, n-(i+0.5e0)*(n-s)/ny AS lat, radians(1e0)*6051800e0 AS m FROM win,
          LATERAL generate_series(0,CAST(ny AS BIGINT)-1) a(i), LATERAL generate_series(0,CAST(nx AS BIGINT)-1) b(j)))) p
-   LEFT JOIN prod a ON a.r=r0 AND a.c=c0 AND x>=0 AND x<=99 AND y>=0 AND y<=49 LEFT JOIN prod b ON b.r=r0 AND b.c=least(c0+1,99)
-   LEFT JOIN prod d ON d.r=least(r0+1,49) AND d.c=c0 LEFT JOIN prod e ON e.r=d.r AND e.c=b.c""",
+   LEFT JOIN prod a ON a.tile=p.tile AND a.r=r0 AND a.c=c0 AND x>=0 AND x<=99 AND y>=0 AND y<=49 LEFT JOIN prod b ON b.tile=p.tile AND b.r=r0 AND b.c=least(c0+1,99)
+   LEFT JOIN prod d ON d.tile=p.tile AND d.r=least(r0+1,49) AND d.c=c0 LEFT JOIN prod e ON e.tile=p.tile AND e.r=d.r AND e.c=b.c""",
    _GRIDSQL,
    """win AS (SELECT *, greatest(round_even((e-w)*radians(1e0)*6051800e0/75000e0,0),1) AS nx, greatest(round_even((n-s)*radians(1e0)*6051800e0/75000e0,0),1) AS ny
-      FROM (SELECT s_suppkey AS box, w, w+3e0 AS e, s, s+2e0 AS n FROM (SELECT s_suppkey, (s_suppkey*17.3e0)%350e0-178e0 AS w, (s_suppkey*7.9e0)%150e0-78e0 AS s FROM supplier)))"""))
+      FROM (SELECT s_suppkey AS box, s_suppkey%(SELECT max(tile)+1 FROM dem) AS tile, w, w+3e0 AS e, s, s+2e0 AS n FROM (SELECT s_suppkey, (s_suppkey*17.3e0)%350e0-178e0 AS w, (s_suppkey*7.9e0)%150e0-78e0 AS s FROM supplier)))"""))
 def windowed_sample(spark, sf):
-    """Windows of a stored product: nodata, scale and offset, extent and pruning in one read."""
-    s = B.table(spark, sf, "supplier")
+    """Windows of a stored product of many tiles: nodata, scale and offset, extent and pruning in one read."""
+    dem = B.dem(spark, sf)
+    s = attach(B.table(spark, sf, "supplier"), dem.agg((F.max("tile") + 1).alias("tiles")))
     west = F.pmod(F.col("s_suppkey") * 17.3, F.lit(350.0)) - 178.0
     south = F.pmod(F.col("s_suppkey") * 7.9, F.lit(150.0)) - 78.0
-    windows = s.select(F.col("s_suppkey").alias("box"), west.alias("west"), south.alias("south"),
-                       (west + 3.0).alias("east"), (south + 2.0).alias("north"))
+    windows = s.select(F.col("s_suppkey").alias("box"), (F.col("s_suppkey") % F.col("tiles")).alias("tile"), west.alias("west"),
+                       south.alias("south"), (west + 3.0).alias("east"), (south + 2.0).alias("north"))
     raw = F.when((F.col("row") + F.col("col")) % 37 == 0, F.lit(-32768.0)).otherwise(F.floor("z").cast("double"))
-    product = B.dem(spark, sf).where(F.col("tile") == 0).select("row", "col", raw.alias("v"))
     m = math.radians(1.0) * 6_051_800.0
     grid = ProductGrid(H, W, -180.0 * m, 90.0 * m, 3.6 * m, -32768.0, 0.5, -100.0)
-    return rounded_cols(sample_windows(windows, SUP, product, "v", grid).select("box", "row", "col", "v"))
+    got = sample_windows(windows, SUP, dem.select("tile", "row", "col", raw.alias("v")), "v", grid, keys=("tile",))
+    return rounded_cols(got.select("box", "tile", "row", "col", "v"))
 
 
 @query("seam_window", sql("dem", """SELECT tile, r-5 AS "row", ((c-90)%100+100)%100 AS col, floor(z*1e4+0.4371e0)/1e4 AS z FROM dem
@@ -372,7 +373,7 @@ def seam_window(spark, sf):
 
 
 # --- polar caps -----------------------------------------------------------------------------------------------------
-CAP = G.PolarGrid(24, 150_000.0, True)
+CAP = G.Cap(24, 150_000.0)
 _CAPCELLS = f"""cells AS (SELECT t.tile, i, j, 90e0-2e0*degrees(atan(sqrt(x*x+y*y)/(2e0*6051800e0))) AS lat,
     ((degrees(atan2(x,-y))%360e0)+360e0)%360e0 AS lon FROM (SELECT DISTINCT tile FROM dem) t,
     (SELECT i, j, (i-11.5e0)*150000e0 AS y, (j-11.5e0)*150000e0 AS x FROM generate_series(0,23) a(i), generate_series(0,23) b(j)))"""

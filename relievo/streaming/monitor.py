@@ -45,19 +45,19 @@ def status(heartbeats: DataFrame, now, keys=("run",)) -> DataFrame:
 
 def progress_from_logs(lines: DataFrame, text: str = "line", keys=("run",), order: str = "pos") -> DataFrame:
     """Progress of runs that only left a log: last step line, total steps and finish marker."""
-    t = F.col(text)
-    # Fixed values, the log's own words: "steps=N"; "step N ... (R.Rs/step)"; "final val"; "=== EVAL".
-    total = F.regexp_extract(F.get(F.split(t, "steps=", 2), 1), "^[0-9]+", 0)
-    told = F.split(t, "s/step[)]", 2)
-    paced = F.when(F.size(told) == 2, F.get(told, 0))
-    rate = F.regexp_extract(paced, "[(]([0-9]+[.][0-9]+)$", 1)
-    number = F.regexp_extract(paced, "^step +([0-9]+)", 1)
-    step = F.when(F.coalesce(rate, F.lit("")) != "", number).otherwise("")
-    total, rate = F.coalesce(total, F.lit("")), F.when(step != "", rate)
-    done = t.startswith("final val") | t.startswith("=== EVAL")
+    # A line is words; "name=value" words are fields, and a word like "(2.5s/step)" is a pace.
+    words = F.split(F.trim(text), "[ \\t]+")
+    named = F.filter(words, lambda w: w.contains("="))
+    given = F.get(F.filter(named, lambda w: F.substring_index(w, "=", 1) == "steps"), 0)
+    paces = F.filter(words, lambda w: w.startswith("(") & w.endswith("s/step)"))
+    head = F.array_join(F.slice(words, 1, 2), " ")
+    number = F.expr("try_cast(get(_words, 1) as bigint)")
     d = lines.withColumns({
-        "_total": F.when(total != "", total.cast("bigint")), "_step": F.when(step != "", step.cast("bigint")),
-        "_rate": F.when(step != "", rate.cast("double")), "_done": done})
+        "_words": words, "_given": F.substring_index(given, "=", -1), "_pace": F.substring_index(F.substring_index(F.get(paces, 0), "s/step)", 1), "(", -1),
+        "_done": (head == "final val") | (head == "=== EVAL")})
+    told = (F.get("_words", 0) == "step") & F.expr("try_cast(_pace as double)").isNotNull()
+    d = d.withColumns({"_total": F.expr("try_cast(_given as bigint)"), "_step": F.when(told, number),
+                       "_rate": F.when(told, F.expr("try_cast(_pace as double)"))})
     out = d.groupBy(*keys).agg(
         F.max_by("_step", F.when(F.col("_step").isNotNull(), F.col(order))).alias("step"),
         F.max_by("_rate", F.when(F.col("_step").isNotNull(), F.col(order))).alias("seconds_per_step"),

@@ -46,12 +46,6 @@ def compact(spark: SparkSession, log_path: str, target: str, bands):
     summed(spark.read.parquet(log_path), list(bands)).write.parquet(target)
 
 
-def stateful_blend(tiles: DataFrame, band: str) -> DataFrame:
-    """The same blend with Spark holding the sums as state, for mosaics that fit a state store."""
-    s = tiles.groupBy("grow", "gcol").agg(F.sum(F.col("w") * F.col(band)).alias("_n"), F.sum("w").alias("_d"))
-    return s.select("grow", "gcol", F.when(F.col("_d") > 0, F.col("_n") / F.col("_d")).alias(band))
-
-
 def log_band(blocks: DataFrame, log_path: str, checkpoint: str, trigger: dict | None = None):
     """Start logging the blocks of a stream to a folder of parquet files, each micro-batch once.
 

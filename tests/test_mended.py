@@ -55,7 +55,7 @@ def tasks(df):
 
 def test_one_cap_and_one_box_are_many_tasks(spark):
     one = spark.createDataFrame([(1,)], "tile int")
-    assert tasks(blend.polar_pixels(one, G.PolarGrid(64, 1000.0))) > 1
+    assert tasks(blend.polar_pixels(one, G.Cap(64, 1000.0))) > 1
     box = spark.createDataFrame([(10.0, 0.0, 11.0, 1.0)], "west double, south double, east double, north double")
     assert tasks(grids.window_pixels(box, 2000.0)) > 1
 
@@ -68,7 +68,7 @@ def test_unusable_points_do_not_share_a_key(spark, frame):
 
 
 def test_missing_cylindrical_value_is_the_caps(spark):
-    cyl, grid = G.CylindricalGrid(36, 18), G.PolarGrid(60, 100_000.0)
+    cyl, grid = G.CylindricalGrid(36, 18), G.Cap(60, 100_000.0)
     cells = spark.createDataFrame([(0, 17, c, None if c % 2 else 1.0) for c in range(36)], "tile int, row int, col int, z double")
     north = cells.withColumn("row", F.when(cyl.lat("row") > 0, F.col("row")).otherwise(17 - F.col("row")))
     cap = blend.polar_pixels(spark.createDataFrame([(0,)], "tile int"), grid).withColumn("z", F.lit(5.0)).select("tile", "row", "col", "z")
@@ -77,7 +77,7 @@ def test_missing_cylindrical_value_is_the_caps(spark):
 
 
 def test_cap_fills_absent_pixels(spark, frame):
-    cyl, grid = G.CylindricalGrid(20, 90), G.PolarGrid(40, 100_000.0)
+    cyl, grid = G.CylindricalGrid(20, 90), G.Cap(40, 100_000.0)
     z = np.full((90, 20), 7.0)
     base = frame(z=z).withColumn("seen", F.lit(1))
     made = blend.cylindrical_to_polar(base, "z", cyl, grid).select("tile", "row", "col", "z")

@@ -112,11 +112,15 @@ def test_lattice_margin(spark):
 
 
 def test_polar_round_trip(spark):
-    g = G.cap_grid(50_000.0, 75.0, north=False)
-    assert g.size % 2 == 0 and abs(g.edge_latitude) <= 75.0
+    cap = G.cap_reaching(-75.0, 50_000.0, -1)
+    assert cap.cells % 2 == 0
     d = spark.range(200).select((F.col("id") * 1.7 % 360).alias("lon"), (F.lit(-76.0) - F.col("id") / 16).alias("lat"))
-    d = d.select("lon", "lat", g.col("lon", "lat").alias("c"), g.row("lon", "lat").alias("r"))
-    p = d.select("lon", "lat", g.lon("r", "c").alias("lon2"), g.lat("r", "c").alias("lat2")).toPandas()
+    row, col = G.cap_position("lon", "lat", cap)
+    d = d.select("lon", "lat", row.alias("r"), col.alias("c"))
+    lon, lat = G.cap_lonlat("r", "c", cap)
+    p = d.select("lon", "lat", lon.alias("lon2"), lat.alias("lat2")).toPandas()
+    edge = spark.range(1).select(G.cap_position(F.lit(90.0), F.lit(-75.0), cap)[1]).first()[0]
+    assert cap.cells - 3 <= edge <= cap.cells - 0.5
     assert np.allclose(p.lon, p.lon2) and np.allclose(p.lat, p.lat2)
 
 

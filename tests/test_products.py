@@ -26,7 +26,7 @@ def test_blending_keeps_constants_and_ramps(spark):
 
 
 def test_cap_merge_is_seamless_and_ignores_the_other_pole(spark):
-    cyl, cap = G.CylindricalGrid(80, 40), G.PolarGrid(30, 150_000.0)
+    cyl, cap = G.CylindricalGrid(80, 40), G.Cap(30, 150_000.0)
     r, c = np.mgrid[:40, :80]
     base = spark.createDataFrame(pd.DataFrame({"tile": 0, "row": r.ravel().astype("int32"), "col": c.ravel().astype("int32"), "z": 5.0}))
     made = blend.cylindrical_to_polar(base, "z", cyl, cap)

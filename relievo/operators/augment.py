@@ -80,7 +80,7 @@ def assemble_channels(df: DataFrame, keys=("tile",)) -> DataFrame:
     """The 18 input channels per pixel.
 
     Needs rv_*/valid_* of three looks, gtdr_up, emissivity, theta_* (radians), look_left and
-    lat_deg. Altimetry is centred on the tile mean, an aggregate joined back.
+    lat_deg. Altimetry is centred on the tile mean, an aggregate joined back; a gap in it has the mean.
     """
     keys = list(keys)
     ref = df.groupBy(*keys).agg(F.avg("gtdr_up").alias("_ref"))
@@ -89,7 +89,7 @@ def assemble_channels(df: DataFrame, keys=("tile",)) -> DataFrame:
     for n in LOOKS:
         ch[f"sar_{n}_db"] = F.coalesce(F.when(F.col(f"valid_{n}"), F.col(f"rv_{n}")), F.lit(0.0)) / K.RV_SCALE_DB
         ch[f"mask_{n}"] = F.col(f"valid_{n}").cast("double")
-    ch["gtdr_up"] = (F.col("gtdr_up") - F.col("_ref")) / K.GTDR_SCALE_M
+    ch["gtdr_up"] = F.coalesce(F.col("gtdr_up") - F.col("_ref"), F.lit(0.0)) / K.GTDR_SCALE_M
     ch["emissivity"] = (F.coalesce(F.col("emissivity"), F.lit(K.EMISSIVITY_MEAN))
                         - K.EMISSIVITY_MEAN) / K.EMISSIVITY_SCALE
     for n in LOOKS:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -153,23 +153,21 @@ def total(terms: DataFrame, weights: dict[str, float] | None = None, ramp: float
 
 def smoothed_history(steps: DataFrame, value: str = "loss", order: str = "step", beta: float = 0.98,
                      keys=("run", "term"), block: int = 4096) -> DataFrame:
-    """Exponentially smoothed value at the last step, seeded with the first value.
+    """Exponentially smoothed value after the last record, seeded with the first value.
 
-    s_n = beta^n * x_0 + (1 - beta) * sum beta^(n-i) * x_i. The recurrence is unrolled into
-    weighted sums per block of steps, which combine, so no run has to be folded in one task.
-    Steps are numbered 0, 1, 2 ... without gaps.
+    Each record turns s into beta * s + (1 - beta) * x. The records of one block of steps are one such map,
+    s -> decay * s + gain, and maps of blocks combine in order, so no run has to be folded in one task. Gaps in the
+    steps and steps in any order do no harm; records of one step go by value, those without a step or value are skipped.
     """
     keys = list(keys)
-    i, blk = F.col(order), F.floor(F.col(order) / block)
-    into = F.pow(F.lit(beta), (blk + 1) * block - 1 - i)  # weight at the end of the block
-    part = steps.groupBy(*keys, blk.alias("_blk")).agg(
-        F.sum(F.col(value) * into).alias("_s"), F.max(i).alias("_last"),
-        F.max(F.when(i == 0, F.col(value))).alias("_x0"))
-    end = part.groupBy(*keys).agg(F.max("_last").alias("_n"), F.max("_x0").alias("_first"))
-    lift = F.pow(F.lit(beta), F.col("_n") - ((F.col("_blk") + 1) * block - 1))
-    return (part.join(end, keys).groupBy(*keys)
-            .agg(F.sum(F.col("_s") * lift).alias("_s"), F.first("_n").alias("steps"),
-                 F.first("_first").alias("_first"))
-            .select(*keys, "steps", (F.col("_s") * (1.0 - beta)
-                                     + F.col("_first") * F.pow(F.lit(beta), F.col("steps") + 1)
-                                     ).alias("smoothed")))
+    use = steps.where(F.col(order).isNotNull() & F.col(value).isNotNull()).select(
+        *keys, F.col(order).alias("_at"), F.col(value).cast("double").alias("_x"), F.floor(F.col(order) / block).alias("_blk"))
+    back = Window.partitionBy(*keys, "_blk").orderBy(F.desc("_at"), F.desc("_x"))
+    maps = use.withColumn("_later", F.row_number().over(back) - 1).groupBy(*keys, "_blk").agg(
+        F.sum(F.col("_x") * F.pow(F.lit(beta), F.col("_later")) * (1.0 - beta)).alias("_gain"), F.count("*").alias("_n"),
+        F.max("_at").alias("_last"), F.min(F.struct("_at", "_x")).alias("_first"))
+    after = Window.partitionBy(*keys).orderBy(F.desc("_blk")).rowsBetween(Window.unboundedPreceding, -1)
+    lifted = maps.withColumn("_lift", F.pow(F.lit(beta), F.coalesce(F.sum("_n").over(after), F.lit(0))))
+    return lifted.groupBy(*keys).agg(
+        F.max("_last").alias("steps"),
+        (F.sum(F.col("_gain") * F.col("_lift")) + F.min("_first")["_x"] * F.pow(F.lit(beta), F.sum("_n"))).alias("smoothed"))

@@ -11,7 +11,9 @@ from ..functions import radiometry as R
 from ..operators import blend, coregister, grids, joins, mesh, pyramid
 from ..sources import sinks
 from . import bindings as B
+from . import terrain as T
 from .bindings import H, W, sql
+from .radiometry import _ramp_sql
 from .registry import query, rounded, rounded_cols, rs
 
 TILE, OVER = 20, 6
@@ -310,11 +312,17 @@ def imagery_pyramid(spark, sf):
     return out.select("tile", "z", "x", "y", "px", "py", rounded("z_m").alias("z_m"))
 
 
-@query("display_layers", sql("scene", f"""SELECT tile, r AS "row", c AS col, {rs('z')} AS z, CAST(floor(greatest(least(((coalesce(CASE WHEN dn_left<>0 THEN (dn_left-1e0)/5e0-20e0 END,0e0))+12e0)/24e0*255e0,255e0),0e0)) AS BIGINT) AS sar FROM
-   (SELECT tile, r, c, dn_left, coalesce(CASE WHEN dn_right<>0 THEN z END, med) AS z FROM scene JOIN (SELECT tile, quantile_cont(z,0.5) AS med FROM scene WHERE dn_right<>0 GROUP BY 1) USING (tile))"""))
+_FILLED = """filled AS (SELECT tile, r, c, dn_left, coalesce(CASE WHEN dn_right<>0 THEN z END, med) AS z FROM scene
+   JOIN (SELECT tile, quantile_cont(z,0.5) AS med FROM scene WHERE dn_right<>0 GROUP BY 1) USING (tile))"""
+
+
+@query("display_layers", sql("scene", f"""SELECT tile, r AS "row", c AS col, {rs('z')} AS z, CAST(floor(greatest(least({T._SHADE.replace('0.02e0', '3e0')},255e0),0e0)) AS BIGINT) AS shade,
+   {', '.join(f'{_ramp_sql(i).replace("h<=", "z<=").replace("(h-", "(z-")} AS {n}' for i, n in enumerate(("red", "green", "blue")))},
+   CAST(floor(greatest(least(((coalesce(CASE WHEN dn_left<>0 THEN (dn_left-1e0)/5e0-20e0 END,0e0))+12e0)/24e0*255e0,255e0),0e0)) AS BIGINT) AS sar
+   FROM filled JOIN grad USING (tile, r, c)""", _FILLED, T._CENTRAL.replace("FROM dem", "FROM filled")))
 def display_layers(spark, sf):
     s = B.scene(spark, sf).withColumns({"z": F.when(F.col("dn_right") != 0, F.col("z")), "rv": R.rv_from_dn("dn_left")})
-    return rounded_cols(pyramid.display_layers(s.select("tile", "row", "col", "z", "rv"), "z", "rv").select("tile", "row", "col", "z", "sar"))
+    return rounded_cols(pyramid.display_layers(s.select("tile", "row", "col", "z", "rv"), "z", "rv"))
 
 
 @query("region_product", sql("scene", f"""SELECT tile, {rs('min(z)')} AS z_min, {rs('max(z)')} AS z_max, {rs('avg(z)')} AS z_mean, {rs('avg(sigma)')} AS sigma_mean,

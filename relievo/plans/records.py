@@ -235,16 +235,23 @@ def feature_inputs(spark, sf):
 _T = {n: f"radians(greatest(least({p}e0-{c}e0*power((tile*7%60)-{a}e0,2),{p}e0),{m}e0))" for n, (a, p, c, m) in K.INCIDENCE.items()}
 
 
-@query("input_channels", sql("scene", f"""SELECT tile, r AS "row", c AS col, {rs('CASE WHEN dn_left<>0 THEN ((dn_left-1e0)/5e0-20e0)/5e0 ELSE 0e0 END')} AS sar_left_db,
-   CASE WHEN dn_left<>0 THEN 1e0 ELSE 0e0 END AS mask_left, {rs('CASE WHEN dn_right<>0 THEN ((dn_right-1e0)/5e0-20e0)/5e0 ELSE 0e0 END')} AS sar_right_db,
-   {rs('(z-avg(z) OVER (PARTITION BY tile))/1000e0')} AS gtdr_up, {rs('(sigma/150e0-0.85e0)/0.05e0')} AS emissivity, {rs(f"sin({_T['left']})")} AS theta_left_sin,
-   {rs(f"cos({_T['stereo']})")} AS theta_stereo_cos, 1e0 AS look_east, {rs('sin(radians(tile*7%60))')} AS lat_sin, 0e0 AS dropped_right FROM scene"""))
+def _channel_sql(look):
+    db = f"CASE WHEN dn_{look}<>0 THEN ((dn_{look}-1e0)/5e0-20e0)/5e0 ELSE 0e0 END"
+    return ", ".join([f"{rs(db)} AS sar_{look}_db", f"CASE WHEN dn_{look}<>0 THEN 1e0 ELSE 0e0 END AS mask_{look}",
+                      f"{rs(f'sin({_T[look]})')} AS theta_{look}_sin", f"{rs(f'cos({_T[look]})')} AS theta_{look}_cos"])
+
+
+@query("input_channels", sql("scene", f"""SELECT tile, r AS "row", c AS col, {', '.join(_channel_sql(n) for n in augment.LOOKS)},
+   {rs('coalesce(zv-avg(zv) OVER (PARTITION BY tile),0e0)/1000e0')} AS gtdr_up, {rs('(sigma/150e0-0.85e0)/0.05e0')} AS emissivity, 1e0 AS look_east, 0e0 AS look_north,
+   {rs('sin(radians(tile*7%60))')} AS lat_sin, {rs('cos(radians(tile*7%60))')} AS lat_cos, 0e0 AS dropped_right FROM (SELECT *, CASE WHEN (r+c)%13<>0 THEN z END AS zv FROM scene)"""))
 def input_channels(spark, sf):
-    ch = augment.assemble_channels(feature_inputs(spark, sf))
-    one_look = augment.drop_second_looks(ch.withColumn("sar_right_kept", F.col("sar_right_db")))
-    ch = one_look.withColumn("dropped_right", F.col("sar_right_db")).withColumn("sar_right_db", F.col("sar_right_kept"))
-    return rounded_cols(ch.select("tile", "row", "col", "sar_left_db", "mask_left", "sar_right_db", "gtdr_up", "emissivity",
-                                  "theta_left_sin", "theta_stereo_cos", "look_east", "lat_sin", "dropped_right"))
+    """All 18 channels, with gaps in the altimetry, and the right look after it is dropped."""
+    seen = feature_inputs(spark, sf).withColumn("gtdr_up", F.when((F.col("row") + F.col("col")) % 13 != 0, F.col("gtdr_up")))
+    ch = augment.assemble_channels(seen)
+    one_look = augment.drop_second_looks(ch.select("*", *[F.col(f"{x}_{n}{y}").alias(f"kept_{x}_{n}") for n in ("right", "stereo") for x, y in (("sar", "_db"), ("mask", ""))]))
+    ch = one_look.withColumn("dropped_right", F.col("sar_right_db")).withColumns(
+        {f"{x}_{n}{y}": F.col(f"kept_{x}_{n}") for n in ("right", "stereo") for x, y in (("sar", "_db"), ("mask", ""))})
+    return rounded_cols(ch.drop(*[f"kept_{x}_{n}" for n in ("right", "stereo") for x in ("sar", "mask")]))
 
 
 @query("conditioning", sql("scene", f"""SELECT tile, {rs(f"sin({_T['left']})")} AS theta_left_sin, {rs(f"cos({_T['left']})")} AS theta_left_cos, {rs(f"sin({_T['right']})")} AS theta_right_sin,

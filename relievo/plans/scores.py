@@ -260,16 +260,17 @@ def total_objective(spark, sf):
     return rounded_cols(objectives.total(t, ramp=0.5))
 
 
-_HIST = """hist AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)-1 AS step, value FROM events)"""
+_HIST = """hist AS (SELECT *, n+CAST(n//5 AS BIGINT)*3 AS step FROM (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)-1 AS n, value FROM events))"""
 
 
-@query("smoothed_history", "WITH " + _HIST + f""" SELECT run, max(n) AS steps, {rs('max(x0)*power(0.98e0,max(n)+1)+0.02e0*sum(value*power(0.98e0,n-step))')} AS smoothed
-  FROM (SELECT *, max(step) OVER (PARTITION BY run) AS n, CASE WHEN step=0 THEN value END AS x0 FROM hist) GROUP BY 1""")
+@query("smoothed_history", "WITH " + _HIST + f""" SELECT run, max(step) AS steps, {rs('max(x0)*power(0.98e0,max(m)+1)+0.02e0*sum(value*power(0.98e0,m-n))')} AS smoothed
+  FROM (SELECT *, max(n) OVER (PARTITION BY run) AS m, CASE WHEN n=0 THEN value END AS x0 FROM hist) GROUP BY 1""")
 def smoothed_history(spark, sf):
+    """Every fifth record is followed by a gap in the steps."""
     from pyspark.sql import Window
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    h = B.table(spark, sf, "events").select(F.col("user_id").alias("run"), (F.row_number().over(w) - 1).alias("step"),
-                                            F.col("value").alias("loss"))
+    n = F.row_number().over(w) - 1
+    h = B.table(spark, sf, "events").select(F.col("user_id").alias("run"), (n + F.floor(n / 5) * 3).alias("step"), F.col("value").alias("loss"))
     return rounded_cols(objectives.smoothed_history(h, keys=("run",), block=32))
 
 

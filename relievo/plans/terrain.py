@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 
 from ..functions import geodesy as G
 from ..functions import radiometry as R
-from ..operators import blend, masks, stencil
+from ..operators import blend, chunks, masks, stencil
 from ..operators import joins, metrics
 from ..operators import resample as S
 from ..operators.coregister import ProductGrid, sample_windows
 from . import bindings as B
 from .bindings import H, PX, W, downsample_sql, flattened_sql, sobel_sql, sql
 from ..functions.base import attach
-from .registry import query, rounded, rounded_cols, rs
+from .registry import ORACLES, query, rounded, rounded_cols, rs
 
 LAT = "(90e0-(r+0.5e0)*3.6e0)"
 LON = "((c+0.5e0)*3.6e0)"
@@ -189,6 +189,57 @@ def at_trusted_scale(spark, sf):
     return rounded_cols(S.at_scale(B.dem(spark, sf), "z", PX, 31_000.0, H, W))
 
 
+# --- the same stencils on array blocks ---------------------------------------------------------------------------
+CHUNK = 32
+
+
+@query("sobel_slope_chunks", ORACLES["sobel_slope"])
+def sobel_slope_chunks(spark, sf):
+    c = chunks.sobel(chunks.to_chunks(B.dem(spark, sf), "z", block=CHUNK), "z", PX, block=CHUNK)
+    g = chunks.to_pixels(c, ["z_de", "z_dn"], block=CHUNK)
+    return g.select("tile", "row", "col", rounded("z_de", 9).alias("de"), rounded("z_dn", 9).alias("dn"),
+                    rounded(stencil.along_look("z_de", "z_dn", 0.6, 0.8), 9).alias("alpha"),
+                    rounded(stencil.slope_magnitude("z_de", "z_dn"), 9).alias("slope"))
+
+
+@query("stereo_trust_chunks", sql("scene", """SELECT tile, r AS "row", c AS col, seam_ok, dark_ok FROM trusted""", *MASKS))
+def stereo_trust_chunks(spark, sf):
+    d = B.scene(spark, sf).withColumn("rv_left", R.rv_from_dn("dn_left"))
+    c = chunks.stereo_trust_mask(chunks.to_chunks(d, ["z", "rv_left"], block=CHUNK), "z", "rv_left", jump_m=4400.0,
+                                 seam_dilation=1, threshold_db=-17.0, dark_dilation=2, block=CHUNK)
+    flags = ("seam_ok", "dark_ok")
+    return chunks.to_pixels(c, flags, block=CHUNK).withColumns({n: F.col(n) != 0 for n in flags})
+
+
+@query("dilated_chunks", ORACLES["dilated_highs"])
+def dilated_chunks(spark, sf):
+    d = B.dem(spark, sf).withColumn("high", (F.col("z") > 4800.0).cast("double"))
+    c = chunks.dilate(chunks.to_chunks(d, "high", block=16), "high", 3, block=16)
+    return chunks.to_pixels(c, "high", block=16).where("high <> 0").select("tile", "row", "col")
+
+
+@query("gaussian_reduce_chunks", ORACLES["gaussian_reduce"])
+def gaussian_reduce_chunks(spark, sf):
+    c = chunks.to_chunks(B.dem(spark, sf), "z", block=CHUNK)
+    return rounded_cols(chunks.gaussian_downsample(c, "z", 4, H, W, block=CHUNK))
+
+
+@query("roughness_steps_chunks", ORACLES["roughness_steps"])
+def roughness_steps_chunks(spark, sf):
+    c = chunks.neighbour_steps(chunks.to_chunks(B.dem(spark, sf), "z", block=CHUNK), "z", block=CHUNK)
+    d = chunks.to_pixels(c, ["step_e", "step_s", "laplacian"], block=CHUNK)
+    return rounded_cols(d.groupBy("tile").agg(
+        F.avg(F.abs("step_e")).alias("step_e"), F.avg(F.abs("step_s")).alias("step_s"),
+        F.avg(F.abs("laplacian")).alias("laplacian"), F.count("laplacian").alias("interior")))
+
+
+@query("gradient_chunks", sql("dem", f"""SELECT tile, r AS "row", c AS col, {rs(f'dc/{PX}e0', 9)} AS de, {rs(f'-dr/{PX}e0', 9)} AS dn FROM grad""", _CENTRAL))
+def gradient_chunks(spark, sf):
+    c = chunks.central_gradient(chunks.to_chunks(B.dem(spark, sf), "z", block=CHUNK), "z", PX, block=CHUNK)
+    g = chunks.to_pixels(c, ["z_de", "z_dn"], block=CHUNK)
+    return g.select("tile", "row", "col", rounded("z_de", 9).alias("de"), rounded("z_dn", 9).alias("dn"))
+
+
 STRIDE = 5
 _POSTS = f"""posts AS (SELECT tile, (r-2)//{STRIDE} AS r, (c-2)//{STRIDE} AS c,
     CASE WHEN (r*31+c*17)%23=0 THEN 0e0 ELSE z END AS v, CASE WHEN (r*31+c*17)%23=0 THEN 0e0 ELSE 1e0 END AS m

@@ -143,9 +143,18 @@ def guarded_profile(fits: DataFrame, lat: str = "lat", keys=("cycle",), minimum:
     return p.withColumns({c: F.when(F.col("status") == "ok", F.col(c)) for c in shape})
 
 
-def datum_tie(df: DataFrame, stereo: str, gtdr: str, keys=("tile",), minimum: int = 64) -> DataFrame:
-    """Shift the stereo DEM by its median offset to altimetry; NULL where too few posts tie it."""
+def datum_offsets(df: DataFrame, stereo: str, gtdr: str, keys=("tile",), minimum: int = 64) -> DataFrame:
+    """(keys, _tie): the median of stereo DEM minus altimetry where more than `minimum` posts tie it."""
     keys = list(keys)
     both = F.when(F.col(stereo).isNotNull() & F.col(gtdr).isNotNull(), F.col(stereo) - F.col(gtdr))
-    tie = exact_quantiles(df, keys, both, {"_tie": 0.5}).where(F.col("n") > minimum).select(*keys, "_tie")
-    return df.join(tie, keys, "left").withColumn(stereo, F.col(stereo) - F.col("_tie")).drop("_tie")
+    return exact_quantiles(df, keys, both, {"_tie": 0.5}).where(F.col("n") > minimum).select(*keys, "_tie")
+
+
+def datum_tie(df: DataFrame, stereo: str, gtdr: str, keys=("tile",), minimum: int = 64,
+              offsets: DataFrame | None = None) -> DataFrame:
+    """Shift the stereo DEM by its median offset to altimetry; NULL where too few posts tie it.
+
+    `offsets` are those of `datum_offsets`, where they are already written.
+    """
+    tie = datum_offsets(df, stereo, gtdr, keys, minimum) if offsets is None else offsets
+    return df.join(tie, list(keys), "left").withColumn(stereo, F.col(stereo) - F.col("_tie")).drop("_tie")

@@ -3,6 +3,6 @@
 
 def load_all():
     """Import every plan module and return (queries, oracles)."""
-    from . import products, radiometry, records, scores, terrain  # noqa: F401
+    from . import ingested, products, radiometry, records, scores, terrain  # noqa: F401
     from .registry import ORACLES, QUERIES
     return QUERIES, ORACLES

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,9 +15,10 @@ from ..functions.base import attach
 from ..operators import blend, grids, masks, metrics
 from ..operators.blocks import spread
 from ..operators.coregister import DEFAULTS, ProductGrid, sample_product
-from ..operators.fits import datum_tie
+from ..operators.fits import datum_offsets, datum_tie
 from ..operators.resample import Footprint
 from ..session import materialise
+from ..sources import tilestore
 from ..sources.sinks import product_summary
 
 
@@ -63,8 +64,8 @@ def ingest(regions: DataFrame, products: dict[str, Product], spec: IngestSpec) -
     plan = plan_tiles(regions, spec)
     n = float((spec.core_px + 2 * spec.margin_px) ** 2)
     left = products["dn_left"]
-    points = grids.window_pixels(plan.select("tile", "west", "south", "east", "north"), spec.pixel_m).select(
-        "tile", "row", "col", "lon", "lat")
+    points = grids.window_pixels(plan.select("tile", "quad", "west", "south", "east", "north"), spec.pixel_m).select(
+        "tile", "quad", "row", "col", "lon", "lat")
     px = sample_product(points, left.raster, left.band, left.grid, left.method, out="dn_left")
     px = materialise(masks.coverage_gate(px, F.col("dn_left").isNotNull(), spec.min_valid, pixels=n), "ingest")
     for name, p in products.items():
@@ -73,7 +74,8 @@ def ingest(regions: DataFrame, products: dict[str, Product], spec: IngestSpec) -
     # The sampled grid feeds the datum fit, the coverage flags and the output.
     px = materialise(px, "ingest-sampled")
     if "stereo_dem" in products and "gtdr_up" in products:
-        px = datum_tie(px, "stereo_dem", "gtdr_up")
+        ties = materialise(datum_offsets(px, "stereo_dem", "gtdr_up"), "ingest-ties")  # a row a tile, used twice
+        px = datum_tie(px, "stereo_dem", "gtdr_up", offsets=ties)
     cover = masks.tile_coverage(px, {short: F.col(name).isNotNull() for name, short in (
         ("dn_left", "left"), ("dn_right", "right"), ("dn_stereo", "stereo"), ("stereo_dem", "stereo_dem"))
         if name in products}, pixels=n)
@@ -81,12 +83,21 @@ def ingest(regions: DataFrame, products: dict[str, Product], spec: IngestSpec) -
                         ).join(masks.presence_flags(cover), "tile")
     tiles = tiles.withColumns({f"theta_{k}": F.radians(G.incidence_deg("lat_deg", k)) for k in K.INCIDENCE}
                               | {f"look_{k}": G.look_vector(F.lit(k)) for k in K.INCIDENCE})
+    tiles = materialise(tiles, "ingest-tiles")
     if "rms_slope" in products:  # stored in degrees
         px = px.withColumn("rms_slope", F.radians(F.coalesce("rms_slope", F.lit(0.0))))
     filled = {c: F.coalesce(F.col(c), F.lit(v)) for c, v in spec.defaults.items() if c in products}
     return px.withColumns(filled), tiles
 
 
+def ingest_to_store(regions: DataFrame, products: dict[str, Product], spec: IngestSpec, path: str,
+                    mode: str = "errorifexists"):
+    """Ingest into a tile store at `path`, partitioned by quadrangle, that `tilestore.read_tiles` reads back."""
+    pixels, tiles = ingest(regions, products, spec)
+    meta = {k: v for k, v in asdict(spec).items() if k != "defaults"}
+    tilestore.write_store(pixels, tiles, path, meta | {"bands": sorted(products)}, mode)
+
+
 def region_product(regions: DataFrame, span_m: float, pixel_m: float, tile_px: int, overlap_px: int,
                    tile_values: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(blended product, summary) of a square box per region.

@@ -12,17 +12,19 @@ from ..operators.joins import split
 from ..operators.masks import inside_latitudes
 
 
-def write_store(pixels: DataFrame, tiles: DataFrame, path: str, meta: dict, mode: str = "errorifexists"):
+def write_store(pixels: DataFrame, tiles: DataFrame, path: str, meta: dict, mode: str = "errorifexists",
+                tiles_per_file: int = 16):
     """Write pixels (with `quad`) and tile rows partitioned by quadrangle, and the settings.
 
-    Pixels are spread by quadrangle and a hash of tile and row, so a crowded quadrangle is
-    written by many tasks.
+    A quadrangle gets a file for every `tiles_per_file` tiles, so a crowded one is written by many tasks and
+    a sparse one leaves no small files. The counts are one row a quadrangle, of which a sphere has 450.
     """
-    spread = F.pmod(F.xxhash64("tile", F.floor(F.col("row") / 64)), F.lit(64))
-    (pixels.withColumn("_s", spread).repartition("quad", "_s").drop("_s")
-     .sortWithinPartitions("quad", "tile", "row", "col")
+    files = tiles.groupBy("quad").agg(F.ceil(F.count(F.lit(1)) / tiles_per_file).alias("_files"))
+    spread = F.pmod(F.xxhash64("tile"), F.coalesce("_files", F.lit(1)))
+    (pixels.join(F.broadcast(files), "quad", "left").withColumn("_s", spread).drop("_files")
+     .repartition("quad", "_s").drop("_s").sortWithinPartitions("quad", "tile", "row", "col")
      .write.mode(mode).partitionBy("quad").parquet(f"{path}/pixel"))
-    tiles.write.mode(mode).partitionBy("quad").parquet(f"{path}/tile")
+    tiles.repartition("quad").write.mode(mode).partitionBy("quad").parquet(f"{path}/tile")
     spark = pixels.sparkSession
     spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "meta string").write.mode(mode).json(f"{path}/meta")
 

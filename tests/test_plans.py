@@ -12,7 +12,7 @@ from relievo.plans import load_all
 
 SF = "/root/testdata/sf0.001"
 QUERIES, _ = load_all()
-RUNS_JOBS = ("streamed_", "evaluation_table")
+RUNS_JOBS = ("streamed_", "evaluation_table", "ingest_tiles", "stored_split")
 
 
 def plan(df):

@@ -148,6 +148,27 @@ def diagnostics(df: DataFrame, x, y, keys=()) -> DataFrame:
         F.regr_intercept(y, x).alias("intercept"), F.regr_count(y, x).alias("n"))
 
 
+def direction_correlation(df: DataFrame, de, dn, brightness, azimuths_deg, keys=("tile",)) -> DataFrame:
+    """(keys, azimuth_deg, correlation, n): brightness against the slope along each assumed direction.
+
+    Azimuths count clockwise from north. A slope along any direction is a mix of the two axes, so one
+    aggregate of moments serves all directions, however many; no row per pixel and direction is made.
+    Pixels without a slope or a brightness take no part; NULL where either does not vary.
+    """
+    de, dn, b = as_col(de), as_col(dn), as_col(brightness)
+    use = de.isNotNull() & dn.isNotNull() & b.isNotNull()
+    e, n, v = (F.when(use, c) for c in (de, dn, b))
+    m = df.groupBy(*keys).agg(
+        F.var_pop(e).alias("_ee"), F.var_pop(n).alias("_nn"), F.covar_pop(e, n).alias("_en"), F.var_pop(v).alias("_vv"),
+        F.covar_pop(e, v).alias("_ev"), F.covar_pop(n, v).alias("_nv"), F.count_if(use).alias("n"))
+    m = m.withColumn("azimuth_deg", F.explode(F.array(*[F.lit(float(a)) for a in azimuths_deg])))
+    x, y = F.sin(F.radians("azimuth_deg")), F.cos(F.radians("azimuth_deg"))
+    along = x * x * F.col("_ee") + y * y * F.col("_nn") + x * y * F.col("_en") * 2.0
+    both = x * F.col("_ev") + y * F.col("_nv")
+    r = F.when((along > 0) & (F.col("_vv") > 0), both / F.sqrt(along * F.col("_vv")))
+    return m.select(*keys, "azimuth_deg", r.alias("correlation"), "n")
+
+
 def half_split(df: DataFrame, rank_by: str, value: str, keys=()) -> DataFrame:
     """Mean of `value` in the lower and upper half by `rank_by`.
 

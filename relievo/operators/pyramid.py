@@ -53,33 +53,63 @@ def terrain_pyramid(boxes: DataFrame, dem: DataFrame, z: str, height: int, width
     return encode_tiles(vertices, n, [*keys, "z", "x", "y"])
 
 
+def _level_size(level: int, tile_px: int) -> tuple[int, int]:
+    return tile_px * 2 ** level, tile_px * 2 ** (level + 1)
+
+
+def _as_level(raster: DataFrame, bands, level: int, tile_px: int, keys) -> DataFrame:
+    return raster.select(
+        *keys, F.lit(level).alias("z"), F.floor(F.col("col") / tile_px).cast("int").alias("x"),
+        (F.lit(2 ** level - 1) - F.floor(F.col("row") / tile_px)).cast("int").alias("y"),
+        F.pmod(F.col("col"), F.lit(tile_px)).alias("px"), F.pmod(F.col("row"), F.lit(tile_px)).alias("py"),
+        *bands)
+
+
 def imagery_level(image: DataFrame, bands, height: int, width: int, level: int, tile_px: int = 256,
                   keys=("tile",)) -> DataFrame:
     """One level of a global 2x1 pyramid as (keys, z, x, y, px, py, bands); y counts north.
 
-    Reduction is an area mean, enlargement bilinear.
+    Reduction is an area mean, enlargement bilinear, each axis by its own need.
     """
     bands = [bands] if isinstance(bands, str) else list(bands)
-    out_h, out_w = tile_px * 2 ** level, tile_px * 2 ** (level + 1)
-    src = image.select(*keys, "row", "col", *bands)
-    if out_h <= height and out_w <= width:
-        res = area_average(src, bands, F.floor(F.col("row") * out_h / height),
-                           F.floor(F.col("col") * out_w / width), keys)
-    else:
-        res = upsample_bilinear(src, bands, height, width, out_h, out_w, keys)
-    return res.select(
-        *keys, F.lit(level).alias("z"), F.floor(F.col("col") / tile_px).cast("int").alias("x"),
-        (F.lit(2 ** level - 1) - F.floor(F.col("row") / tile_px)).cast("int").alias("y"),
-        F.pmod(F.col("col"), F.lit(tile_px)).alias("px"), F.pmod(F.col("row"), F.lit(tile_px)).alias("py"),
-        *bands)
+    out_h, out_w = _level_size(level, tile_px)
+    res = image.select(*keys, "row", "col", *bands)
+    low_h, low_w = min(height, out_h), min(width, out_w)
+    if (low_h, low_w) != (height, width):
+        res = area_average(res, bands, F.floor(F.col("row") * low_h / height), F.floor(F.col("col") * low_w / width), keys)
+    if (low_h, low_w) != (out_h, out_w):
+        res = upsample_bilinear(res, bands, low_h, low_w, out_h, out_w, keys)
+    return _as_level(res, bands, level, tile_px, keys)
 
 
 def imagery_pyramid(image: DataFrame, bands, height: int, width: int, max_level: int, tile_px: int = 256,
                     keys=("tile",)) -> DataFrame:
-    out = None
-    for level in range(max_level + 1):
-        one = imagery_level(image, bands, height, width, level, tile_px, keys)
-        out = one if out is None else out.unionByName(one)
+    """Levels 0 to `max_level`.
+
+    The finest reduced level is summed from the image once; every coarser one adds up four cells of the
+    level below it, as cell borders nest. Sums and counts are kept, so each level is the exact mean of
+    its pixels. Levels finer than the image are enlarged from it.
+    """
+    bands, keys = [bands] if isinstance(bands, str) else list(bands), list(keys)
+    reduced = [k for k in range(max_level + 1) if _level_size(k, tile_px)[0] <= height and _level_size(k, tile_px)[1] <= width]
+    levels, sums = [], None
+    for level in reversed(reduced):
+        if sums is None:
+            h, w = _level_size(level, tile_px)
+            cell = {"row": F.floor(F.col("row") * h / height).cast("int"), "col": F.floor(F.col("col") * w / width).cast("int")}
+            sums = image.groupBy(*keys, *[c.alias(n) for n, c in cell.items()]).agg(
+                *[F.sum(b).alias(b) for b in bands], *[F.count(b).alias(f"_n_{b}") for b in bands])
+        else:
+            half = [F.floor(F.col(n) / 2).cast("int").alias(n) for n in ("row", "col")]
+            sums = sums.groupBy(*keys, *half).agg(
+                *[F.sum(b).alias(b) for b in bands], *[F.sum(f"_n_{b}").alias(f"_n_{b}") for b in bands])
+        means = sums.select(*keys, "row", "col", *[(F.col(b) / F.col(f"_n_{b}")).alias(b) for b in bands])
+        levels.append(_as_level(means, bands, level, tile_px, keys))
+    for level in range(len(reduced), max_level + 1):
+        levels.append(imagery_level(image, bands, height, width, level, tile_px, keys))
+    out = levels[0]
+    for one in levels[1:]:
+        out = out.unionByName(one)
     return out
 
 

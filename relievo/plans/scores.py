@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import radiometry as R
 from ..operators import fits, metrics, objectives, spectrum
 from ..operators.quantiles import exact_quantiles
-from ..operators.stencil import central_gradient, along_look
+from ..operators.stencil import central_gradient, along_look, sobel
 from . import bindings as B
 from .bindings import H, PX, W, downsample_sql, sobel_sql, sql
 from .registry import query, rounded, rounded_cols, rs
@@ -372,6 +372,15 @@ def datum_tie(spark, sf):
         "tile", "row", "col", "stereo"))
 
 
+@query("direction_correlation", sql("scene", f"""SELECT tile, azimuth_deg, {rs("corr(de*sin(radians(azimuth_deg))+dn*cos(radians(azimuth_deg)), rv)")} AS correlation, count(rv) AS n
+   FROM (SELECT tile, r, c, de, dn, CASE WHEN dn_left<>0 THEN (dn_left-1e0)/5e0-20e0 END AS rv FROM scene JOIN sob USING (tile, r, c)),
+     (SELECT k*22.5e0 AS azimuth_deg FROM generate_series(0,7) g(k)) GROUP BY 1, 2""", sobel_sql("sob", "scene", "z", str(H), str(W), f"{PX}e0")))
+def direction_correlation(spark, sf):
+    """Does the image brighten along the slope that the assumed look direction implies?"""
+    g = sobel(B.scene(spark, sf), "z", PX).withColumn("rv", R.rv_from_dn("dn_left"))
+    return rounded_cols(metrics.direction_correlation(g, "z_de", "z_dn", "rv", [22.5 * k for k in range(8)]))
+
+
 # --- runs side by side ---------------------------------------------------------------------------------------------------------
 def _renamed(ctes, tag, z, dn, flip, bright):
     """The rendering CTEs for another surface, look and brightness, under their own names."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -9,7 +11,7 @@ from ..functions import geodesy as G
 from ..functions.base import attach
 from ..operators import augment, features, profile
 from ..session import workspace
-from ..sources import catalogue, raw_dem, tilestore
+from ..sources import catalogue, raw_array, raw_dem, tilestore
 from ..streaming import monitor, mosaic
 from . import bindings as B
 from . import products as P
@@ -314,7 +316,7 @@ def streamed_mosaic(spark, sf):
     t = assign_tiles(twice, H, W, P.TILE, P.OVER)
     t = t.withColumn("z", F.col("z") + (F.col("orow") % 7) * 3.0 - (F.col("ocol") % 5) * 2.0)
     log, state = workspace(spark, "mosaic-log"), workspace(spark, "mosaic-state")
-    mosaic.blend_stream(t, ["z"], log, state, ("tile", "orow", "ocol")).awaitTermination()
+    mosaic.blend_stream(t, ["z"], log, state, (P.TILE, P.TILE), ("tile", "orow", "ocol")).awaitTermination()
     return rounded_cols(mosaic.read_mosaic(spark, log, ["z"]))
 
 
@@ -327,3 +329,65 @@ def streamed_band(spark, sf):
     log, state = workspace(spark, "band-log"), workspace(spark, "band-state")
     mosaic.log_band(blocks, log, state).awaitTermination()
     return mosaic.arrived_band(spark.read.schema(blocks.schema).parquet(log))
+
+
+# --- raw arrays read by byte ranges -----------------------------------------------------------------------------------
+_VALUE_OFFSET = K.RADIUS_M - 512.25
+_GAPPED = "dem_ AS (SELECT tile AS dem, r AS \"row\", c AS col, CASE WHEN (r*3+c)%41<>0 THEN CAST(CAST(z AS FLOAT) AS DOUBLE)-512.25e0 END AS z FROM dem)"
+
+
+def _arrays(spark, sf, rows, folder):
+    """Each height tile as a raw file with gaps, of the rows that `rows` keeps; the tiles' number is what is listed."""
+    px = B.dem(spark, sf).withColumn("z", F.when((F.col("row") * 3 + F.col("col")) % 41 != 0, F.col("z")))
+    raw_array.write_arrays(px.where(rows), "z", folder, W, "tile").write.format("noop").mode("overwrite").save()
+    names = [str(r["tile"]) for r in px.select("tile").distinct().collect()]  # one label per array, as a catalogue has
+    return [raw_array.RawArray(n, f"{folder}/{n}.img", H, W) for n in names]
+
+
+@query("raw_array_scan", sql("dem", f"""SELECT dem, "row", col, {rs('z', 4)} AS z FROM dem_ WHERE "row" BETWEEN 5 AND 39""", _GAPPED))
+def raw_array_scan(spark, sf):
+    """Rows 5 to 39 of every height tile, written as raw float arrays and read by byte ranges."""
+    arrays = _arrays(spark, sf, F.col("row") >= 0, workspace(spark, "arrays"))
+    z = raw_array.heights(raw_array.scan(spark, arrays, 8, 5, 40), _VALUE_OFFSET)
+    return rounded_cols(z.withColumn("dem", F.col("dem").cast("bigint")), 4)
+
+
+@query("growing_arrays", sql("dem", f"""SELECT dem, "row", col, CAST(1 AS BIGINT) AS deliveries, {rs('z', 4)} AS z FROM dem_""", _GAPPED))
+def growing_arrays(spark, sf):
+    """Arrays that grow under a stream: a northern band in the first run, the rest in the second, each pixel once."""
+    folder, log, state = (workspace(spark, n) for n in ("arrays", "array-log", "array-state"))
+    for rows in (F.col("row") < 10 + F.pmod(F.col("tile"), F.lit(3)) * 7, F.col("row") >= 0):
+        rows_now = raw_array.heights(raw_array.scan_stream(spark, _arrays(spark, sf, rows, folder), 16), _VALUE_OFFSET)
+        mosaic.log_band(rows_now, log, state).awaitTermination()
+    seen = spark.read.schema(rows_now.schema).parquet(log).groupBy(F.col("dem").cast("bigint").alias("dem"), "row", "col")
+    return rounded_cols(seen.agg(F.count(F.lit(1)).alias("deliveries"), F.max("z").alias("z")), 4)
+
+
+# --- stalled runs in a stream -----------------------------------------------------------------------------------------
+_RUNS = "runs AS (SELECT user_id, user_id%5 AS k, CAST(user_id AS VARCHAR) AS run, count(*) AS n FROM events GROUP BY 1)"
+
+
+@query("run_stream", "WITH " + _RUNS + f""" SELECT run, step, 2*n AS steps, state, {rs('CASE state WHEN $$running$$ THEN 1.5e0*(2*n-step) WHEN $$done$$ THEN 0e0 END')} AS eta_s, count(*) AS reports FROM (
+     SELECT run, n, CASE k WHEN 0 THEN 2*n ELSE n END AS step, CASE k WHEN 0 THEN 'done' ELSE 'running' END AS state FROM runs
+     UNION ALL SELECT run, n, n, 'stalled' FROM runs WHERE k>=3 AND n<2*n
+     UNION ALL SELECT run, n, n+1, CASE WHEN n+1>=2*n THEN 'done' ELSE 'running' END FROM runs WHERE k IN (1,2)
+     UNION ALL SELECT run, n, n+1, 'running' FROM runs WHERE k=1 AND n+1<2*n
+     UNION ALL SELECT run, n, 2*n, 'done' FROM runs WHERE k=2 AND n+1<2*n
+     UNION ALL SELECT run, n, n, 'running' FROM runs WHERE k=3) GROUP BY ALL""")
+def run_stream(spark, sf):
+    """State changes of every run over three deliveries: silent runs stall, late beats change nothing, stalled ones resume."""
+    runs = B.table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    k, n = F.col("user_id") % 5, F.col("n")
+    deliveries = [(F.lit(True), F.when(k == 0, 2 * n).otherwise(n), 10.0),
+                  (k.isin(1, 2), n + 1, 20.0),
+                  (k != 4, F.when(k == 2, 2 * n).when(k == 3, n).otherwise(n - 1), F.when(k.isin(0, 1), 5.0).otherwise(30.0))]
+    src, log, state = (workspace(spark, name) for name in ("beats", "beat-log", "beat-state"))
+    for chosen, step, updated in deliveries:
+        beats = runs.where(chosen).select(F.col("user_id").cast("string").alias("run"), step.cast("bigint").alias("step"), (2 * n).alias("steps"),
+                                          F.lit(1.5).alias("seconds_per_step"), (F.lit(updated) if isinstance(updated, float) else updated).alias("updated"))
+        beats.write.mode("append").parquet(src)
+        changes = monitor.status_stream(spark.readStream.schema(beats.schema).parquet(src), stale_s=1.0, mode="append")
+        mosaic.log_band(changes, log, state).awaitTermination()
+        time.sleep(1.1)  # longer than stale_s: whoever sends nothing in the next delivery has stalled
+    out = spark.read.schema(changes.schema).parquet(log)
+    return rounded_cols(out.groupBy(*out.columns).agg(F.count(F.lit(1)).alias("reports")))

@@ -75,11 +75,11 @@ def with_logs(heartbeats: DataFrame, logged: DataFrame, keys=("run",)) -> DataFr
                                   allowMissingColumns=True)
 
 
-def status_stream(heartbeats: DataFrame, stale_s: float = STALE_S, forget_s: float = 86_400.0) -> DataFrame:
+def status_stream(heartbeats: DataFrame, stale_s: float = STALE_S, forget_s: float = 86_400.0, mode: str = "update") -> DataFrame:
     """State changes of each run from a stream of (run, step, steps, seconds_per_step, updated).
 
     The state per run is its last heartbeat; a processing-time timeout reports `stalled` when
-    none follows. A finished run keeps a marker for `forget_s`, so a late older beat is not reported.
+    none follows. With mode "append" the changes can go to a log of files. A finished run keeps a marker for `forget_s`, so a late older beat is not reported.
     """
     out = "run string, step bigint, steps bigint, state string, eta_s double"
     state = "step bigint, steps bigint, rate double, updated double"
@@ -109,4 +109,4 @@ def status_stream(heartbeats: DataFrame, stale_s: float = STALE_S, forget_s: flo
                            columns=["run", "step", "steps", "state", "eta_s"])
 
     return heartbeats.groupBy("run").applyInPandasWithState(
-        track, out, state, "update", GroupStateTimeout.ProcessingTimeTimeout)
+        track, out, state, mode, GroupStateTimeout.ProcessingTimeTimeout)

@@ -90,7 +90,7 @@ def test_stream_blend_ignores_order_and_repeats(spark, tmp_path):
         spark.createDataFrame(order).coalesce(1).write.mode("append").parquet(str(src))
     s = spark.readStream.schema(spark.read.parquet(str(src)).schema).option("maxFilesPerTrigger", 1).parquet(str(src))
     log = str(tmp_path / "log")
-    mosaic.blend_stream(s, ["z"], log, str(tmp_path / "ck")).awaitTermination(120)
+    mosaic.blend_stream(s, ["z"], log, str(tmp_path / "ck"), (6, 5)).awaitTermination(120)
     want = p.assign(n=p.w * p.z).groupby(["grow", "gcol"]).agg(n=("n", "sum"), w=("w", "sum"))
     want = (want.n / want.w).sort_index().to_numpy()
 

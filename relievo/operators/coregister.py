@@ -11,8 +11,8 @@ from .. import constants as K
 from ..functions import geodesy as G
 from ..functions import radiometry as R
 from .blocks import BLOCK_PX
-from .grids import window_pixels
-from .resample import gather
+from .grids import box_size, window_pixels
+from .resample import gather, overlap_average
 
 
 @dataclass(frozen=True)
@@ -75,12 +75,31 @@ def sample_windows(windows: DataFrame, pixel_m: float, raster: DataFrame, band:
                    method: str = "bilinear", out: str | None = None, keys=()) -> DataFrame:
     """A windowed read: each (west, south, east, north) row becomes its pixels with the product's value.
 
-    A window that straddles the antimeridian is an error rather than a mirrored strip.
+    A window that straddles the antimeridian is an error rather than a mirrored strip. `average` weights
+    each source pixel by its part in the output pixel; the others sample at the output pixel's centre.
     """
     straddles = G.lon180("east") <= G.lon180("west")
     checked = windows.withColumn("west", F.when(straddles, F.raise_error(
         F.lit("window straddles the +/-180 seam; split it first")).cast("double")).otherwise(F.col("west")))
-    return sample_product(window_pixels(checked, pixel_m), raster, band, grid, method, out, keys=keys)
+    px = window_pixels(checked, pixel_m)
+    if method == "average":
+        return _averaged(px, pixel_m, raster, band, grid, out or band, keys)
+    return sample_product(px, raster, band, grid, method, out, keys=keys)
+
+
+def _averaged(px: DataFrame, pixel_m: float, raster: DataFrame, band: str, grid: ProductGrid, out: str, keys) -> DataFrame:
+    """Window pixels with the area-weighted mean of the product, NULL where their centre is off its rows."""
+    n_rows, n_cols = box_size("west", "south", "east", "north", pixel_m)
+    half_lat, half_lon = (F.col("north") - F.col("south")) / n_rows / 2.0, (F.col("east") - F.col("west")) / n_cols / 2.0
+    # rows() and cols() are relative to pixel centres, areas to pixel edges; half a step keeps clear of the seam
+    y, x = grid.rows("lat") + 0.5, grid.cols("lon") + 0.5
+    dy, dx = half_lat * K.M_PER_DEG / grid.pixel_m, half_lon * K.M_PER_DEG / grid.pixel_m
+    areas = px.withColumns({"src_top": y - dy, "src_bottom": y + dy, "src_left": x - dx, "src_right": x + dx})
+    areas = areas.withColumnsRenamed({"row": "_row", "col": "_col"})
+    got = overlap_average(areas, grid.decoded(raster, band), band, grid.height, grid.width, keys, out=out)
+    mid = (F.col("src_top") + F.col("src_bottom")) / 2.0
+    got = got.withColumn(out, F.when((mid > 0) & (mid < grid.height), F.col(out)))
+    return got.withColumnsRenamed({"_row": "row", "_col": "col"}).drop("src_top", "src_bottom", "src_left", "src_right")
 
 
 DEFAULTS = {"emissivity": K.EMISSIVITY_MEAN, "dn_left": 0.0, "dn_right": 0.0, "dn_stereo": 0.0}

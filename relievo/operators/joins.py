@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import geodesy as G
-from ..functions.base import as_col
+from ..functions.base import as_col, attach
 
 
 def region_frame(spark, boxes: dict, held_out=()) -> DataFrame:
@@ -17,37 +17,68 @@ def region_frame(spark, boxes: dict, held_out=()) -> DataFrame:
         rows, "region string, west double, south double, east double, north double, held_out boolean")
 
 
-def points_in_boxes(points: DataFrame, boxes: DataFrame, lon: str = "lon", lat: str = "lat",
-                    cell_deg: float = K.QUAD_DEG, how: str = "inner") -> DataFrame:
+MAX_DEPTH = 12  # finest cells: 0.088 degrees of longitude by 0.044 of latitude
+
+
+def _span(west, east):
+    """Degrees from west to east, going east; a box of 360 degrees and more is the whole circle."""
+    return F.when(F.col(east) - F.col(west) >= 360.0, F.lit(360.0)).otherwise(
+        F.pmod(F.col(east) - F.col(west), F.lit(360.0)))
+
+
+def _depth(whole: float, extent):
+    """Depth of the finest cells that are no smaller than an extent, at most MAX_DEPTH."""
+    least = F.greatest(extent, F.lit(whole / 2 ** MAX_DEPTH))
+    return F.greatest(F.floor(F.log2(F.lit(whole) / least)), F.lit(0)).cast("int")
+
+
+def box_cells(boxes: DataFrame) -> DataFrame:
+    """Boxes with the cells that cover them, as (_dx, _dy, _cx, _cy) beside `_w` and `_span`.
+
+    Longitude and latitude are halved `_dx` and `_dy` times, each as often as the box's own extent allows, so
+    two cells an axis cover a box of any size and shape, and the cells are at most 16 times its area.
+    """
+    b = boxes.where(F.col("south") <= F.col("north")).withColumns(
+        {"_w": G.lon360("west"), "_span": _span("west", "east")})
+    b = b.withColumns({"_dx": _depth(360.0, F.col("_span")), "_dy": _depth(180.0, F.col("north") - F.col("south"))})
+    nx, ny = F.pow(F.lit(2.0), "_dx"), F.pow(F.lit(2.0), "_dy")
+
+    def cells(low, high, count):  # a little wider, so rounding loses no point on an edge
+        first = F.floor(low * count - 1e-9).cast("int")
+        return first, F.floor(high * count + 1e-9).cast("int")
+
+    west, east = cells(F.col("_w") / 360.0, (F.col("_w") + F.col("_span")) / 360.0, nx)
+    south, north = cells((F.col("south") + 90.0) / 180.0, (F.col("north") + 90.0) / 180.0, ny)
+    round_ = F.least(east, west + nx.cast("int") - 1)  # a full circle visits each cell once
+    return (b.withColumn("_cx", F.explode(F.sequence(west, round_)))
+            .withColumn("_cx", F.pmod(F.col("_cx"), nx.cast("int")))
+            .withColumn("_cy", F.explode(F.sequence(south, north))))
+
+
+def points_in_boxes(points: DataFrame, boxes: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """Points with every box that holds them; a box with west > east crosses the meridian.
 
-    Boxes are exploded onto grid cells so the join is an equi-join on the cell; the box test
-    runs on the matches. A point has one cell, so no pair appears twice.
+    An equi-join on cells with the exact test on the matches. A box is covered at its own depth (`box_cells`),
+    and a point has one cell at each pair of depths that some box has (at most 169, usually a few), so no pair
+    appears twice and the pairs compared follow the matches, whether boxes are tiny, huge or long strips.
+    Points or boxes with a NULL side match nothing.
     """
-    turns = int(360 // cell_deg)
-    b = boxes.withColumns({"_w": G.lon360("west"), "_span": F.when(
-        F.col("east") - F.col("west") >= 360.0, F.lit(360.0)).otherwise(
-        F.pmod(F.col("east") - F.col("west"), F.lit(360.0)))})
-    first = F.floor(F.col("_w") / cell_deg).cast("int")
-    last = F.floor((F.col("_w") + F.col("_span")) / cell_deg).cast("int")
-    last = F.least(last, first + turns - 1)  # a full circle visits each cell once
-    b = (b.withColumn("_cx", F.explode(F.sequence(first, last)))
-         .withColumn("_cx", F.pmod(F.col("_cx"), F.lit(turns)))
-         .withColumn("_cy", F.explode(F.sequence(
-             F.floor((F.col("south") + 90.0) / cell_deg).cast("int"),
-             F.floor((F.col("north") + 90.0) / cell_deg).cast("int")))))
-    p = points.withColumns({
-        "_cx": F.floor(G.lon360(lon) / cell_deg).cast("int"),
-        "_cy": F.floor((as_col(lat) + 90.0) / cell_deg).cast("int")})
+    b = box_cells(boxes)
+    depths = b.agg(F.array_sort(F.collect_set(F.struct("_dx", "_dy"))).alias("_depths"))
+    p = attach(points, depths).withColumn("_d", F.explode("_depths")).drop("_depths")
+    x, y = G.lon360(lon) / 360.0, (as_col(lat) + 90.0) / 180.0
+    p = p.withColumns({
+        "_dx": F.col("_d._dx"), "_dy": F.col("_d._dy"),
+        "_cx": F.floor(x * F.pow(F.lit(2.0), "_d._dx")).cast("int"),
+        "_cy": F.floor(y * F.pow(F.lit(2.0), "_d._dy")).cast("int")}).drop("_d")
     p, b = p.alias("p"), b.alias("b")
     inside = ((F.pmod(F.col(f"p.{lon}") - F.col("b._w"), F.lit(360.0)) <= F.col("b._span"))
               & (F.col(f"p.{lat}") >= F.col("b.south")) & (F.col(f"p.{lat}") <= F.col("b.north")))
-    same = (F.col("p._cx") == F.col("b._cx")) & (F.col("p._cy") == F.col("b._cy"))
-    out = p.join(b, same & inside, how)
-    if how in ("left_semi", "left_anti"):
-        return out.drop("_cx", "_cy")
-    keep = [F.col(f"p.{c}") for c in points.columns] + [F.col(f"b.{c}") for c in boxes.columns]
-    return out.select(*keep)
+    same = F.lit(True)
+    for c in ("_dx", "_dy", "_cx", "_cy"):
+        same = same & (F.col(f"p.{c}") == F.col(f"b.{c}"))
+    return p.join(b, same & inside).select(*[F.col(f"p.{c}") for c in points.columns],
+                                           *[F.col(f"b.{c}") for c in boxes.columns])
 
 
 def split(tiles: DataFrame, held_out: DataFrame, part: str, on: str = "quad") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.base import as_col, clamp
-from .blocks import BLOCK_PX, neighbour, with_halo
+from .blocks import BLOCK_PX, neighbour, spread, with_halo
 
 
 POST_BLOCK = 16  # coarse cells per block side: each cell may own thousands of fine pixels
@@ -327,9 +327,43 @@ def area_average(raster: DataFrame, bands, to_row, to_col, keys=("tile",)) -> Da
             .agg(*[F.avg(b).alias(b) for b in bands]))
 
 
+def overlap_average(areas: DataFrame, raster: DataFrame, band: str, height, width, keys=("tile",),
+                    at=("src_top", "src_bottom", "src_left", "src_right"), out: str | None = None) -> DataFrame:
+    """Mean of `band` over a rectangle of the raster, each pixel weighted by the part of it inside.
+
+    A rectangle is four positions in pixel edges: pixel i reaches from i to i + 1. NULL pixels and what lies
+    outside the raster carry no weight; without any weight, or with a NULL side, the mean is NULL. A rectangle of no area
+    takes the pixel it lies in.
+
+    Each rectangle is cut into its rows of pixels, which are spread before they become pixels, so a rectangle
+    as large as the raster is not one task; the weighted terms combine before they meet. The terms are at
+    most four times the larger of the raster's pixels under them and the rectangles.
+    """
+    out, keys = out or band, tuple(keys)
+    top, bottom, left, right = (F.col(c) for c in at)
+    h, w = as_col(height), as_col(width)
+
+    def reach(low, high, extent):
+        first = F.greatest(F.floor(low), F.lit(0)).cast("int")
+        last = F.least(F.greatest(F.ceil(high) - 1, F.floor(low)), extent - 1).cast("int")
+        return F.when(first <= last, F.sequence(first, last))
+
+    def part(low, high, i):
+        return F.when(high > low, F.least(high, i + 1.0) - F.greatest(low, i.cast("double"))).otherwise(F.lit(1.0))
+
+    shape = areas.select(*keys, *at).distinct()  # equal rectangles are averaged once
+    rows = shape.withColumn("row", F.explode(reach(top, bottom, h)))
+    taps = spread(rows, *keys, *at, "row").withColumn("col", F.explode(reach(left, right, w)))
+    taps = taps.withColumn("_part", part(top, bottom, F.col("row")) * part(left, right, F.col("col")))
+    src = raster.select(*keys, "row", "col", F.col(band).alias("_v")).where(F.col("_v").isNotNull())
+    mean = (taps.join(src, [*keys, "row", "col"]).groupBy(*keys, *at)
+            .agg((F.sum(F.col("_part") * F.col("_v")) / F.sum("_part")).alias(out)))
+    return areas.join(mean, [*keys, *at], "left")
+
+
 def gather(points: DataFrame, raster: DataFrame, band: str, height, width, method: str = "bilinear",
            keys=("tile",), at=("src_row", "src_col"), out: str | None = None) -> DataFrame:
-    """Sample by a resampling name: nearest, bilinear or cubic."""
+    """Sample by a resampling name: nearest, bilinear or cubic (`average` needs areas: `overlap_average`)."""
     if method == "nearest":
         src = raster.withColumnRenamed(band, out or band)
         return nearest_gather(points, src, out or band, keys, at)

@@ -417,6 +417,27 @@ def windowed_sample(spark, sf):
     return rounded_cols(got.select("box", "tile", "row", "col", "v"))
 
 
+@query("windowed_average", sql("dem", f"""SELECT box, p.tile, i AS "row", j AS col, {rs('sum(part*v)/sum(part)')} AS v FROM (
+   SELECT p.*, d.v, (least(y+dy,d.r+1e0)-greatest(y-dy,d.r))*(least(x+dx,d.c+1e0)-greatest(x-dx,d.c)) AS part FROM (
+     SELECT box, tile, i, j, (90e0-n+(i+0.5e0)*20e0/4e0)/3.6e0 AS y, (w+(j+0.5e0)*30e0/5e0+180e0)/3.6e0 AS x, 20e0/4e0/7.2e0 AS dy, 30e0/5e0/7.2e0 AS dx
+     FROM win, generate_series(0,3) a(i), generate_series(0,4) b(j)) p
+   LEFT JOIN prod d ON d.tile=p.tile AND d.v IS NOT NULL AND d.r+1>y-dy AND d.r<y+dy AND d.c+1>x-dx AND d.c<x+dx) p GROUP BY 1,2,3,4""",
+   _GRIDSQL, """win AS (SELECT s_suppkey AS box, s_suppkey%(SELECT max(tile)+1 FROM dem) AS tile, (s_suppkey*17.3e0)%320e0-178e0 AS w, (s_suppkey*7.9e0)%150e0-65e0 AS n FROM supplier)"""))
+def windowed_average(spark, sf):
+    """Coarse windows of many tiles: each output pixel the area-weighted mean of the stored pixels under it."""
+    dem = B.dem(spark, sf)
+    s = attach(B.table(spark, sf, "supplier"), dem.agg((F.max("tile") + 1).alias("tiles")))
+    west = F.pmod(F.col("s_suppkey") * 17.3, F.lit(320.0)) - 178.0
+    north = F.pmod(F.col("s_suppkey") * 7.9, F.lit(150.0)) - 65.0
+    windows = s.select(F.col("s_suppkey").alias("box"), (F.col("s_suppkey") % F.col("tiles")).alias("tile"), west.alias("west"),
+                       (north - 20.0).alias("south"), (west + 30.0).alias("east"), north.alias("north"))
+    raw = F.when((F.col("row") + F.col("col")) % 37 == 0, F.lit(-32768.0)).otherwise(F.floor("z").cast("double"))
+    m = math.radians(1.0) * 6_051_800.0
+    grid = ProductGrid(H, W, -180.0 * m, 90.0 * m, 3.6 * m, -32768.0, 0.5, -100.0)
+    got = sample_windows(windows, 600_000.0, dem.select("tile", "row", "col", raw.alias("v")), "v", grid, "average", keys=("tile",))
+    return rounded_cols(got.select("box", "tile", "row", "col", "v"))
+
+
 @query("seam_window", sql("dem", """SELECT tile, r-5 AS "row", ((c-90)%100+100)%100 AS col, floor(z*1e4+0.4371e0)/1e4 AS z FROM dem
   WHERE r BETWEEN 5 AND 34 AND (c>=90 OR c<20)"""))
 def seam_window(spark, sf):

@@ -71,6 +71,49 @@ def test_boxes_across_the_meridian(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_boxes_of_all_sizes_and_shapes(spark):
+    rng = np.random.default_rng(3)
+    n = 400
+    span, height = 360 * 2.0 ** -rng.uniform(0, 16, n), 180 * 2.0 ** -rng.uniform(0, 16, n)
+    west, south = rng.uniform(0, 360, n), rng.uniform(-90, 90 - height)
+    b = pd.DataFrame({"box": np.arange(n), "west": west, "south": south, "east": (west + span) % 360, "north": south + height})
+    b.loc[0, ["west", "east", "south", "north"]] = [10.0, 10.0, 0.0, 0.0]  # a single point
+    b.loc[1, ["south", "north"]] = [5.0, -5.0]  # upside down: holds nothing
+    pts = pd.DataFrame({"id": np.arange(3 * n), "lon": np.r_[rng.uniform(0, 360, n), west, (west + span / 2) % 360],
+                        "lat": np.r_[rng.uniform(-90, 90, n), south, south + height / 2]})
+    pts.loc[0, ["lon", "lat"]] = [10.0, 0.0]
+    w, e = b.west.to_numpy(), b.east.to_numpy()
+    turn = (pts.lon.to_numpy()[:, None] - w) % 360 <= (e - w) % 360
+    lat = pts.lat.to_numpy()[:, None]
+    want = {tuple(map(int, p)) for p in np.argwhere(turn & (lat >= b.south.to_numpy()) & (lat <= b.north.to_numpy()))}
+    sb, sp = spark.createDataFrame(b), spark.createDataFrame(pts)
+    got = [(r["id"], r["box"]) for r in joins.points_in_boxes(sp, sb).select("id", "box").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and (0, 0) in want
+    assert joins.box_cells(sb).groupBy("box").count().agg(F.max("count")).first()[0] <= 9  # cells follow no box's size
+    none = spark.createDataFrame([(None, 1.0, 1.0, 2.0)], "west double, south double, east double, north double")
+    assert joins.points_in_boxes(sp, none).count() == 0 and joins.points_in_boxes(sp, sb.limit(0)).count() == 0
+
+
+def test_overlap_average_against_a_fine_count(spark, frame):
+    from relievo.operators.resample import overlap_average
+    rng = np.random.default_rng(5)
+    z = rng.normal(size=(9, 11))
+    z[4, 5] = np.nan
+    areas = [(0.0, 9.0, 0.0, 11.0), (2.25, 4.75, 1.5, 6.25), (3.0, 4.0, 3.0, 4.0), (4.1, 4.9, 5.1, 5.9), (-2.0, 0.5, 10.5, 14.0),
+             (20.0, 21.0, 1.0, 2.0), (3.5, 3.5, 2.5, 2.5), (2.25, 4.75, 1.5, 6.25), (None, 1.0, 0.0, 1.0)]
+    df = spark.createDataFrame([(0, i, *a) for i, a in enumerate(areas)], "tile long, id int, src_top double, src_bottom double, src_left double, src_right double")
+    px = frame(z=z).withColumn("z", F.when(~F.isnan("z"), F.col("z")))
+    got = {r["id"]: r["z"] for r in overlap_average(df, px, "z", 9, 11).collect()}
+    fine = np.repeat(np.repeat(z, 20, 0), 20, 1)  # every edge above is a multiple of 1/20
+    for i, (t, b, l, r) in enumerate(areas[:5]):
+        cut = fine[max(0, round(t * 20)):round(b * 20), max(0, round(l * 20)):round(r * 20)]
+        if i == 3:
+            assert got[i] is None  # only a gap inside
+        else:
+            assert np.isclose(got[i], np.nanmean(cut))
+    assert got[5] is None and np.isclose(got[6], z[3, 2]) and got[7] == got[1] and got[8] is None
+
+
 def test_site_on_a_tile_edge_belongs_to_both(spark):
     s = spark.createDataFrame([("edge", 0.0, 10.0), ("west", 194.6, 0.5)], "name string, lon double, lat double")
     got = joins.sites_in_tiles(s, 1).toPandas()

@@ -337,7 +337,9 @@ def overlap_average(areas: DataFrame, raster: DataFrame, band: str, height, widt
 
     Each rectangle is cut into its rows of pixels, which are spread before they become pixels, so a rectangle
     as large as the raster is not one task; the weighted terms combine before they meet. The terms are at
-    most four times the larger of the raster's pixels under them and the rectangles.
+    most four times the larger of the raster's pixels under them and the rectangles. They meet the raster in a
+    merge join: Spark's estimate of either side knows nothing of the rows that a rectangle or a compressed file becomes,
+    and a broadcast by it would pass them through the driver.
     """
     out, keys = out or band, tuple(keys)
     top, bottom, left, right = (F.col(c) for c in at)
@@ -356,7 +358,7 @@ def overlap_average(areas: DataFrame, raster: DataFrame, band: str, height, widt
     taps = spread(rows, *keys, *at, "row").withColumn("col", F.explode(reach(left, right, w)))
     taps = taps.withColumn("_part", part(top, bottom, F.col("row")) * part(left, right, F.col("col")))
     src = raster.select(*keys, "row", "col", F.col(band).alias("_v")).where(F.col("_v").isNotNull())
-    mean = (taps.join(src, [*keys, "row", "col"]).groupBy(*keys, *at)
+    mean = (taps.hint("merge").join(src, [*keys, "row", "col"]).groupBy(*keys, *at)
             .agg((F.sum(F.col("_part") * F.col("_v")) / F.sum("_part")).alias(out)))
     return areas.join(mean, [*keys, *at], "left")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.base import as_col, attach
+from ..session import materialise
 
 SUB_BUCKETS = 1024
 
@@ -36,7 +37,8 @@ def spread_quantiles(df: DataFrame, keys, value, quantiles: dict[str, float], mo
     sketch of bounded size first brackets each wanted rank; a second pass counts what lies
     outside the brackets and ranks the distinct values inside them, in sub-buckets that are
     separate window groups. Both passes aggregate before they shuffle, so a group that holds a
-    third of the data stays spread over all tasks.
+    third of the data stays spread over all tasks. The brackets are written first: with their size known, those of
+    a few groups reach the rows without a shuffle that would bring each group to one task.
     """
     keys, names = list(keys), list(quantiles)
     src = df.where(as_col(value).isNotNull()).withColumn("_v", as_col(value).cast("double"))
@@ -52,7 +54,7 @@ def spread_quantiles(df: DataFrame, keys, value, quantiles: dict[str, float], mo
         marks[f"_k{i}"] = _rank(F.col("n"), q, mode)
         marks[f"_lo{i}"] = F.col("_min") if q - slack <= 0 else F.col("_b")[2 * i]
         marks[f"_hi{i}"] = F.col("_max") if q + slack >= 1 else F.col("_b")[2 * i + 1]
-    stats = stats.withColumns(marks).drop("_b", "_min", "_max")
+    stats = materialise(stats.withColumns(marks).drop("_b", "_min", "_max"), "brackets")
 
     v = F.col("_v")
     tagged = attach(src.select(*keys, "_v"), stats.select(*keys, *marks), keys)

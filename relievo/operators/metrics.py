@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.base import as_col, attach, mean_where
+from ..session import materialise
 from .joins import lattice_pixels
 from .masks import lattice_interior
 from .resample import Footprint, at_scale, footprint_blur, scale_factor
@@ -172,12 +173,13 @@ def direction_correlation(df: DataFrame, de, dn, brightness, azimuths_deg, keys=
 def half_split(df: DataFrame, rank_by: str, value: str, keys=()) -> DataFrame:
     """Mean of `value` in the lower and upper half by `rank_by`.
 
-    The cut is the exact distributed median, not a global `ntile` window; ties stay together.
+    The cut is the exact distributed median, not a global `ntile` window; ties stay together. It is written, so the cuts
+    of a few groups reach the rows without a shuffle by group.
     """
     from .quantiles import exact_quantiles
 
     cut = exact_quantiles(df, keys, rank_by, {"_cut": 0.5}, mode="disc")
-    d = attach(df, cut.select(*keys, "_cut"), keys)
+    d = attach(df, materialise(cut.select(*keys, "_cut"), "cuts"), keys)
     half = F.when(F.col(rank_by) <= F.col("_cut"), 1).otherwise(2)
     return d.withColumn("half", half).groupBy(*keys, "half").agg(
         F.avg(value).alias("mean_value"), F.count(F.lit(1)).alias("n"))

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from relievo.operators import resample
+from relievo.operators import metrics, quantiles, resample
 
 
 def plan(df):
@@ -19,3 +19,25 @@ def test_rectangles_do_not_pass_through_the_driver(spark, tmp_path):
     text = plan(mean)
     assert "BroadcastHashJoin" not in text and "SortMergeJoin" in text
     assert mean.count() == 40
+
+
+def test_large_groups_stay_spread(spark, tmp_path):
+    """Rows of few groups meet their brackets and cuts where they are: no shuffle by group alone."""
+    path = f"{tmp_path}/v"
+    spark.range(20_000).selectExpr("id % 2 as run", "double(id * 7919 % 20011) as v").write.parquet(path)
+    d = spark.read.parquet(path)
+    flag = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(flag)
+    spark.conf.set(flag, "50000")  # less than the rows, more than what is known of the groups
+    try:
+        q = quantiles.exact_quantiles(d, ["run"], "v", {"low": 0.01, "mid": 0.5})
+        halves = metrics.half_split(d, "v", "v", ("run",))
+        assert plan(q).count("BroadcastHashJoin") >= 2  # beside the rows and beside their counts
+        assert "BroadcastHashJoin" in plan(halves) and "SortMergeJoin" not in plan(halves)
+    finally:
+        spark.conf.set(flag, before)
+    p = d.toPandas()
+    want = p.groupby("run").v.quantile([0.01, 0.5]).unstack()
+    for r in q.collect():
+        assert np.isclose(r["low"], want.loc[r["run"], 0.01]) and np.isclose(r["mid"], want.loc[r["run"], 0.5])
+    assert {(r["run"], r["half"]): r["n"] for r in halves.collect()} == {(g, h): 5000 for g in (0, 1) for h in (1, 2)}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -97,16 +97,26 @@ def stripe(rv, col, amplitude_db: float, wavelength, phase) -> Column:
     return as_col(rv) + F.sin(turn) * amplitude_db
 
 
-def degrade(rv, col, tile_seed, pixel_seed, looks: int = 6, stripe_db: float = 0.8,
-            wavelength=(40.0, 200.0), gain_db: float = 1.5, quantise: bool = True) -> Column:
-    """Speckle, stripe, gain and DN round trip: make clean radar look like the archive."""
+def worn(speckled, col, tile_seed, stripe_db: float = 0.8, wavelength=(40.0, 200.0), gain_db: float = 1.5) -> Column:
+    """Stripe and gain of the tile on speckled radar."""
     u_length, u_phase, u_gain = draws(3, *tile_seed, F.lit("degrade"))
     wl = u_length * (wavelength[1] - wavelength[0]) + wavelength[0]
     phase = u_phase * (2.0 * math.pi)
-    out = speckle(rv, looks, *pixel_seed)
-    out = stripe(out, col, stripe_db, wl, phase)
-    out = out + (u_gain * 2.0 - 1.0) * gain_db
-    return rv_from_dn(dn_from_rv(out)) if quantise else out
+    return stripe(speckled, col, stripe_db, wl, phase) + (u_gain * 2.0 - 1.0) * gain_db
+
+
+def degrade(df: DataFrame, rv: str, col: str, tile_seed, pixel_seed, looks: int = 6, stripe_db: float = 0.8,
+            wavelength=(40.0, 200.0), gain_db: float = 1.5, quantise: bool = True) -> DataFrame:
+    """Speckle, stripe, gain and DN round trip: make clean radar look like the archive.
+
+    Adds `speckled` and `degraded`. Each step is a column of its own: a value that a later step tests and uses
+    is drawn once, not once for every mention.
+    """
+    d = df.withColumn("speckled", speckle(rv, looks, *pixel_seed))
+    d = d.withColumn("degraded", worn("speckled", col, tile_seed, stripe_db, wavelength, gain_db))
+    if not quantise:
+        return d
+    return d.withColumn("degraded", dn_from_rv("degraded")).withColumn("degraded", rv_from_dn("degraded"))
 
 
 def charbonnier(x, eps: float = 1e-3) -> Column:

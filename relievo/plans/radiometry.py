@@ -219,9 +219,8 @@ _DEGRADED = f"""noisy AS (SELECT tile, r, c, (dn_left-1e0)/5e0-20e0 AS rv,
 def degrade_radar(spark, sf):
     d = B.scene(spark, sf).withColumn("rv", R.rv_from_dn("dn_left"))
     seed = (F.col("tile"), F.col("row"), F.col("col"))
-    out = R.degrade("rv", "col", (F.col("tile"),), seed)
-    return d.select("tile", "row", "col", rounded(R.speckle("rv", 6, *seed)).alias("speckled"),
-                    R.dn_from_rv(out).cast("bigint").alias("dn"))
+    out = R.degrade(d, "rv", "col", (F.col("tile"),), seed)
+    return out.select("tile", "row", "col", rounded("speckled").alias("speckled"), R.dn_from_rv("degraded").cast("bigint").alias("dn"))
 
 
 @query("pyramid_plan", f"""SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CAST(n_nationkey % 14 AS BIGINT) AS z,

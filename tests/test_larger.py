@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from relievo.functions import radiometry
 from relievo.operators import metrics, quantiles, resample
 from relievo.sources import raw_dem
 
@@ -59,3 +60,18 @@ def test_labels_are_parsed_once_and_spread(spark, tmp_path):
         with pytest.raises(Exception, match="label has no <(elements|pixel_resolution_x)>|CAST_INVALID_INPUT"):
             raw_dem.read_labels(spark.createDataFrame([(broken,)], "value string")).collect()
     assert raw_dem.read_labels(spark.createDataFrame([(None,)], "value string").limit(0)).collect() == []
+
+
+def test_speckle_is_drawn_once(spark):
+    d = spark.range(50).selectExpr("id div 25 as tile", "int(id) as row", "int(id) as col", "if(id = 7, null, double(id) - 25) as rv")
+    seed = (F.col("tile"), F.col("row"), F.col("col"))
+    out = radiometry.degrade(d, "rv", "col", (F.col("tile"),), seed)
+    digests = out._jdf.queryExecution().optimizedPlan().toString().count("md5(")
+    assert digests <= 6 + 3  # a mention per draw; equal ones of one step are computed once
+    got = out.toPandas()
+    clean = d.select("*", radiometry.speckle("rv", 6, *seed).alias("want")).toPandas()
+    assert np.allclose(got.speckled, clean.want, equal_nan=True) and got.degraded.isna().sum() == 1
+    code = (got.degraded + 20) * 5 + 1
+    assert np.allclose(code.dropna(), code.dropna().round()) and code.dropna().between(1, 255).all()
+    same = got[got.tile == 0].dropna()
+    assert (same.degraded - same.speckled.clip(-20, 30)).abs().max() <= 0.8 + 1.5 + 0.1

@@ -1,4 +1,5 @@
-"""The angle fit on blocks of pixels: histograms of residuals that add up, then one look into the median's bin."""
+"""The angle fit: a patch of one block at once; larger ones as blocks of pixels, with histograms of residuals that add
+up, then one look into the median's bin."""
 
 from __future__ import annotations
 
@@ -6,6 +7,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,35 @@ def scatter_law_db(sin: np.ndarray, cos: np.ndarray) -> np.ndarray:
     return 10.0 * np.log10(cos * K.LAW_A / (base * base * base))
 
 
+def residuals(theta: np.ndarray, rv: np.ndarray, alpha: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(value, usable) by (angle, pixel); the law is computed once for each distinct slope, and 0 stands for what is not usable."""
+    alpha, at = np.unique(alpha, return_inverse=True)
+    local = theta[:, None] - alpha[None, :]
+    usable = (local > NEAR) & (local < STEEP)
+    s, c, sa, ca = np.sin(theta)[:, None], np.cos(theta)[:, None], np.sin(alpha)[None, :], np.cos(alpha)[None, :]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        law = scatter_law_db(s * ca - c * sa, c * ca + s * sa) - scatter_law_db(np.sin(theta), np.cos(theta))[:, None]
+    usable = usable[:, at]
+    return np.where(usable, rv[None, :] - law[:, at], 0.0), usable
+
+
+def fit_whole(theta: np.ndarray, rv: np.ndarray, alpha: np.ndarray, min_pixels: int) -> tuple[np.ndarray, ...]:
+    """(k, b, rms, n) of a patch of one block, for the angles with enough usable pixels."""
+    found = []
+    step = max(TOGETHER, (1 << 16) // max(len(rv), 1))
+    for lo in range(0, len(theta), step):
+        value, usable = residuals(theta[lo:lo + step], rv, alpha)
+        n = usable.sum(axis=1)
+        kept = np.flatnonzero((n >= min_pixels) & (n > 0))
+        value, usable, n = value[kept], usable[kept], n[kept]
+        ranked = np.sort(np.where(usable, value, np.inf), axis=1)
+        middle = np.stack([(n - 1) // 2, n // 2], axis=1)
+        b = np.take_along_axis(ranked, middle, axis=1).sum(axis=1) / 2.0
+        off = np.where(usable, value - b[:, None], 0.0)
+        found.append((lo + kept, b, np.sqrt(np.square(off).sum(axis=1) / n), n))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 class Residuals:
     """Residuals (angle, pixel) of one block of pixels for some candidate angles, and the bin each falls into.
 
@@ -41,12 +72,7 @@ class Residuals:
         one, alpha = pdf.iloc[0], pdf["alpha"].to_numpy()
         self.bins = int(min(max(2 ** math.ceil(math.log2(math.sqrt(one["_n"]))), BINS[0]), BINS[1]))
         base = scatter_law_db(np.sin(theta), np.cos(theta))
-        local = theta[:, None] - alpha[None, :]
-        self.usable = (local > NEAR) & (local < STEEP)
-        s, c, sa, ca = np.sin(theta)[:, None], np.cos(theta)[:, None], np.sin(alpha)[None, :], np.cos(alpha)[None, :]
-        with np.errstate(invalid="ignore", divide="ignore"):
-            law = scatter_law_db(s * ca - c * sa, c * ca + s * sa)
-        self.value = np.where(self.usable, pdf["rv"].to_numpy()[None, :] - (law - base[:, None]), 0.0)
+        self.value, self.usable = residuals(theta, pdf["rv"].to_numpy(), alpha)
 
         def end(alpha):
             t = np.clip(theta - alpha, NEAR, STEEP)
@@ -128,8 +154,8 @@ def _fitted(held):
 def fit_angles(pixels: DataFrame, keys: list[str], theta_deg: np.ndarray, min_pixels: int) -> DataFrame:
     """(keys, k, b, rms, n): for each patch and candidate angle k the median residual and the misfit about it.
 
-    Pixels (keys, rv, alpha) are dealt to blocks of about BLOCK_PIXELS by a digest, so a patch that holds a
-    third of them is spread. A block computes the residuals of all angles and hands on one row with
+    A patch of at most BLOCK_PIXELS is one group and is fitted in one look. The pixels (keys, rv, alpha) of a larger one are
+    dealt to blocks of about that size by a digest, so a patch that holds a third of them is spread. A block computes the residuals of all angles and hands on one row with
     histograms for every TOGETHER angles, not a row per pixel and angle. The histograms of a patch add
     up to the bin of the median, and a second look at the blocks brings the distinct values of that bin alone.
     Both sums are streams over the blocks' rows. The median is exact; pixels with a NULL key, or without a
@@ -148,7 +174,15 @@ def fit_angles(pixels: DataFrame, keys: list[str], theta_deg: np.ndarray, min_pi
     parts = F.ceil(F.col("_n") / BLOCK_PIXELS)
     block = [*keys, "_block"]
     # Spread: each block of pixels is worked on for every angle.
-    dealt = spread(pixels.join(extent, keys).withColumn("_block", F.pmod(F.xxhash64("rv", "alpha"), parts).cast("int")), *block)
+    dealt = spread(pixels.join(extent.where(F.col("_n") > BLOCK_PIXELS), keys).withColumn(
+        "_block", F.pmod(F.xxhash64("rv", "alpha"), parts).cast("int")), *block)
+    small = spread(pixels.join(extent.where(F.col("_n") <= BLOCK_PIXELS).select(*keys), keys), *keys)
+
+    def whole(key, table):
+        k, b, rms, n = fit_whole(theta, table["rv"].to_numpy(), table["alpha"].to_numpy(), min_pixels)
+        return pa.table([*[pa.repeat(x, len(k)) for x in key], k.astype("int32"), b, rms, n.astype("int64")], [*keys, "k", "b", "rms", "n"])
+
+    fitted = small.groupBy(*keys).applyInArrow(whole, f"{ddl}, k int, b double, rms double, n long")
 
     def frame(key, rows, names):
         return pd.DataFrame([(*key[:len(keys)], *r) for r in rows], columns=[*keys, *names])
@@ -168,7 +202,7 @@ def fit_angles(pixels: DataFrame, keys: list[str], theta_deg: np.ndarray, min_pi
     packed = ["n", "m1", "m2", "first", "last", "below"]
     state = _fold(counts, [*keys, "g"], _summed, _middle, f"{ddl}, g int, " + ", ".join(f"{c} binary" for c in packed))
     asked = state.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("g", *packed))).alias("_s")).join(
-        extent.select(*keys, parts.cast("int").alias("_parts")), keys).withColumn(
+        extent.where(F.col("_n") > BLOCK_PIXELS).select(*keys, parts.cast("int").alias("_parts")), keys).withColumn(
         "_block", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).select(*block, "_s")
 
     def looked(key, pdf, wanted):
@@ -183,4 +217,5 @@ def fit_angles(pixels: DataFrame, keys: list[str], theta_deg: np.ndarray, min_pi
 
     values = dealt.groupBy(*block).cogroup(asked.groupBy(*block)).applyInPandas(
         looked, f"{ddl}, g int, n binary, m1 binary, m2 binary, below binary, centre binary, angle binary, value binary, `count` binary")
-    return _fold(values, [*keys, "g"], _gathered, _fitted, f"{ddl}, _g int, k int, b double, rms double, n long").drop("_g")
+    large = _fold(values, [*keys, "g"], _gathered, _fitted, f"{ddl}, _g int, k int, b double, rms double, n long").drop("_g")
+    return fitted.unionByName(large)

@@ -95,8 +95,8 @@ def fit_patches(df: DataFrame, rv: str, alpha: str, valid, keys=("tile",), min_p
     """Per patch the incidence angle that best explains the image.
 
     For each candidate angle the brightness offset is the median residual and the misfit the rms
-    about it; the smaller angle wins a tie. One path for patches of every size, which never gathers
-    one (see `angles.fit_angles`). Patches with fewer than `min_pixels` are left out.
+    about it; the smaller angle wins a tie. Only patches of at most one block are gathered
+    (see `angles.fit_angles`). Patches with fewer than `min_pixels` are left out.
     """
     keys = list(keys)
     first, last, step = grid

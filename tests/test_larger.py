@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from relievo.functions import radiometry
-from relievo.operators import metrics, quantiles, resample
+from relievo.operators import angles, metrics, quantiles, resample
 from relievo.sources import raw_dem
 
 
@@ -75,3 +75,20 @@ def test_speckle_is_drawn_once(spark):
     assert np.allclose(code.dropna(), code.dropna().round()) and code.dropna().between(1, 255).all()
     same = got[got.tile == 0].dropna()
     assert (same.degraded - same.speckled.clip(-20, 30)).abs().max() <= 0.8 + 1.5 + 0.1
+
+
+def test_small_patches_are_fitted_in_one_look(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    p = pd.DataFrame({"tile": np.repeat([1, 2], [400, 230]), "alpha": rng.uniform(-0.3, 0.3, 630).round(2), "rv": rng.normal(0, 3, 630).round(1)})
+    d, theta = spark.createDataFrame(p), 8.0 + 0.5 * np.arange(96)
+
+    def fitted(block):
+        monkeypatch.setattr(angles, "BLOCK_PIXELS", block)
+        return angles.fit_angles(d, ["tile"], theta, 200)
+
+    whole = fitted(400)
+    assert "FlatMapGroupsInArrow" in plan(whole)  # a patch of one block needs no histograms
+    key = ["tile", "k"]
+    whole, cut = (x.toPandas().sort_values(key).set_index(key) for x in (whole, fitted(60)))
+    assert len(whole) > 100 and whole.index.equals(cut.index) and (whole.n == cut.n).all()
+    assert np.allclose(whole.b, cut.b, atol=1e-12) and np.allclose(whole.rms, cut.rms, atol=1e-9)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from relievo.functions import radiometry
 from relievo.operators import angles, metrics, quantiles, resample
-from relievo.sources import raw_dem
+from relievo.sources import raw_array, raw_dem
 
 
 def plan(df):
@@ -92,3 +92,19 @@ def test_small_patches_are_fitted_in_one_look(spark, monkeypatch):
     whole, cut = (x.toPandas().sort_values(key).set_index(key) for x in (whole, fitted(60)))
     assert len(whole) > 100 and whole.index.equals(cut.index) and (whole.n == cut.n).all()
     assert np.allclose(whole.b, cut.b, atol=1e-12) and np.allclose(whole.rms, cut.rms, atol=1e-9)
+
+
+def test_many_small_arrays_are_few_tasks(spark, tmp_path):
+    a = np.arange(40 * 10 * 6, dtype="<f4").reshape(40, 10, 6)
+    z = pd.DataFrame({"dem": np.repeat(np.arange(40), 60), "row": np.tile(np.repeat(np.arange(10), 6), 40), "col": np.tile(np.arange(6), 400), "z": a.ravel()})
+    written = raw_array.write_arrays(spark.createDataFrame(z).where("NOT row = 4 OR dem = 1"), "z", str(tmp_path / "w"), 6)
+    assert "collect_list" not in plan(written)  # pixels stay flat: no line of structs in Python
+    assert {tuple(r) for r in written.collect()} == {(str(i), 10) for i in range(40)}
+    arrays = [raw_array.RawArray(str(i), f"{tmp_path}/w/{i}.img", 10, 6) for i in range(40)]
+    rows = raw_array.scan(spark, arrays, 4)
+    assert rows.rdd.getNumPartitions() == 3  # three ranges an array, each kind of range together
+    got = rows.toPandas().astype({"dem": int}).sort_values(["dem", "row", "col"]).raw.to_numpy().reshape(40, 10, 6)
+    want = a.copy()
+    want[np.arange(40) != 1, 4] = np.nan
+    assert np.array_equal(got, want, equal_nan=True)
+    assert len(raw_array.together([raw_array.RowRange(raw_array.RawArray(str(i), "", 1, raw_array.TASK_VALUES), 0, 1) for i in range(3)])) == 3

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -81,6 +81,83 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, lon: str = "lon", lat:
                                            *[F.col(f"b.{c}") for c in boxes.columns])
 
 
+STRIP_BITS, STRIP_LEVELS = 4, 5  # a tree of longitude strips: 16 to a strip, the finest 0.00034 degrees wide
+FINEST = 1 << STRIP_BITS * STRIP_LEVELS
+
+
+def _strips_inside(first, end):
+    """The fewest strips (level, node) that make up the finest strips from `first` to before `end`."""
+    runs = []
+
+    def strip(level):
+        return lambda k: F.struct(F.lit(level).alias("_level"), F.pmod(k, F.lit(1 << STRIP_BITS * level)).cast("bigint").alias("_node"))
+
+    for level in range(1, STRIP_LEVELS + 1):
+        size = 1 << STRIP_BITS * (STRIP_LEVELS - level)
+        low, high = F.ceil(first / size).cast("bigint"), F.floor(end / size).cast("bigint")
+        if level == 1:
+            parts = [(low, high)]
+        else:
+            fits = above[0] <= above[1]  # what the level above leaves on either side of its strips
+            parts = [(low, F.when(fits, above[0] * 16).otherwise(high)), (F.when(fits, above[1] * 16).otherwise(high), high)]
+        for a, b in parts:
+            nodes = F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+            runs.append(F.transform(nodes, strip(level)))
+        above = low, high
+    return F.when(first < end, F.concat(*runs))
+
+
+def box_sums(points: DataFrame, boxes: DataFrame, value: str, key: str = "box", lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """(key, n, n_value, sum_value) of the points inside each box, for boxes that hold some.
+
+    The same pairs as `points_in_boxes`, but none is made: their number grows with points times boxes. Longitude is a
+    tree of strips. The strips wholly inside a box are at most 30 a level, and in each the points up to the box's
+    northern edge less those before its southern one are two places in a running sum along the latitude. Only points in
+    the finest strips under a box's western and eastern edge are compared with it. A point is one row a level,
+    and a running sum is cut by bands of latitude, so a strip of many points is not one task.
+    """
+    x = G.lon360(lon)
+    p = points.where(x.isNotNull() & ~F.isnan(x) & as_col(lat).isNotNull() & ~F.isnan(as_col(lat))).select(
+        F.col(lon).cast("double").alias("_lon"), F.col(lat).cast("double").alias("_lat"), F.col(value).cast("double").alias("_value"))
+    p = p.groupBy("_lon", "_lat").agg(F.count(F.lit(1)).alias("_n"), F.count("_value").alias("_m"), F.sum("_value").alias("_s"))
+    p = p.withColumns({"_s": F.coalesce("_s", F.lit(0.0)),
+                       "_cell": F.least(F.floor(G.lon360("_lon") / 360.0 * FINEST), F.lit(FINEST - 1)).cast("bigint")})
+    b = boxes.where(F.col("south") <= F.col("north")).select(
+        F.col(key), "south", "north", G.lon360("west").alias("_w"), _span("west", "east").alias("_span"))
+    west, east = F.col("_w") / 360.0 * FINEST, (F.col("_w") + F.col("_span")) / 360.0 * FINEST
+    near = 1e-6  # a little wider, so rounding puts no point of an edge into the inside
+    w0, w1, e0, e1 = (F.floor(v).cast("bigint") for v in (west - near, west + near, east - near, east + near))
+    whole = F.col("_span") >= 360.0
+    b = b.where(F.col("_w").isNotNull() & F.col("_span").isNotNull()).withColumns({
+        "_first": F.when(whole, F.lit(0)).otherwise(w1 + 1).cast("bigint"), "_end": F.when(whole, F.lit(FINEST)).otherwise(e0).cast("bigint"),
+        "_edges": F.when(~whole, F.array_distinct(F.transform(F.array(w0, w1, e0, e1), lambda c: F.pmod(c, F.lit(FINEST)).cast("bigint"))))})
+
+    levels = F.array(*[F.struct(F.lit(j).alias("_level"), F.shiftright("_cell", STRIP_BITS * (STRIP_LEVELS - j)).alias("_node"))
+                       for j in range(1, STRIP_LEVELS + 1)])
+    sides = F.array(F.struct(F.col("south").alias("_lat"), F.lit(0).alias("_turn")), F.struct(F.col("north").alias("_lat"), F.lit(2).alias("_turn")))
+    at = b.withColumn("_strip", F.explode(_strips_inside(F.col("_first"), F.col("_end")))).withColumn("_side", F.explode(sides))
+    none = F.lit(0).cast("bigint")
+    rows = p.withColumn("_strip", F.explode(levels)).select("_strip.*", "_lat", F.lit(1).alias("_turn"), F.lit(None).cast(
+        boxes.schema[key].dataType).alias(key), "_n", "_m", "_s").unionByName(at.select(
+            "_strip.*", "_side.*", key, none.alias("_n"), none.alias("_m"), F.lit(0.0).alias("_s")))
+    bands = F.pow(F.lit(2.0), F.greatest(F.lit(16) - F.col("_level") * STRIP_BITS, F.lit(0)))
+    rows = rows.withColumn("_band", F.least(F.floor(F.greatest((F.col("_lat") + 90.0) / 180.0, F.lit(0.0)) * bands), bands - 1).cast("int"))
+    sums, strip = ("_n", "_m", "_s"), ("_level", "_node")
+    before = Window.partitionBy(*strip).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
+    cut = rows.where(F.col("_level") * STRIP_BITS < 16)  # the others have one band; at most 200,000 bands in all
+    base = cut.groupBy(*strip, "_band").agg(*[F.sum(c).alias(c) for c in sums]).select(
+        *strip, "_band", *[F.sum(c).over(before).alias(f"_base{c}") for c in sums])
+    upto = Window.partitionBy(*strip, "_band").orderBy("_lat", "_turn").rowsBetween(Window.unboundedPreceding, 0)
+    read = rows.select(*strip, "_band", "_turn", key, *[F.sum(c).over(upto).alias(c) for c in sums]).where(F.col("_turn") != 1)
+    sign = F.col("_turn") - 1
+    inside = read.join(base, [*strip, "_band"], "left").select(key, *[((F.col(c) + F.coalesce(f"_base{c}", F.lit(0))) * sign).alias(c) for c in sums])
+    edge = b.withColumn("_cell", F.explode("_edges")).hint("merge").join(p, "_cell").where(
+        (F.pmod(F.col("_lon") - F.col("_w"), F.lit(360.0)) <= F.col("_span")) & F.col("_lat").between(F.col("south"), F.col("north")))
+    both = inside.unionByName(edge.select(key, *sums)).groupBy(key).agg(
+        F.sum("_n").alias("n"), F.sum("_m").alias("n_value"), F.sum("_s").alias("sum_value"))
+    return both.where(F.col("n") > 0)
+
+
 def split(tiles: DataFrame, held_out: DataFrame, part: str, on: str = "quad") -> DataFrame:
     """Spatial split by whole quadrangle or region: never by tile.
 

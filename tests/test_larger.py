@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from relievo.functions import radiometry
-from relievo.operators import angles, metrics, quantiles, resample
+from relievo.operators import angles, joins, metrics, quantiles, resample
 from relievo.sources import raw_array, raw_dem
 
 
@@ -108,3 +108,28 @@ def test_many_small_arrays_are_few_tasks(spark, tmp_path):
     want[np.arange(40) != 1, 4] = np.nan
     assert np.array_equal(got, want, equal_nan=True)
     assert len(raw_array.together([raw_array.RowRange(raw_array.RawArray(str(i), "", 1, raw_array.TASK_VALUES), 0, 1) for i in range(3)])) == 3
+
+
+def test_box_sums_are_those_of_the_pairs(spark):
+    rng = np.random.default_rng(4)
+    n = 300
+    span, height = 360 * 2.0 ** -rng.uniform(0, 20, n), 180 * 2.0 ** -rng.uniform(0, 16, n)
+    west, south = rng.uniform(0, 360, n), rng.uniform(-90, 90 - height)
+    b = pd.DataFrame({"box": np.arange(n), "west": west, "south": south, "east": (west + span) % 360, "north": south + height})
+    b.loc[0, ["west", "east", "south", "north"]] = [10.0, 10.0, 0.0, 0.0]  # a single point
+    b.loc[1, ["south", "north"]] = [5.0, -5.0]  # upside down
+    b.loc[2, ["west", "east", "south", "north"]] = [0.0, 360.0, -90.0, 90.0]  # everything
+    b.loc[3, ["west", "east", "south", "north"]] = [20.0, 19.99999, -90.0, 90.0]  # all but a gap within a strip
+    b.loc[4, ["west", "east", "south", "north"]] = [90.0, 112.5, 0.0, 45.0]  # edges of strips
+    pts = pd.DataFrame({"lon": np.r_[rng.uniform(0, 360, 2 * n), west, b.east, 90.0, 112.5, -5.0, 10.0, 10.0, 19.999995],
+                        "lat": np.r_[rng.uniform(-90, 90, 2 * n), south, b.north, 45.0, 0.0, -7.0, 0.0, 0.0, 3.0]})
+    pts["v"] = rng.integers(0, 1000, len(pts)).astype(float)
+    d = spark.createDataFrame(pts).withColumn("v", F.when(F.col("v") > 50, F.col("v")))
+    d = d.unionByName(spark.createDataFrame([(None, 1.0, 1.0), (1.0, None, 1.0), (float("nan"), 1.0, 1.0), (1.0, float("nan"), 1.0)], d.schema))
+    boxes = spark.createDataFrame(b).unionByName(spark.createDataFrame([(n, None, 0.0, 9.0, 9.0)], spark.createDataFrame(b).schema))
+    sums = joins.box_sums(d, boxes, "v")
+    want = joins.points_in_boxes(d, boxes).groupBy("box").agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("m"), F.sum("v").alias("s"))
+    got = {r["box"]: (r["n"], r["n_value"], r["sum_value"]) for r in sums.collect()}
+    want = {r["box"]: (r["n"], r["m"], r["s"] or 0.0) for r in want.collect()}
+    assert got == want and {0, 2, 3, 4} <= set(got) and 1 not in got and len(got) > n // 2
+    assert joins.box_sums(d, boxes.limit(0), "v").collect() == [] and joins.box_sums(d.limit(0), boxes, "v").collect() == []

@@ -54,14 +54,17 @@ def sample_product(points: DataFrame, raster: DataFrame, band: str, grid: Produc
     """
     out = out or band
     placed = points.withColumns({"src_row": grid.rows("lat"), "src_col": grid.cols("lon")})
-    near = F.array(*[F.lit(d) for d in (-2, 2)])  # patches reach two pixels past a point
+    reach = (-2, 2)  # patches reach two pixels past a point
 
-    def blocks(position):
-        return F.array_distinct(F.transform(near, lambda d: F.floor((F.col(position) + d) / block).cast("int")))
+    def ends(position):
+        return [F.floor((F.col(position) + d) / block).cast("int") for d in reach]
 
-    wanted = (placed.select(*keys, "src_row", "src_col").where(F.col("src_row").isNotNull() & F.col("src_col").isNotNull())
-              .select(*keys, F.explode(blocks("src_row")).alias("_kr"), "src_col")
-              .select(*keys, "_kr", F.explode(blocks("src_col")).alias("_kc")).distinct())
+    # Points of the same blocks are one row before a row becomes up to four blocks.
+    sides = dict(zip(("_r0", "_r1", "_c0", "_c1"), (*ends("src_row"), *ends("src_col"))))
+    met = (placed.where(F.col("src_row").isNotNull() & F.col("src_col").isNotNull())
+           .select(*keys, *[c.alias(n) for n, c in sides.items()]).distinct())
+    wanted = (met.withColumn("_kr", F.explode(F.array_distinct(F.array("_r0", "_r1"))))
+              .withColumn("_kc", F.explode(F.array_distinct(F.array("_c0", "_c1")))).select(*keys, "_kr", "_kc").distinct())
     src = raster.withColumns({"_kr": F.floor(F.col("row") / block).cast("int"),
                               "_kc": F.floor(F.col("col") / block).cast("int")}).join(
         wanted, [*keys, "_kr", "_kc"], "left_semi").drop("_kr", "_kc")

@@ -5,8 +5,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from relievo import constants as K
 from relievo.functions import radiometry
-from relievo.operators import angles, joins, metrics, quantiles, resample
+from relievo.operators import angles, coregister, joins, metrics, quantiles, resample
 from relievo.sources import raw_array, raw_dem
 
 
@@ -133,3 +134,15 @@ def test_box_sums_are_those_of_the_pairs(spark):
     want = {r["box"]: (r["n"], r["m"], r["s"] or 0.0) for r in want.collect()}
     assert got == want and {0, 2, 3, 4} <= set(got) and 1 not in got and len(got) > n // 2
     assert joins.box_sums(d, boxes.limit(0), "v").collect() == [] and joins.box_sums(d.limit(0), boxes, "v").collect() == []
+
+
+def test_points_of_one_block_are_one_row_before_blocks_multiply(spark, frame):
+    z = np.add.outer(np.arange(40.0) * 100, np.arange(50.0))
+    grid = coregister.ProductGrid(40, 50, 0.0, 40.0 * K.M_PER_DEG, K.M_PER_DEG)
+    p = spark.createDataFrame(pd.DataFrame({"lon": [0.5, 7.9, 8.0, 8.25, 49.5, 60.0], "lat": [39.5, 32.1, 32.0, 31.75, 0.5, 5.0]}))
+    got = coregister.sample_product(p, frame(z=z).drop("tile"), "z", grid, block=8)
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    below = text[text.index("Generate explode"):]
+    assert below.index("Aggregate [_r0") > 0  # the aggregate feeds the generators
+    at = [((40 - r["lat"] - 0.5) * 100 + r["lon"] - 0.5, r["z"]) for r in got.collect() if r["lon"] < 50]
+    assert len(at) == 5 and all(np.isclose(a, b) for a, b in at)

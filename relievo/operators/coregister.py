@@ -15,6 +15,9 @@ from .grids import box_size, window_pixels
 from .resample import gather, overlap_average
 
 
+REACH = (-2, 2)  # patches reach two pixels past a point
+
+
 @dataclass(frozen=True)
 class ProductGrid:
     """Geometry and storage of one raster product on the cylindrical projection."""
@@ -54,10 +57,9 @@ def sample_product(points: DataFrame, raster: DataFrame, band: str, grid: Produc
     """
     out = out or band
     placed = points.withColumns({"src_row": grid.rows("lat"), "src_col": grid.cols("lon")})
-    reach = (-2, 2)  # patches reach two pixels past a point
 
     def ends(position):
-        return [F.floor((F.col(position) + d) / block).cast("int") for d in reach]
+        return [F.floor((F.col(position) + d) / block).cast("int") for d in REACH]
 
     # Points of the same blocks are one row before a row becomes up to four blocks.
     sides = dict(zip(("_r0", "_r1", "_c0", "_c1"), (*ends("src_row"), *ends("src_col"))))
@@ -65,10 +67,48 @@ def sample_product(points: DataFrame, raster: DataFrame, band: str, grid: Produc
            .select(*keys, *[c.alias(n) for n, c in sides.items()]).distinct())
     wanted = (met.withColumn("_kr", F.explode(F.array_distinct(F.array("_r0", "_r1"))))
               .withColumn("_kc", F.explode(F.array_distinct(F.array("_c0", "_c1")))).select(*keys, "_kr", "_kc").distinct())
-    src = raster.withColumns({"_kr": F.floor(F.col("row") / block).cast("int"),
-                              "_kc": F.floor(F.col("col") / block).cast("int")}).join(
+    return _sampled(placed, _of_blocks(raster, wanted, block, keys), band, grid, method, out, keys)
+
+
+def sample_source(points: DataFrame, source: DataFrame, band: str, grid: ProductGrid,
+                  method: str = "bilinear", out: str | None = None, small: bool = False) -> DataFrame:
+    """`sample_product` of a source that `reached` has cut; a `small` one is broadcast and the points stay where they are."""
+    placed = points.withColumns({"src_row": grid.rows("lat"), "src_col": grid.cols("lon")})
+    return _sampled(placed, source, band, grid, method, out or band, (), small)
+
+
+def reached(windows: DataFrame, pixel_m, raster: DataFrame, grid: ProductGrid, block: int = BLOCK_PX) -> DataFrame:
+    """The raster's blocks that pixels of (west, south, east, north) windows fall in or beside.
+
+    They follow from a window's first and last row and column, so it is not spread into its pixels for this. A window over
+    the antimeridian has two runs of columns.
+    """
+    h, w = box_size("west", "south", "east", "north", pixel_m)
+    half_lat, half_lon = (F.col("north") - F.col("south")) / h / 2.0, (F.col("east") - F.col("west")) / w / 2.0
+
+    def near(position, side):
+        return F.floor((position + REACH[side]) / block).cast("int")
+
+    top, bottom = grid.rows(F.col("north") - half_lat), grid.rows(F.col("south") + half_lat)
+    left, right = grid.cols(F.col("west") + half_lon), grid.cols(F.col("east") - half_lon)
+    first, last = (F.lit((x * K.M_PER_DEG - grid.upper_left_x) / grid.pixel_m - 0.5) for x in (-180.0, 180.0))
+    around = F.concat(F.sequence(near(left, 0), near(last, 1)), F.sequence(near(first, 0), near(right, 1)))
+    cols = (F.when(F.col("east") - F.col("west") >= 360.0, F.sequence(near(first, 0), near(last, 1)))
+            .when(left > right, around).otherwise(F.sequence(near(left, 0), near(right, 1))))
+    wanted = (windows.select(F.sequence(near(top, 0), near(bottom, 1)).alias("_r"), cols.alias("_c")).distinct()
+              .select(F.explode("_r").alias("_kr"), "_c").select("_kr", F.explode("_c").alias("_kc")).distinct())
+    return _of_blocks(raster, wanted, block)
+
+
+def _of_blocks(raster: DataFrame, wanted: DataFrame, block: int, keys=()) -> DataFrame:
+    return raster.withColumns({"_kr": F.floor(F.col("row") / block).cast("int"),
+                               "_kc": F.floor(F.col("col") / block).cast("int")}).join(
         wanted, [*keys, "_kr", "_kc"], "left_semi").drop("_kr", "_kc")
-    got = gather(placed, grid.decoded(src, band), band, grid.height, grid.width, method, keys=keys, out=out)
+
+
+def _sampled(placed: DataFrame, src: DataFrame, band: str, grid: ProductGrid, method: str, out: str, keys,
+             small: bool = False) -> DataFrame:
+    got = gather(placed, grid.decoded(src, band), band, grid.height, grid.width, method, keys=keys, out=out, small=small)
     top, bottom = grid.upper_left_y, grid.upper_left_y - grid.height * grid.pixel_m
     y = G.projected_y("lat")
     return got.withColumn(out, F.when((y > bottom) & (y < top), F.col(out))).drop("src_row", "src_col")

@@ -150,6 +150,12 @@ def datum_offsets(df: DataFrame, stereo: str, gtdr: str, keys=("tile",), minimum
     return exact_quantiles(df, keys, both, {"_tie": 0.5}).where(F.col("n") > minimum).select(*keys, "_tie")
 
 
+def tile_datum_offset(stereo: str, gtdr: str, tile, minimum: int = 64):
+    """`datum_offsets` over a window of one tile of bounded size, whose pixels lie together: an exact median, no second pass."""
+    both = F.when(F.col(stereo).isNotNull() & F.col(gtdr).isNotNull(), F.col(stereo) - F.col(gtdr))
+    return F.when(F.count(both).over(tile) > minimum, F.percentile(both, F.lit(0.5)).over(tile))
+
+
 def datum_tie(df: DataFrame, stereo: str, gtdr: str, keys=("tile",), minimum: int = 64,
               offsets: DataFrame | None = None) -> DataFrame:
     """Shift the stereo DEM by its median offset to altimetry; NULL where too few posts tie it.

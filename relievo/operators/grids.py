@@ -33,14 +33,15 @@ def box_size(west, south, east, north, pixel_m) -> tuple[Column, Column]:
     return n(south, north), n(west, east)
 
 
-def window_pixels(windows: DataFrame, pixel_m) -> DataFrame:
+def window_pixels(windows: DataFrame, pixel_m, spread_rows: bool = True) -> DataFrame:
     """Pixel centres of every (west, south, east, north) row: adds row, col, lon, lat.
 
     Pixel rows are spread over tasks before each becomes a line of pixels, so one large box is not one task.
+    Many small boxes that are dealt out already can stay where they are.
     """
     h, w = box_size("west", "south", "east", "north", pixel_m)
     g = windows.withColumns({"_h": h, "_w": w}).withColumn("row", _steps("_h"))
-    g = spread(g, "west", "south", "east", "north", "row").withColumn("col", _steps("_w"))
+    g = (spread(g, "west", "south", "east", "north", "row") if spread_rows else g).withColumn("col", _steps("_w"))
     return g.withColumns({
         "lon": F.col("west") + (F.col("col") + 0.5) * (F.col("east") - F.col("west")) / F.col("_w"),
         "lat": F.col("north") - (F.col("row") + 0.5) * (F.col("north") - F.col("south")) / F.col("_h"),

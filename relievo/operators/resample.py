@@ -226,7 +226,7 @@ def upsample_bilinear(df: DataFrame, bands, height: int, width: int, out_h: int,
 # --- bilinear gather at arbitrary points ------------------------------------------------------------
 def bilinear_gather(points: DataFrame, raster: DataFrame, band: str, height, width, keys=("tile",),
                     at=("src_row", "src_col"), out: str | None = None, edge: str = "inside",
-                    block: int = BLOCK_PX) -> DataFrame:
+                    block: int = BLOCK_PX, small: bool = False) -> DataFrame:
     """Sample `band` at fractional positions; NULL if a needed corner is missing.
 
     edge: "inside"  positions within [0, size-1], else NULL
@@ -271,7 +271,7 @@ def bilinear_gather(points: DataFrame, raster: DataFrame, band: str, height, wid
         "_fr": r - F.floor(r), "_fc": c - c0,
         "_r0": _cell(points, F.floor(r), usable, *keys, *at, "row", "col"),
         "_c0": _cell(points, F.pmod(c0, w) if edge == "wrap" else c0, usable, *keys, *at, "row", "col")})
-    joined = placed.join(patch, [*keys, "_r0", "_c0"], "left")
+    joined = placed.join(_few(patch, small), [*keys, "_r0", "_c0"], "left")
     fr, fc = F.col("_fr"), F.col("_fc")
     top = F.col("_v") * (F.lit(1.0) - fc) + F.col("_v01") * fc
     bottom = F.col("_v10") * (F.lit(1.0) - fc) + F.col("_v11") * fc
@@ -290,7 +290,7 @@ def _cell(points: DataFrame, index, usable, *names):
 
 def cubic_gather(points: DataFrame, raster: DataFrame, band: str, height, width, keys=("tile",),
                  at=("src_row", "src_col"), out: str | None = None, a: float = -0.5,
-                 block: int = BLOCK_PX) -> DataFrame:
+                 block: int = BLOCK_PX, small: bool = False) -> DataFrame:
     """Cubic sample at fractional positions with border clamping; NULL outside the raster.
 
     The raster side becomes 4x4 patches, one equi-join row per point.
@@ -315,7 +315,7 @@ def cubic_gather(points: DataFrame, raster: DataFrame, band: str, height, width,
     for m, y in zip(names, wy):
         for n, x in zip(names, wx):
             total = total + F.col(f"_v_{n}_{m}") * x * y
-    return placed.join(patch, [*keys, "_r0", "_c0"], "left").withColumn(out, total).drop(
+    return placed.join(_few(patch, small), [*keys, "_r0", "_c0"], "left").withColumn(out, total).drop(
         *taps, "_r0", "_c0", "_fr", "_fc")
 
 
@@ -364,26 +364,33 @@ def overlap_average(areas: DataFrame, raster: DataFrame, band: str, height, widt
 
 
 def gather(points: DataFrame, raster: DataFrame, band: str, height, width, method: str = "bilinear",
-           keys=("tile",), at=("src_row", "src_col"), out: str | None = None) -> DataFrame:
-    """Sample by a resampling name: nearest, bilinear or cubic (`average` needs areas: `overlap_average`)."""
+           keys=("tile",), at=("src_row", "src_col"), out: str | None = None, small: bool = False) -> DataFrame:
+    """Sample by a resampling name: nearest, bilinear or cubic (`average` needs areas: `overlap_average`).
+
+    A raster known to be `small` is broadcast, so the points stay where they are.
+    """
     if method == "nearest":
         src = raster.withColumnRenamed(band, out or band)
-        return nearest_gather(points, src, out or band, keys, at)
+        return nearest_gather(points, src, out or band, keys, at, small)
     if method == "bilinear":
-        return bilinear_gather(points, raster, band, height, width, keys, at, out, "inside")
+        return bilinear_gather(points, raster, band, height, width, keys, at, out, "inside", small=small)
     if method == "cubic":
-        return cubic_gather(points, raster, band, height, width, keys, at, out)
+        return cubic_gather(points, raster, band, height, width, keys, at, out, small=small)
     raise ValueError(f"unknown resampling {method!r}")
 
 
+def _few(patch: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(patch) if small else patch
+
+
 def nearest_gather(points: DataFrame, raster: DataFrame, bands, keys=("tile",),
-                   at=("src_row", "src_col")) -> DataFrame:
+                   at=("src_row", "src_col"), small: bool = False) -> DataFrame:
     """Value of the pixel whose area holds the position."""
     bands = [bands] if isinstance(bands, str) else list(bands)
     placed = points.withColumns({"_r0": F.floor(F.col(at[0]) + 0.5).cast("int"),
                                  "_c0": F.floor(F.col(at[1]) + 0.5).cast("int")})
     src = raster.select(*keys, F.col("row").alias("_r0"), F.col("col").alias("_c0"), *bands)
-    return placed.join(src, [*keys, "_r0", "_c0"], "left").drop("_r0", "_c0")
+    return placed.join(_few(src, small), [*keys, "_r0", "_c0"], "left").drop("_r0", "_c0")
 
 
 def coarse_baseline(df: DataFrame, band: str, factor: int, height: int, width: int,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators.coregister import ProductGrid
-from ..session import workspace
+from ..session import materialise, workspace
 from ..sources import tilestore
 from . import bindings as B
 from . import jobs
@@ -55,6 +55,7 @@ def products(spark, sf):
     mean = B.scene(spark, sf).groupBy((key % H).cast("int").alias("row"), (F.floor(key / H) % W).cast("int").alias("col")).agg(
         F.floor(F.avg("dn_left")).cast("double").alias("left"), F.floor(F.avg("dn_right")).cast("double").alias("right"),
         F.avg("z").alias("gtdr"), (F.avg("z_hat") + 795.0).alias("stereo"), (F.floor(F.avg("sigma") + 0.4371) * 100.0).alias("em"))
+    mean = materialise(mean, "rasters")  # a row per cell, read by every product
     r, c = F.col("row"), F.col("col")
 
     def raster(band, code=None, seen=None, scale=1.0, method="bilinear"):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -14,13 +14,17 @@ from ..functions import radiometry as R
 from ..functions.base import attach
 from ..operators import blend, grids, masks, metrics
 from ..operators.blocks import spread
-from ..operators.coregister import DEFAULTS, ProductGrid, sample_product
-from ..operators.fits import datum_offsets, datum_tie
+from ..operators.coregister import DEFAULTS, ProductGrid, reached, sample_source
+from ..operators.fits import tile_datum_offset
 from ..operators.resample import Footprint
 from ..session import materialise
 from ..sources import tilestore
 from ..sources.sinks import product_summary
 
+TILES_PER_FILE = 16
+FILE_PX = 1 << 18  # small tiles share a file up to so many pixels
+SMALL_SOURCE_PX = 1 << 16  # a source that is broadcast: at most 10 MB as cubic patches
+
 
 @dataclass(frozen=True)
 class Product:
@@ -54,48 +58,80 @@ def plan_tiles(regions: DataFrame, spec: IngestSpec) -> DataFrame:
     return c.select("tile", "region", "quad", F.col("lon").alias("tile_lon"), F.col("lat").alias("tile_lat"), "_b.*")
 
 
+def _laid_out(plan: DataFrame, products: dict[str, Product], spec: IngestSpec) -> DataFrame:
+    """Pixels of every tile with enough radar coverage, with all products, as they are written: tile after tile in
+    the slices of `tilestore.sliced`, each with the shares that the looks cover of its tile (`_cover`).
+
+    Tile rows are dealt out once; their pixels are made, sampled, gated and tied where they are. Sources small enough are
+    broadcast; with a larger one the pixels do meet it in a shuffle, and are dealt by slice again.
+    """
+    windows = plan.select("west", "south", "east", "north")
+    sources = {name: materialise(reached(windows, spec.pixel_m, p.raster, p.grid), f"source-{name}") for name, p in products.items()}
+    few = {name: s.count() <= SMALL_SOURCE_PX for name, s in sources.items()}
+    side = spec.core_px + 2 * spec.margin_px
+    dealt, slices = tilestore.sliced(plan, plan, max(TILES_PER_FILE, FILE_PX // side ** 2))
+    dealt = dealt.repartition(slices, "quad", "_s").select("quad", "_s", "tile", "west", "south", "east", "north")
+    px = grids.window_pixels(dealt, spec.pixel_m, spread_rows=False).select("quad", "_s", "tile", "row", "col", "lon", "lat")
+
+    def sampled(px, names, in_order):
+        for name in names:
+            p = products[name]
+            px = sample_source(px, sources[name], p.band, p.grid, p.method, name, few[name])
+        moved = not all(few[name] for name in names)
+        px = px.repartition(slices, "quad", "_s") if moved else px
+        return px.sortWithinPartitions("quad", "_s", "tile", "row", "col") if moved or not in_order else px
+
+    tile, n = Window.partitionBy("quad", "_s", "tile"), float(side ** 2)
+    px = sampled(px, ["dn_left"], False).withColumn("_left", F.count("dn_left").over(tile) / n).where(F.col("_left") >= spec.min_valid)
+    px = sampled(px, [name for name in products if name != "dn_left"], True)
+    shares = {short: F.count(name).over(tile) / n for name, short in (
+        ("dn_right", "right"), ("dn_stereo", "stereo"), ("stereo_dem", "stereo_dem")) if name in products}
+    if "stereo_dem" in products and "gtdr_up" in products:
+        offset = tile_datum_offset("stereo_dem", "gtdr_up", tile)
+        px = px.withColumns({"_tie": offset} | {f"_{k}": v for k, v in shares.items()})
+        px = px.withColumns({"stereo_dem": F.col("stereo_dem") - F.col("_tie"),
+                             "_stereo_dem": F.when(F.col("_tie").isNull(), 0.0).otherwise(F.col("_stereo_dem"))}).drop("_tie")
+    else:
+        px = px.withColumns({f"_{k}": v for k, v in shares.items()})
+    cover = ["left", *shares]
+    px = px.withColumn("_cover", F.struct(*[F.col(f"_{k}").alias(k) for k in cover])).drop("_s", *[f"_{k}" for k in cover])
+    if "rms_slope" in products:  # stored in degrees
+        px = px.withColumn("rms_slope", F.radians(F.coalesce("rms_slope", F.lit(0.0))))
+    return px.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in spec.defaults.items() if c in products})
+
+
+def _tile_rows(plan: DataFrame, px: DataFrame) -> DataFrame:
+    """A row per kept tile, from its first pixel: flags, incidence and look vectors."""
+    cover = px.where("row = 0 AND col = 0").select("tile", "_cover.*")
+    tiles = plan.select("tile", "region", "quad", F.col("tile_lon").alias("lon"), F.col("tile_lat").alias("lat_deg")
+                        ).join(masks.presence_flags(cover), "tile")
+    return tiles.withColumns({f"theta_{k}": F.radians(G.incidence_deg("lat_deg", k)) for k in K.INCIDENCE}
+                             | {f"look_{k}": G.look_vector(F.lit(k)) for k in K.INCIDENCE})
+
+
 def ingest(regions: DataFrame, products: dict[str, Product], spec: IngestSpec) -> tuple[DataFrame, DataFrame]:
     """Co-registered (pixels, tiles) of every region tile with enough radar coverage.
 
     `products` needs "dn_left"; "dn_right", "dn_stereo", "gtdr_up", "stereo_dem", "emissivity"
     and "rms_slope" are optional. The left look is sampled and gated first, so gappy tiles cost
-    nothing more; the gated grid is written once, as every later product reads it.
+    nothing more. The pixels are written once; the tile rows are read from them.
     """
-    plan = plan_tiles(regions, spec)
-    n = float((spec.core_px + 2 * spec.margin_px) ** 2)
-    left = products["dn_left"]
-    points = grids.window_pixels(plan.select("tile", "quad", "west", "south", "east", "north"), spec.pixel_m).select(
-        "tile", "quad", "row", "col", "lon", "lat")
-    px = sample_product(points, left.raster, left.band, left.grid, left.method, out="dn_left")
-    px = materialise(masks.coverage_gate(px, F.col("dn_left").isNotNull(), spec.min_valid, pixels=n), "ingest")
-    for name, p in products.items():
-        if name != "dn_left":
-            px = sample_product(px, p.raster, p.band, p.grid, p.method, out=name)
-    # The sampled grid feeds the datum fit, the coverage flags and the output.
-    px = materialise(px, "ingest-sampled")
-    if "stereo_dem" in products and "gtdr_up" in products:
-        ties = materialise(datum_offsets(px, "stereo_dem", "gtdr_up"), "ingest-ties")  # a row a tile, used twice
-        px = datum_tie(px, "stereo_dem", "gtdr_up", offsets=ties)
-    cover = masks.tile_coverage(px, {short: F.col(name).isNotNull() for name, short in (
-        ("dn_left", "left"), ("dn_right", "right"), ("dn_stereo", "stereo"), ("stereo_dem", "stereo_dem"))
-        if name in products}, pixels=n)
-    tiles = plan.select("tile", "region", "quad", F.col("tile_lon").alias("lon"), F.col("tile_lat").alias("lat_deg")
-                        ).join(masks.presence_flags(cover), "tile")
-    tiles = tiles.withColumns({f"theta_{k}": F.radians(G.incidence_deg("lat_deg", k)) for k in K.INCIDENCE}
-                              | {f"look_{k}": G.look_vector(F.lit(k)) for k in K.INCIDENCE})
-    tiles = materialise(tiles, "ingest-tiles")
-    if "rms_slope" in products:  # stored in degrees
-        px = px.withColumn("rms_slope", F.radians(F.coalesce("rms_slope", F.lit(0.0))))
-    filled = {c: F.coalesce(F.col(c), F.lit(v)) for c, v in spec.defaults.items() if c in products}
-    return px.withColumns(filled), tiles
+    plan = materialise(spread(plan_tiles(regions, spec), "tile"), "ingest-plan")
+    px = materialise(_laid_out(plan, products, spec), "ingest")
+    return px.drop("_cover"), materialise(_tile_rows(plan, px), "ingest-tiles")
 
 
 def ingest_to_store(regions: DataFrame, products: dict[str, Product], spec: IngestSpec, path: str,
                     mode: str = "errorifexists"):
-    """Ingest into a tile store at `path`, partitioned by quadrangle, that `tilestore.read_tiles` reads back."""
-    pixels, tiles = ingest(regions, products, spec)
+    """Ingest into a tile store at `path`, partitioned by quadrangle, that `tilestore.read_tiles` reads back.
+
+    Pixels are written to the store as they are made, and nowhere else.
+    """
+    plan = materialise(spread(plan_tiles(regions, spec), "tile"), "ingest-plan")
+    tilestore.write_sorted(_laid_out(plan, products, spec), path, mode)
+    tiles = _tile_rows(plan, plan.sparkSession.read.parquet(f"{path}/pixel"))
     meta = {k: v for k, v in asdict(spec).items() if k != "defaults"}
-    tilestore.write_store(pixels, tiles, path, meta | {"bands": sorted(products)}, mode)
+    tilestore.write_tiles(tiles, path, meta | {"bands": sorted(products)}, mode)
 
 
 def region_product(regions: DataFrame, span_m: float, pixel_m: float, tile_px: int, overlap_px: int,

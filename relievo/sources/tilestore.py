@@ -12,21 +12,38 @@ from ..operators.joins import split
 from ..operators.masks import inside_latitudes
 
 
+def sliced(tiled: DataFrame, tiles: DataFrame, tiles_per_file: int) -> tuple[DataFrame, int]:
+    """Rows with (quad, tile) and the slice `_s` of the quadrangle that they are written with, and the slices of all.
+
+    The counts are one row a quadrangle, of which a sphere has 450.
+    """
+    files = tiles.groupBy("quad").agg(F.ceil(F.count(F.lit(1)) / tiles_per_file).alias("_files"))
+    of = F.pmod(F.xxhash64("tile"), F.coalesce("_files", F.lit(1)))
+    count = files.agg(F.coalesce(F.sum("_files"), F.lit(1)).alias("n")).first()["n"]
+    return tiled.join(F.broadcast(files), "quad", "left").withColumn("_s", of).drop("_files"), int(count)
+
+
+def write_sorted(pixels: DataFrame, path: str, mode: str = "errorifexists"):
+    """Write pixels that `sliced` has dealt to tasks, each sorted by quadrangle, without a shuffle."""
+    pixels.write.mode(mode).partitionBy("quad").parquet(f"{path}/pixel")
+
+
+def write_tiles(tiles: DataFrame, path: str, meta: dict, mode: str = "errorifexists"):
+    """Write the tile rows partitioned by quadrangle, and the settings."""
+    tiles.repartition("quad").write.mode(mode).partitionBy("quad").parquet(f"{path}/tile")
+    tiles.sparkSession.createDataFrame([(json.dumps(meta, sort_keys=True),)], "meta string").write.mode(mode).json(f"{path}/meta")
+
+
 def write_store(pixels: DataFrame, tiles: DataFrame, path: str, meta: dict, mode: str = "errorifexists",
                 tiles_per_file: int = 16):
     """Write pixels (with `quad`) and tile rows partitioned by quadrangle, and the settings.
 
     A quadrangle gets a file for every `tiles_per_file` tiles, so a crowded one is written by many tasks and
-    a sparse one leaves no small files. The counts are one row a quadrangle, of which a sphere has 450.
+    a sparse one leaves no small files.
     """
-    files = tiles.groupBy("quad").agg(F.ceil(F.count(F.lit(1)) / tiles_per_file).alias("_files"))
-    spread = F.pmod(F.xxhash64("tile"), F.coalesce("_files", F.lit(1)))
-    (pixels.join(F.broadcast(files), "quad", "left").withColumn("_s", spread).drop("_files")
-     .repartition("quad", "_s").drop("_s").sortWithinPartitions("quad", "tile", "row", "col")
-     .write.mode(mode).partitionBy("quad").parquet(f"{path}/pixel"))
-    tiles.repartition("quad").write.mode(mode).partitionBy("quad").parquet(f"{path}/tile")
-    spark = pixels.sparkSession
-    spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "meta string").write.mode(mode).json(f"{path}/meta")
+    dealt, _ = sliced(pixels, tiles, tiles_per_file)
+    write_sorted(dealt.repartition("quad", "_s").drop("_s").sortWithinPartitions("quad", "tile", "row", "col"), path, mode)
+    write_tiles(tiles, path, meta, mode)
 
 
 def read_meta(spark: SparkSession, path: str) -> dict:
@@ -64,7 +81,7 @@ def read_tiles(spark: SparkSession, path: str, part: str, held_out: DataFrame, o
     tiles = select_tiles(spark.read.parquet(f"{path}/tile"), held_out, part, on, **gates)
     if tiles.isEmpty():
         raise ValueError(f"split {part!r} is empty: the held-out names may not be in this store")
-    pixels = spark.read.parquet(f"{path}/pixel").join(tiles.select("quad", "tile"), ["quad", "tile"], "left_semi")
+    pixels = spark.read.parquet(f"{path}/pixel").drop("_cover").join(tiles.select("quad", "tile"), ["quad", "tile"], "left_semi")
     return tiles, pixels if keep_margin else core_crop(pixels, meta["margin_px"], meta["core_px"])
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from relievo import constants as K
 from relievo.functions import radiometry
-from relievo.operators import angles, coregister, joins, metrics, quantiles, resample
+from relievo.operators import angles, coregister, grids, joins, metrics, quantiles, resample
+from relievo.plans import jobs
 from relievo.sources import raw_array, raw_dem
 
 
@@ -146,3 +147,62 @@ def test_points_of_one_block_are_one_row_before_blocks_multiply(spark, frame):
     assert below.index("Aggregate [_r0") > 0  # the aggregate feeds the generators
     at = [((40 - r["lat"] - 0.5) * 100 + r["lon"] - 0.5, r["z"]) for r in got.collect() if r["lon"] < 50]
     assert len(at) == 5 and all(np.isclose(a, b) for a, b in at)
+
+
+def _ingested(spark, tmp_path, name):
+    m, n = K.M_PER_DEG, 40
+    r, c = np.mgrid[:n, :n]
+
+    def product(values, method="bilinear", code=None):
+        px = spark.createDataFrame(pd.DataFrame({"row": r.ravel().astype("int32"), "col": c.ravel().astype("int32"), "v": values.ravel().astype(float)}))
+        return jobs.Product(px, "v", coregister.ProductGrid(n, n, -180.0 * m, 90.0 * m, 9.0 * m, code), method)
+
+    z = np.hypot(r, c * 1.7) * 40
+    products = {"dn_left": product(np.where((c > 1) & (c < 6), 0, 9), "nearest", 0.0), "dn_right": product(np.where(c % 3, 5, 0), "nearest", 0.0),
+                "gtdr_up": product(z, "cubic"), "stereo_dem": product(np.where((r + c) % 9, z - 795 + r % 3, -1.0), "bilinear", -1.0)}
+    regions = spark.createDataFrame([("a", 100.0, -40.0, 250.0, -10.0), ("b", 330.0, 0.0, 20.0, 20.0)], "region string, west double, south double, east double, north double")
+    spec = jobs.IngestSpec(pixel_m=0.5 * m, core_px=20, margin_px=3)
+    jobs.ingest_to_store(regions, products, spec, f"{tmp_path}/{name}")
+    return regions, products, spec
+
+
+def test_an_ingest_writes_its_pixels_once_where_they_are_made(spark, tmp_path, monkeypatch):
+    written, keep = [], jobs.materialise
+    monkeypatch.setattr(jobs, "materialise", lambda df, purpose: written.append((purpose, out := keep(df, purpose))) or out)
+    regions, products, spec = _ingested(spark, tmp_path, "one")
+    px = spark.read.parquet(f"{tmp_path}/one/pixel")
+    tiles = spark.read.parquet(f"{tmp_path}/one/tile")
+    assert 20 < tiles.count() < jobs.plan_tiles(regions, spec).count()  # gated
+    assert px.count() == tiles.count() * 26 ** 2
+    assert all(d.count() <= 1600 for _, d in written)  # nothing of a row a pixel but the store
+    node, above = jobs._laid_out(jobs.plan_tiles(regions, spec), products, spec)._jdf.queryExecution().executedPlan().inputPlan(), []
+    while "Generate" not in node.nodeName():
+        above.append(node.nodeName())
+        node = node.children().apply(0)  # of a join, the side of the pixels
+    assert above.count("BroadcastHashJoin") == 4 and not any("Exchange" in name for name in above) and above.count("Sort") == 1
+    monkeypatch.setattr(jobs, "SMALL_SOURCE_PX", 0)  # every source in a shuffle
+    _ingested(spark, tmp_path, "two")
+    key = ["quad", "tile", "row", "col"]
+    a, b = (spark.read.parquet(f"{tmp_path}/{n}/pixel").drop("_cover").toPandas().sort_values(key).reset_index(drop=True) for n in ("one", "two"))
+    pd.testing.assert_frame_equal(a, b[a.columns])
+    left, right = (spark.read.parquet(f"{tmp_path}/{n}/tile").orderBy("tile").select("tile", "quad", "has_right", "has_stereo_dem").collect() for n in ("one", "two"))
+    assert left == right and len({r["has_right"] for r in left}) == 2
+    tied = px.where("stereo_dem IS NOT NULL AND gtdr_up IS NOT NULL").groupBy("tile").agg(F.median(F.col("stereo_dem") - F.col("gtdr_up")).alias("m"))
+    assert all(abs(r["m"]) < 1e-9 for r in tied.collect())
+
+
+def test_windows_reach_the_blocks_of_their_pixels(spark):
+    m = K.M_PER_DEG
+    grid = coregister.ProductGrid(60, 120, -180.0 * m, 90.0 * m, 3.0 * m)
+    w = pd.DataFrame({"west": [10.0, 176.0, 350.0, -3.0, 0.0, 181.0], "east": [14.0, 184.0, 372.0, 4.0, 360.0, 183.0],
+                      "south": [-5.0, 20.0, 60.0, -89.0, 0.0, -40.0], "north": [5.0, 29.0, 66.0, -80.0, 2.0, -38.0]})
+    r, c = np.mgrid[:60, :120]
+    raster = spark.createDataFrame(pd.DataFrame({"row": r.ravel().astype("int32"), "col": c.ravel().astype("int32"), "z": 1.0}))
+    for i in range(len(w)):
+        window = spark.createDataFrame(w.iloc[[i]])
+        p = grids.window_pixels(window, 0.5 * m).select(grid.rows("lat").alias("y"), grid.cols("lon").alias("x")).toPandas()
+        want = {(a, b) for dr in (-2, 2) for dc in (-2, 2) for a, b in zip(np.floor((p.y + dr) / 8).astype(int), np.floor((p.x + dc) / 8).astype(int))}
+        want = {(a, b) for a, b in want if 0 <= a < 8 and 0 <= b < 15}
+        got = coregister.reached(window, 0.5 * m, raster, grid, block=8).toPandas()
+        blocks = set(zip(got.row // 8, got.col // 8))
+        assert want <= blocks and len(blocks - want) <= 3 and len(got) < 7200, i

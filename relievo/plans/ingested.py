@@ -83,11 +83,10 @@ def written(spark, sf) -> str:
 def ingest_tiles(spark, sf):
     """Tiles of every box sampled from five rasters, gated, tied, written by quadrangle and read back whole."""
     path = written(spark, sf)
-    tiles = spark.read.parquet(f"{path}/tile").select(
-        "quad", "tile", F.col("region").cast("bigint").alias("box"), "lon", F.col("lat_deg").alias("lat"), "has_right", "has_stereo_dem", "theta_left")
-    px = spark.read.parquet(f"{path}/pixel").select(
-        "quad", "tile", "row", "col", "dn_left", "dn_right", "emissivity", "gtdr_up", "stereo_dem")
-    return rounded_cols(px.join(tiles, ["quad", "tile"]).drop("tile"), gtdr_up=3, stereo_dem=3)
+    kept = ("quad", "row", "col", "dn_left", "dn_right", "emissivity", "gtdr_up", "stereo_dem")
+    px = jobs.tile_facts(spark.read.parquet(f"{path}/pixel"), kept, (F.col("region").cast("bigint").alias("box"), "lon", F.col("lat_deg").alias("lat"),
+                                                                     "has_right", "has_stereo_dem", "theta_left"))
+    return rounded_cols(px, gtdr_up=3, stereo_dem=3)
 
 
 @query("stored_split", sql("scene boxes", f"""SELECT box, {rs('lon')} AS lon, {rs('lat')} AS lat, i-{SPEC.margin_px} AS "row", j-{SPEC.margin_px} AS col, {rs('gtdr', 3)} AS gtdr_up,

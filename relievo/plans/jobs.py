@@ -60,7 +60,7 @@ def plan_tiles(regions: DataFrame, spec: IngestSpec) -> DataFrame:
 
 def _laid_out(plan: DataFrame, products: dict[str, Product], spec: IngestSpec) -> DataFrame:
     """Pixels of every tile with enough radar coverage, with all products, as they are written: tile after tile in
-    the slices of `tilestore.sliced`, each with the shares that the looks cover of its tile (`_cover`).
+    the slices of `tilestore.sliced`, each with what is known of its tile (`_tile`) and the shares that the looks cover of it (`_cover`).
 
     Tile rows are dealt out once; their pixels are made, sampled, gated and tied where they are. Sources small enough are
     broadcast; with a larger one the pixels do meet it in a shuffle, and are dealt by slice again.
@@ -70,8 +70,9 @@ def _laid_out(plan: DataFrame, products: dict[str, Product], spec: IngestSpec) -
     few = {name: s.count() <= SMALL_SOURCE_PX for name, s in sources.items()}
     side = spec.core_px + 2 * spec.margin_px
     dealt, slices = tilestore.sliced(plan, plan, max(TILES_PER_FILE, FILE_PX // side ** 2))
-    dealt = dealt.repartition(slices, "quad", "_s").select("quad", "_s", "tile", "west", "south", "east", "north")
-    px = grids.window_pixels(dealt, spec.pixel_m, spread_rows=False).select("quad", "_s", "tile", "row", "col", "lon", "lat")
+    dealt = dealt.repartition(slices, "quad", "_s").withColumn("_tile", F.struct(
+        "region", F.col("tile_lon").alias("lon"), F.col("tile_lat").alias("lat_deg")))
+    px = grids.window_pixels(dealt, spec.pixel_m, spread_rows=False).select("quad", "_s", "tile", "_tile", "row", "col", "lon", "lat")
 
     def sampled(px, names, in_order):
         for name in names:
@@ -100,13 +101,18 @@ def _laid_out(plan: DataFrame, products: dict[str, Product], spec: IngestSpec) -
     return px.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in spec.defaults.items() if c in products})
 
 
-def _tile_rows(plan: DataFrame, px: DataFrame) -> DataFrame:
-    """A row per kept tile, from its first pixel: flags, incidence and look vectors."""
-    cover = px.where("row = 0 AND col = 0").select("tile", "_cover.*")
-    tiles = plan.select("tile", "region", "quad", F.col("tile_lon").alias("lon"), F.col("tile_lat").alias("lat_deg")
-                        ).join(masks.presence_flags(cover), "tile")
-    return tiles.withColumns({f"theta_{k}": F.radians(G.incidence_deg("lat_deg", k)) for k in K.INCIDENCE}
-                             | {f"look_{k}": G.look_vector(F.lit(k)) for k in K.INCIDENCE})
+def tile_facts(px: DataFrame, kept, facts=()) -> DataFrame:
+    """The `kept` columns of stored pixels beside facts of their tile, or all of them: place, coverage, flags, incidence and
+    look vectors. No join: stored pixels carry what these follow from."""
+    tiles = masks.presence_flags(px.select(F.struct(*kept).alias("_kept"), "_tile.*", "_cover.*"))
+    tiles = tiles.withColumns({f"theta_{k}": F.radians(G.incidence_deg("lat_deg", k)) for k in K.INCIDENCE}
+                              | {f"look_{k}": G.look_vector(F.lit(k)) for k in K.INCIDENCE})
+    return tiles.select("_kept.*", *(facts or [c for c in tiles.columns if c != "_kept"]))
+
+
+def _tile_rows(px: DataFrame) -> DataFrame:
+    """A row per kept tile, from its first pixel."""
+    return tile_facts(px.where("row = 0 AND col = 0"), ("tile", "quad"))
 
 
 def ingest(regions: DataFrame, products: dict[str, Product], spec: IngestSpec) -> tuple[DataFrame, DataFrame]:
@@ -118,7 +124,7 @@ def ingest(regions: DataFrame, products: dict[str, Product], spec: IngestSpec) -
     """
     plan = materialise(spread(plan_tiles(regions, spec), "tile"), "ingest-plan")
     px = materialise(_laid_out(plan, products, spec), "ingest")
-    return px.drop("_cover"), materialise(_tile_rows(plan, px), "ingest-tiles")
+    return px.drop("_tile", "_cover"), materialise(_tile_rows(px), "ingest-tiles")
 
 
 def ingest_to_store(regions: DataFrame, products: dict[str, Product], spec: IngestSpec, path: str,
@@ -129,7 +135,7 @@ def ingest_to_store(regions: DataFrame, products: dict[str, Product], spec: Inge
     """
     plan = materialise(spread(plan_tiles(regions, spec), "tile"), "ingest-plan")
     tilestore.write_sorted(_laid_out(plan, products, spec), path, mode)
-    tiles = _tile_rows(plan, plan.sparkSession.read.parquet(f"{path}/pixel"))
+    tiles = _tile_rows(plan.sparkSession.read.parquet(f"{path}/pixel"))
     meta = {k: v for k, v in asdict(spec).items() if k != "defaults"}
     tilestore.write_tiles(tiles, path, meta | {"bands": sorted(products)}, mode)
 

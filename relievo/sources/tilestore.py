@@ -81,7 +81,7 @@ def read_tiles(spark: SparkSession, path: str, part: str, held_out: DataFrame, o
     tiles = select_tiles(spark.read.parquet(f"{path}/tile"), held_out, part, on, **gates)
     if tiles.isEmpty():
         raise ValueError(f"split {part!r} is empty: the held-out names may not be in this store")
-    pixels = spark.read.parquet(f"{path}/pixel").drop("_cover").join(tiles.select("quad", "tile"), ["quad", "tile"], "left_semi")
+    pixels = spark.read.parquet(f"{path}/pixel").drop("_tile", "_cover").join(tiles.select("quad", "tile"), ["quad", "tile"], "left_semi")
     return tiles, pixels if keep_margin else core_crop(pixels, meta["margin_px"], meta["core_px"])
 
 

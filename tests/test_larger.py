@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from relievo import constants as K
 from relievo.functions import radiometry
 from relievo.operators import angles, coregister, grids, joins, metrics, quantiles, resample
-from relievo.plans import jobs
+from relievo.plans import jobs, load_all
 from relievo.sources import raw_array, raw_dem
 
 
@@ -183,10 +183,13 @@ def test_an_ingest_writes_its_pixels_once_where_they_are_made(spark, tmp_path, m
     monkeypatch.setattr(jobs, "SMALL_SOURCE_PX", 0)  # every source in a shuffle
     _ingested(spark, tmp_path, "two")
     key = ["quad", "tile", "row", "col"]
-    a, b = (spark.read.parquet(f"{tmp_path}/{n}/pixel").drop("_cover").toPandas().sort_values(key).reset_index(drop=True) for n in ("one", "two"))
+    a, b = (spark.read.parquet(f"{tmp_path}/{n}/pixel").drop("_tile", "_cover").toPandas().sort_values(key).reset_index(drop=True) for n in ("one", "two"))
     pd.testing.assert_frame_equal(a, b[a.columns])
     left, right = (spark.read.parquet(f"{tmp_path}/{n}/tile").orderBy("tile").select("tile", "quad", "has_right", "has_stereo_dem").collect() for n in ("one", "two"))
     assert left == right and len({r["has_right"] for r in left}) == 2
+    at_pixels = jobs.tile_facts(px, ("tile",)).groupBy("tile").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.struct("region", "lon", "lat_deg", "has_right")).alias("k"))
+    assert {(r["n"], r["k"]) for r in at_pixels.collect()} == {(676, 1)}
+    assert "Join" not in plan(load_all()[0]["ingest_tiles"](spark, "/root/testdata/sf0.001"))  # no pixel meets its tile's row
     tied = px.where("stereo_dem IS NOT NULL AND gtdr_up IS NOT NULL").groupBy("tile").agg(F.median(F.col("stereo_dem") - F.col("gtdr_up")).alias("m"))
     assert all(abs(r["m"]) < 1e-9 for r in tied.collect())
 
